@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 _MODULES = [
     "workloads.datatests_wl",
     "workloads.profile_wl",
+    "workloads.generation_wl",
 ]
 
 

@@ -10,6 +10,7 @@ _MODULES = [
     "workloads.datatests_wl",
     "workloads.profile_wl",
     "workloads.generation_wl",
+    "workloads.render_wl",
 ]
 
 

@@ -84,9 +84,12 @@ def _pct(nulls: int, rows: int) -> int:
 
 
 def suggest_rules(spark: SparkSession, tables: dict[str, DataFrame],
-                  existing_rules: list[dict[str, Any]] | None = None) -> DataFrame:
-    """Rule suggestions for a set of tables → DataFrame with ``SUGGESTION_SCHEMA``."""
-    ruled = {(r["table"], r["column"]) for r in (existing_rules or [])}
+                  existing_rules: list[dict[str, Any]] | None = None,
+                  identifiers: set[tuple[str, str]] | None = None) -> DataFrame:
+    """Rule suggestions for a set of tables → DataFrame with ``SUGGESTION_SCHEMA``.
+
+    ``identifiers``: extra (table, column) pairs treated like ``id``/``*_id`` (declared keys)."""
+    ruled = {(r["table"], r["column"]) for r in (existing_rules or [])} | set(identifiers or ())
     small_rows: list[tuple] = []
     enum_parts: list[DataFrame] = []
     for tname, df in tables.items():

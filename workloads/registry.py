@@ -11,6 +11,7 @@ _MODULES = [
     "workloads.profile_wl",
     "workloads.generation_wl",
     "workloads.render_wl",
+    "workloads.twin_wl",
 ]
 
 
@@ -33,4 +34,4 @@ def all_oracle():
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_queries()["dt_suite"](spark, sf_dir)
+    return all_queries()["twin_report"](spark, sf_dir)

@@ -12,6 +12,7 @@ _MODULES = [
     "workloads.generation_wl",
     "workloads.render_wl",
     "workloads.twin_wl",
+    "workloads.plans_wl",
 ]
 
 

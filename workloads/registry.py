@@ -13,6 +13,7 @@ _MODULES = [
     "workloads.render_wl",
     "workloads.twin_wl",
     "workloads.plans_wl",
+    "workloads.discover_wl",
 ]
 
 

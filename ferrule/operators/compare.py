@@ -76,3 +76,142 @@ def assert_reproducible(first: dict[str, DataFrame], second: dict[str, DataFrame
         | (F.col("only_in_second") != 0)).select("table_name").limit(1).collect()
     if bad:
         raise AssertionError(f"table {bad[0][0]!r} differs between the two builds")
+
+
+# --- dataset diff ---------------------------------------------------------------------------
+
+def dataset_diff(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
+    """Per-column change counts between two versions of a keyed table: one full outer join on
+    the key (shuffle on the key; AQE splits hot partitions), then one aggregate.
+
+    Returns one row per column plus the ``__rows__`` row carrying added/removed/changed rows."""
+    cols = [c for c in first.columns if c not in key and c in second.columns]
+    a = first.select(*key, *[F.col(c).alias(f"a_{c}") for c in cols], F.lit(True).alias("__in_a"))
+    b = second.select(*key, *[F.col(c).alias(f"b_{c}") for c in cols], F.lit(True).alias("__in_b"))
+    j = a.join(b, key, "full_outer")
+    both = F.col("__in_a").isNotNull() & F.col("__in_b").isNotNull()
+    changed_cols = [both & ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in cols]
+    any_change = F.lit(False)
+    for ch in changed_cols:
+        any_change = any_change | ch
+    aggs = [F.count_if(F.col("__in_b").isNull()).alias("removed"),
+            F.count_if(F.col("__in_a").isNull()).alias("added"),
+            F.count_if(any_change).alias("changed")]
+    aggs += [F.count_if(ch).alias(f"c{i}") for i, ch in enumerate(changed_cols)]
+    one = j.agg(*aggs)
+    rows = [F.struct(F.lit("__rows__").alias("column_name"), F.col("added"), F.col("removed"),
+                     F.col("changed"))]
+    rows += [F.struct(F.lit(c).alias("column_name"), F.lit(0).cast("long").alias("added"),
+                      F.lit(0).cast("long").alias("removed"), F.col(f"c{i}").alias("changed"))
+             for i, c in enumerate(cols)]
+    return one.select(F.inline(F.array(*rows)))
+
+
+# --- schema drift ---------------------------------------------------------------------------
+
+def schema_drift(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(column_name, first_type, second_type, status ∈ {same, changed, added, removed})."""
+    a = {f.name: f.dataType.simpleString() for f in first.schema.fields}
+    b = {f.name: f.dataType.simpleString() for f in second.schema.fields}
+    rows = []
+    for name in list(a) + [n for n in b if n not in a]:
+        ta, tb = a.get(name), b.get(name)
+        status = "added" if ta is None else "removed" if tb is None else "same" if ta == tb else "changed"
+        rows.append((name, ta, tb, status))
+    return first.sparkSession.createDataFrame(
+        rows, "column_name string, first_type string, second_type string, status string")
+
+
+# --- fidelity -------------------------------------------------------------------------------
+
+def category_fidelity(source: DataFrame, other: DataFrame, column: str) -> DataFrame:
+    """Distribution distance of a categorical column: total variation (½·Σ|p−q|) over the union
+    of observed values, plus the share of source values never seen in ``other``.  Value counts
+    are aggregated map-side on both sides, then outer-joined (one row per distinct value)."""
+    p = source.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(
+        F.count(F.lit(1)).alias("np"))
+    q = other.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(
+        F.count(F.lit(1)).alias("nq"))
+    tp = source.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("tp"))
+    tq = other.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("tq"))
+    totals = tp.withColumn("__j", F.lit(1)).join(tq.withColumn("__j", F.lit(1)), "__j")
+    j = p.join(q, "v", "full_outer").withColumn("__j", F.lit(1)).join(F.broadcast(totals), "__j")
+    pp = F.coalesce(F.col("np"), F.lit(0)) / F.col("tp")
+    qq = F.coalesce(F.col("nq"), F.lit(0)) / F.col("tq")
+    return j.agg(
+        F.lit(column).alias("column_name"),
+        (F.sum(F.abs(pp - qq)) / 2).alias("tvd"),
+        F.coalesce(F.sum(F.when(F.col("nq").isNull(), pp)), F.lit(0.0)).alias("unseen_share"))
+
+
+def numeric_fidelity(source: DataFrame, other: DataFrame, column: str, bins: int = 20) -> DataFrame:
+    """Histogram distances of a numeric column over ``bins`` equal-width bins of the source's
+    [min, max] (values outside fall into the end bins): total variation, KS (largest gap of
+    the cumulative shares) and PSI with a 1e-6 floor per bin."""
+    st = source.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).first()
+    lo, hi = st["lo"], st["hi"]
+    width = (hi - lo) / bins if hi is not None and hi > lo else 1.0
+
+    def hist(df: DataFrame, name: str) -> DataFrame:
+        b = F.least(F.greatest(F.floor((F.col(column).cast("double") - F.lit(lo)) / F.lit(width)),
+                               F.lit(0)), F.lit(bins - 1)).cast("int")
+        return df.where(F.col(column).isNotNull()).groupBy(b.alias("bin")).agg(
+            F.count(F.lit(1)).alias(name))
+
+    spark = source.sparkSession
+    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    h = grid.join(hist(source, "np"), "bin", "left").join(hist(other, "nq"), "bin", "left").fillna(0)
+    from pyspark.sql import Window
+    w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tot = Window.partitionBy(F.lit(1))
+    # the bin table has ``bins`` rows: windows over it run on one task by design
+    h = h.select("bin", (F.col("np") / F.sum("np").over(tot)).alias("p"),
+                 (F.col("nq") / F.sum("nq").over(tot)).alias("q"))
+    h = h.select("*", F.sum("p").over(w).alias("cp"), F.sum("q").over(w).alias("cq"))
+    eps = F.lit(1e-6)
+    return h.agg(
+        F.lit(column).alias("column_name"),
+        (F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("tvd"),
+        F.max(F.abs(F.col("cp") - F.col("cq"))).alias("ks"),
+        F.sum((F.greatest(F.col("q"), eps) - F.greatest(F.col("p"), eps))
+              * F.log(F.greatest(F.col("q"), eps) / F.greatest(F.col("p"), eps))).alias("psi"))
+
+
+# --- verbatim leakage -----------------------------------------------------------------------
+
+def verbatim_leakage(source: DataFrame, other: DataFrame, columns: list[str],
+                     other_columns: list[str] | None = None) -> DataFrame:
+    """Rows of ``other`` whose value tuple on ``columns`` appears verbatim in ``source``.
+
+    Both sides are reduced to distinct tuples (map-side combined) before a semi-join, so a
+    value repeated a million times costs one join row; the leaked row count is summed back."""
+    oc = other_columns or columns
+    o = other.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(oc)])
+    o = o.groupBy(*[f"k{i}" for i in range(len(oc))]).agg(F.count(F.lit(1)).alias("n"))
+    s = source.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]).distinct()
+    leaked = o.join(s, [f"k{i}" for i in range(len(oc))], "left_semi")
+    return leaked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("leaked_rows"),
+                      F.count(F.lit(1)).alias("leaked_values"))
+
+
+# --- coverage -------------------------------------------------------------------------------
+
+def pair_coverage(df: DataFrame, a: str, a_values: list, b: str, b_values: list) -> DataFrame:
+    """Every declared (a, b) combination with its observed row count (0 = not covered).
+
+    The declared combinations are a parameter-sized list built on the driver (|A|·|B| rows,
+    never data-sized); observed counts come from one grouped aggregate."""
+    spark = df.sparkSession
+    domain = spark.createDataFrame([(x, y) for x in a_values for y in b_values],
+                                   T.StructType([T.StructField(a, df.schema[a].dataType),
+                                                 T.StructField(b, df.schema[b].dataType)]))
+    seen = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("rows"))
+    return domain.join(seen, [a, b], "left").fillna(0, subset=["rows"])
+
+
+def boundary_coverage(df: DataFrame, column: str, low, high) -> DataFrame:
+    """Whether the boundary values of a range occur: rows at low, at high, and in between."""
+    c = F.col(column)
+    return df.agg(F.lit(column).alias("column_name"), F.count_if(c == F.lit(low)).alias("at_low"),
+                  F.count_if(c == F.lit(high)).alias("at_high"),
+                  F.count_if((c > F.lit(low)) & (c < F.lit(high))).alias("inside"))

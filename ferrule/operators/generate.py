@@ -193,6 +193,22 @@ def sample_keys(child: DataFrame, index_col: str, pool: KeyPool, seed: int, tabl
     return pool.lookup(child, F.col(sname) % F.lit(pool.size).cast("long"), out).drop(sname)
 
 
+def self_reference(base: DataFrame, table: TableSpec, seed: int, column: str, out: str) -> DataFrame:
+    """Self-referencing FK: row i > 0 points at a uniformly drawn earlier row j < i (so the
+    references form a forest rooted at row 0, whose value is NULL).  Needs a serial first PK
+    column, which makes the parent's key plain arithmetic on j (no join)."""
+    key = table.column(table.primary_key[0]) if table.primary_key else None
+    if key is None or key.generator is None or key.generator.kind != "serial":
+        raise SpecError("SELF_FK_UNSUPPORTED",
+                        f"{table.name}.{column}: a self reference needs a serial primary key")
+    start = int(key.generator.params.get("start", 1))
+    name = f"__sf_{column}"
+    base = with_draws(base, ROW, {name: derive_seed(seed, table.name, "__self_fk__", column)})
+    value = F.when(F.col(ROW) == 0, F.lit(None).cast("long")).otherwise(
+        F.lit(start).cast("long") + F.col(name) % F.col(ROW))
+    return base.withColumn(out, value).drop(name)
+
+
 def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[str, int] | None = None,
                      reference_pools: dict[str, DataFrame | KeyPool] | None = None,
                      parts: int | None = None, unique: bool = True,
@@ -232,6 +248,10 @@ def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[st
         for fk in t.foreign_keys:
             if fk is drv:
                 continue
+            if fk.ref_table == name:
+                base = self_reference(base, t, seed, fk.column, f"__fk_{fk.column}")
+                fk_values[fk.column] = F.col(f"__fk_{fk.column}")
+                continue
             pool = pools.get(fk.ref_table)
             if pool is None:
                 raise SpecError("FK_UNRESOLVED", f"{name}.{fk.column} references {fk.ref_table!r} "

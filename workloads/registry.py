@@ -14,6 +14,7 @@ _MODULES = [
     "workloads.twin_wl",
     "workloads.plans_wl",
     "workloads.discover_wl",
+    "workloads.xops_wl",
 ]
 
 

@@ -21,8 +21,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 # Fixed values of the mixer.
 MIX_MULT = 73244475
@@ -43,38 +42,35 @@ def seed_halves(seed: int) -> tuple[int, int]:
     return seed & 0x7FFFFFFF, (seed >> 32) & 0x7FFFFFFF
 
 
-def _lng(v: int) -> Column:
-    return F.lit(v).cast("long")
-
-
-def _round(x: Column) -> Column:
-    return (x.bitwiseXOR(F.shiftright(x, 16)) * _lng(MIX_MULT)).bitwiseAND(_lng(MASK32))
+def _r_sql(x: str) -> str:
+    return f"((({x} ^ shiftright({x}, 16)) * {MIX_MULT}L) & {MASK32}L)"
 
 
 def with_draws(df: DataFrame, index_col: str, draws: dict[str, int]) -> DataFrame:
     """Add one 32-bit draw column per entry of ``draws`` (name → sub-seed), indexed by
-    ``index_col`` (a non-negative long row index)."""
+    ``index_col`` (a non-negative long row index).
+
+    Each round is one projection; the expressions are handed over as SQL text (one call per
+    round, parsed in the JVM), since building hundreds of Column objects one remote call at a
+    time dominated plan construction for wide tables."""
     if not draws:
         return df
-    i = F.col(index_col).cast("long")
-    names = list(draws)
-    keep = [F.col(c) for c in df.columns]
-    t = {n: f"__t_{n}" for n in names}
+    keep = [f"`{c}`" for c in df.columns]
+    i = f"CAST(`{index_col}` AS BIGINT)"
+    t = {n: f"`__t_{n}`" for n in draws}
 
-    def stage(exprs: dict[str, Column]) -> DataFrame:
-        return df.select(*keep, *[e.alias(t[n]) for n, e in exprs.items()])
+    def stage(exprs: dict[str, str]) -> None:
+        nonlocal df
+        df = df.selectExpr(*keep, *[f"{e} AS {t[n]}" for n, e in exprs.items()])
 
-    df = stage({n: i.bitwiseXOR(_lng(seed_halves(draws[n])[0])).bitwiseAND(_lng(MASK32))
-                for n in names})
+    stage({n: f"(({i} ^ {seed_halves(s)[0]}L) & {MASK32}L)" for n, s in draws.items()})
     for _ in range(2):
-        df = stage({n: _round(F.col(t[n])) for n in names})
-    df = stage({n: F.col(t[n]).bitwiseXOR(F.shiftright(F.col(t[n]), 16))
-                .bitwiseXOR(_lng(seed_halves(draws[n])[1])).bitwiseXOR(F.shiftright(i, 32))
-                .bitwiseAND(_lng(MASK32)) for n in names})
+        stage({n: _r_sql(t[n]) for n in draws})
+    stage({n: f"((({t[n]} ^ shiftright({t[n]}, 16)) ^ {seed_halves(s)[1]}L ^ shiftright({i}, 32))"
+              f" & {MASK32}L)" for n, s in draws.items()})
     for _ in range(2):
-        df = stage({n: _round(F.col(t[n])) for n in names})
-    return df.select(*keep, *[F.col(t[n]).bitwiseXOR(F.shiftright(F.col(t[n]), 16)).alias(n)
-                              for n in names])
+        stage({n: _r_sql(t[n]) for n in draws})
+    return df.selectExpr(*keep, *[f"({t[n]} ^ shiftright({t[n]}, 16)) AS `{n}`" for n in draws])
 
 
 def draw_py(seed: int, i: int) -> int:

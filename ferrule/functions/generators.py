@@ -52,9 +52,20 @@ def _span_draws(span: int) -> int:
     return 2 if _wide_span(span) else 1
 
 
+_SEP = "\x1f"
+
+
 def pick(values: list[Any], index: Column) -> Column:
-    """``values[index]`` from a literal array (index in [0, len))."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    """``values[index]`` from a literal list (index in [0, len)).
+
+    String lists become ``split(<one literal>, <separator>)`` — a single foldable node that
+    Catalyst turns into a constant array, instead of one literal node per value (large corpora
+    repeated across columns would otherwise make plan analysis slow)."""
+    if all(isinstance(v, str) and _SEP not in v for v in values):
+        arr = F.split(F.lit(_SEP.join(values)), _SEP)
+    else:
+        arr = F.array(*[F.lit(v) for v in values])
+    return F.element_at(arr, (index + 1).cast("int"))
 
 
 # --- numeric and temporal -------------------------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draw import TWO32, derive_seed, with_draws
+from ..session import spread
 
 # Fixed values of the plan shape.
 MAX_CATEGORIES = 100_000
@@ -53,7 +54,7 @@ def empirical_column(spine: DataFrame, index_col: str, source: DataFrame, column
     if cuts.count() <= BROADCAST_CATEGORIES:
         per_bucket = F.broadcast(per_bucket)
     d = f"__e_{out}"
-    rows = with_draws(spine, index_col, {d: derive_seed(seed, table, out)})
+    rows = with_draws(spread(spine), index_col, {d: derive_seed(seed, table, out)})
     rows = rows.withColumn("__b", F.shiftright(F.col(d), shift))
     joined = rows.join(per_bucket, "__b").where((F.col(d) >= F.col("lo")) & (F.col(d) < F.col("hi")))
     return joined.drop("__b", "lo", "hi", d).withColumnRenamed("value", out)

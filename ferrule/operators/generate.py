@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draw import derive_seed, with_draws
 from ..functions.generators import REGISTRY, GenContext, null_mask, uniform_below
+from ..session import spread
 from ..plans.spec import DatasetSpec, SpecError, TableSpec, build_order, driving_fk
 from .expand import dense_index, expand_by_counts
 
@@ -68,7 +69,7 @@ def generate_columns(base: DataFrame, table: TableSpec, seed: int,
             null_name = f"__n{ci}"
             draws[null_name] = derive_seed(seed, table.name, col.name, "__nulls__")
         plan.append((col, names, null_name))
-    df = with_draws(base, ROW, draws)
+    df = with_draws(spread(base, [ROW]), ROW, draws)
     out: list[Column] = [F.col(k) for k in (keep or [])]
     for col, names, null_name in plan:
         stype = col.type.spark_type()

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 # The patterns (Java and RE2 compatible; digit runs delimited explicitly).
 PII_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -32,7 +34,7 @@ def pii_scan(df: DataFrame, table: str, patterns: dict[str, str] | None = None)
         for pi, (kind, pat) in enumerate(pats.items()):
             aggs.append(F.count_if(F.col(c).rlike(pat)).alias(f"m{ci}_{pi}"))
             keys.append((ci, c, pi, kind))
-    one = df.agg(*aggs)
+    one = spread(df).agg(*aggs)
     return one.select(F.inline(F.array(*[
         F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"),
                  F.lit(kind).alias("pii_kind"), F.col(f"m{ci}_{pi}").alias("matching_rows"),

@@ -69,3 +69,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), "ferrule", name)
+
+
+def spread(df, cols: list[str] | None = None, min_partitions: int | None = None):
+    """Repartition ``df`` only when it has fewer partitions than the session's parallelism.
+
+    Used in front of per-row CPU-heavy work (generation over a scanned key spine, pattern scans,
+    text rendering): a small table stored as one file is read as one partition, which would run
+    that work on one core.  Large inputs already arrive in many splits and pass through
+    unchanged.  With ``cols`` the shuffle hashes them (no sort needed for determinism)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *cols) if cols else df.repartition(target)

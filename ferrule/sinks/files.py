@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import render as R
 from ..operators.expand import MAX_BUCKETS, MIN_BUCKET_ROWS, bucket_width, prefix_start, range_bucket
+from ..session import spread
 from ..sources.tables import table_path, validate_relname
 
 FORMATS = ("csv", "jsonl", "sql", "copy")
@@ -36,7 +37,7 @@ def _ordered(df: DataFrame, order_by: list[str] | None, parts: int | None) -> Da
 def csv_lines(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """Header line + one CSV line per row.  ``__k`` orders them (header first)."""
     keys = [F.col(c) for c in (order_by or [])]
-    body = df.select(*[k.alias(f"__k{i}") for i, k in enumerate(keys)],
+    body = spread(df).select(*[k.alias(f"__k{i}") for i, k in enumerate(keys)],
                      R.csv_line(df.schema).alias("line"), F.lit(1).alias("__h"))
     header = df.sparkSession.range(1).select(
         *[F.lit(None).cast(df.schema[c].dataType).alias(f"__k{i}") for i, c in enumerate(order_by or [])],
@@ -45,11 +46,11 @@ def csv_lines(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
 
 
 def jsonl_lines(df: DataFrame) -> DataFrame:
-    return df.select(*df.columns, R.json_line(df.schema).alias("line"))
+    return spread(df).select(*df.columns, R.json_line(df.schema).alias("line"))
 
 
 def copy_lines(df: DataFrame) -> DataFrame:
-    return df.select(*df.columns, R.copy_line(df.schema).alias("line"))
+    return spread(df).select(*df.columns, R.copy_line(df.schema).alias("line"))
 
 
 def row_numbers(df: DataFrame, order_by: list[str], out: str = "__idx") -> DataFrame:

@@ -210,18 +210,29 @@ def self_reference(base: DataFrame, table: TableSpec, seed: int, column: str, ou
     return base.withColumn(out, value).drop(name)
 
 
+def materialize(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to ``path`` (Parquet, shared storage) and return the stored table."""
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[str, int] | None = None,
                      reference_pools: dict[str, DataFrame | KeyPool] | None = None,
                      parts: int | None = None, unique: bool = True,
-                     keep_row: bool = False) -> dict[str, DataFrame]:
+                     keep_row: bool = False, materialize_dir: str | None = None) -> dict[str, DataFrame]:
     """Every generated table of ``spec`` as a lazy DataFrame (parents first).
 
+    With ``materialize_dir`` (a folder in shared storage) every table is written there as soon
+    as it is planned and read back: children, pools, uniqueness checks and later data tests then
+    read stored rows instead of recomputing the parent's generation, and the lineage is cut.
+
     ``row_counts`` overrides the declared count of tables without a driving FK; children of a
     driving FK get Σk rows.  ``reference_pools`` supplies keys for REFERENCE tables, either as
     a DataFrame whose first column holds the keys or as a prepared ``KeyPool``.
     """
     row_counts = row_counts or {}
     seed = spec.seed
+    spark_ = spark
     generated = {t.name for t in spec.generated}
     pools: dict[str, KeyPool] = {}
     for name, p in (reference_pools or {}).items():
@@ -263,6 +274,8 @@ def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[st
             base = sample_keys(base, ROW, pool, seed, name, fk.column, f"__fk_{fk.column}")
             fk_values[fk.column] = F.col(f"__fk_{fk.column}")
         df = generate_columns(base, t, seed, fk_values, keep=[ROW])
+        if materialize_dir:
+            df = materialize(spark_, df, f"{materialize_dir}/{name}")
         if unique:
             check_unique(df, t)
         if t.primary_key and name in referenced:

@@ -6,10 +6,13 @@ depend on profiled rules, so there is no SQL oracle (rows-only check).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.operators.twin import judge_sample, make_twin
+from ferrule.session import scratch_path
 
 from .common import table
 from .render_wl import _decimals
@@ -19,11 +22,13 @@ FOREIGN_KEYS = {"orders": [{"column": "o_custkey", "references_table": "customer
                             "references_column": "c_custkey"}]}
 
 
-def twin_of_source(spark: SparkSession, sf: str):
+def twin_of_source(spark: SparkSession, sf: str, materialize: bool = True):
     cust = _decimals(table(spark, sf, "customer"))
     orders = _decimals(table(spark, sf, "orders")).withColumn(
         "o_orderdate", F.col("o_orderdate").cast("date"))
-    return make_twin(spark, {"customer": cust, "orders": orders}, PRIMARY_KEYS, FOREIGN_KEYS, seed=42)
+    path = scratch_path(spark, f"twin-{uuid.uuid4().hex[:12]}") if materialize else None
+    return make_twin(spark, {"customer": cust, "orders": orders}, PRIMARY_KEYS, FOREIGN_KEYS, seed=42,
+                     materialize_dir=path)
 
 
 def _twin_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,7 +43,7 @@ def _twin_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _judge(spark: SparkSession, sf: str) -> DataFrame:
-    t = twin_of_source(spark, sf)
+    t = twin_of_source(spark, sf, materialize=False)
     return judge_sample(spark, t.spec_json, t.rules, sample_rows=200)
 
 

@@ -31,39 +31,42 @@ def table_digest(df: DataFrame, name: str) -> DataFrame:
 def compare_builds(first: dict[str, DataFrame], second: dict[str, DataFrame],
                    exact: bool = True) -> DataFrame:
     """Per table: row counts, schema equality, digest equality and, when ``exact``, the rows
-    only in one build (``exceptAll`` both ways — a full shuffle, meant for checks)."""
+    only in one build (``exceptAll`` both ways — a full shuffle, meant for checks).
+
+    The per-side results are one-row aggregates; they are paired by a union and a group-by on
+    the table name (no join)."""
     if set(first) != set(second):
         raise ValueError(f"table sets differ: {sorted(set(first) ^ set(second))}")
-    spark: SparkSession = next(iter(first.values())).sparkSession
     parts = []
     for name in sorted(first):
         a, b = first[name], second[name]
         same_schema = a.schema == b.schema
-        da = table_digest(a, name).select(
-            "table_name", F.col("row_count").alias("rows_first"),
-            F.col("xor_hash").alias("xa"), F.col("sum_hash").alias("sa"))
-        db = table_digest(b, name).select(
-            "table_name", F.col("row_count").alias("rows_second"),
-            F.col("xor_hash").alias("xb"), F.col("sum_hash").alias("sb"))
-        row = da.join(db, "table_name").select(
-            "table_name", "rows_first", "rows_second",
-            F.lit(same_schema).alias("schema_equal"),
-            ((F.col("xa") == F.col("xb")) & (F.col("sa") == F.col("sb"))
-             & (F.col("rows_first") == F.col("rows_second"))).alias("digest_equal"))
+        sides = [table_digest(a, name).withColumn("side", F.lit(1)),
+                 table_digest(b, name).withColumn("side", F.lit(2))]
         if exact and same_schema:
-            only_a = a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_in_first"))
-            only_b = b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_in_second"))
-            diff = (only_a.withColumn("table_name", F.lit(name))
-                    .join(only_b.withColumn("table_name", F.lit(name)), "table_name"))
-            row = row.join(diff, "table_name")
-        else:
-            row = row.select("*", F.lit(None).cast("long").alias("only_in_first"),
-                             F.lit(None).cast("long").alias("only_in_second"))
+            sides.append(a.exceptAll(b).agg(F.lit(name).alias("table_name"),
+                                             F.count(F.lit(1)).alias("row_count"))
+                         .withColumn("side", F.lit(3)))
+            sides.append(b.exceptAll(a).agg(F.lit(name).alias("table_name"),
+                                             F.count(F.lit(1)).alias("row_count"))
+                         .withColumn("side", F.lit(4)))
+        u = sides[0]
+        for x in sides[1:]:
+            u = u.unionByName(x, allowMissingColumns=True)
+
+        def pick(col: str, side: int) -> F.Column:
+            return F.max(F.when(F.col("side") == side, F.col(col)))
+
+        row = u.groupBy("table_name").agg(
+            pick("row_count", 1).alias("rows_first"), pick("row_count", 2).alias("rows_second"),
+            F.lit(same_schema).alias("schema_equal"),
+            ((pick("xor_hash", 1) == pick("xor_hash", 2)) & (pick("sum_hash", 1) == pick("sum_hash", 2))
+             & (pick("row_count", 1) == pick("row_count", 2))).alias("digest_equal"),
+            pick("row_count", 3).alias("only_in_first"), pick("row_count", 4).alias("only_in_second"))
         parts.append(row)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    del spark
     return out
 
 
@@ -132,12 +135,11 @@ def category_fidelity(source: DataFrame, other: DataFrame, column: str) -> DataF
         F.count(F.lit(1)).alias("np"))
     q = other.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(
         F.count(F.lit(1)).alias("nq"))
-    tp = source.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("tp"))
-    tq = other.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("tq"))
-    totals = tp.withColumn("__j", F.lit(1)).join(tq.withColumn("__j", F.lit(1)), "__j")
-    j = p.join(q, "v", "full_outer").withColumn("__j", F.lit(1)).join(F.broadcast(totals), "__j")
-    pp = F.coalesce(F.col("np"), F.lit(0)) / F.col("tp")
-    qq = F.coalesce(F.col("nq"), F.lit(0)) / F.col("tq")
+    tp = source.where(F.col(column).isNotNull()).agg(F.count(F.lit(1))).scalar()
+    tq = other.where(F.col(column).isNotNull()).agg(F.count(F.lit(1))).scalar()
+    j = p.join(q, "v", "full_outer")
+    pp = F.coalesce(F.col("np"), F.lit(0)) / tp
+    qq = F.coalesce(F.col("nq"), F.lit(0)) / tq
     return j.agg(
         F.lit(column).alias("column_name"),
         (F.sum(F.abs(pp - qq)) / 2).alias("tvd"),

@@ -30,11 +30,9 @@ def page(df: DataFrame, order_by: list[str], offset: int = 0, limit: int | None
         raise ValueError("offset must be ≥ 0")
     if not order_by:
         raise ValueError("paging needs an ordering key")
-    total = df.agg(F.count(F.lit(1)).alias("total_rows"))
+    total = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery, no join
     rows = df.orderBy(*order_by).offset(int(offset)).limit(clamp_limit(limit))
     if json_safe_values:
         rows = rows.select(*[json_safe(F.col(f.name), f.dataType).alias(f.name)
                              for f in df.schema.fields])
-    # the one-row count is attached by a broadcast equi-join on a constant key
-    return rows.withColumn("__one", F.lit(1)).join(
-        F.broadcast(total.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    return rows.withColumn("total_rows", total)

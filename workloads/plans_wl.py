@@ -83,13 +83,16 @@ def _parquet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     parts = []
     for name, df in data.items():
         back = spark.read.parquet(f"{base}/{name}")
-        a = table_digest(df, name).select("table_name", F.col("row_count").alias("expected"),
-                                          F.col("xor_hash").alias("x1"), F.col("sum_hash").alias("s1"))
-        b = table_digest(back, name).select("table_name", F.col("row_count").alias("actual"),
-                                            F.col("xor_hash").alias("x2"), F.col("sum_hash").alias("s2"))
-        parts.append(a.join(b, "table_name").select(
-            "table_name", "expected", "actual", (F.col("expected") == F.col("actual")).alias("ok"),
-            ((F.col("x1") == F.col("x2")) & (F.col("s1") == F.col("s2"))).alias("digest_equal")))
+        u = (table_digest(df, name).withColumn("side", F.lit(1))
+             .unionByName(table_digest(back, name).withColumn("side", F.lit(2))))
+
+        def side(col: str, k: int):
+            return F.max(F.when(F.col("side") == k, F.col(col)))
+        parts.append(u.groupBy("table_name").agg(
+            side("row_count", 1).alias("expected"), side("row_count", 2).alias("actual"),
+            (side("row_count", 1) == side("row_count", 2)).alias("ok"),
+            ((side("xor_hash", 1) == side("xor_hash", 2))
+             & (side("sum_hash", 1) == side("sum_hash", 2))).alias("digest_equal")))
     return parts[0].unionByName(parts[1])
 
 

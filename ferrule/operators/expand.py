@@ -47,34 +47,38 @@ def prefix_start(df: DataFrame, bucket: Column, order_cols: list[str], weight: C
             .drop("__bucket", "__w", "__boff"))
 
 
+def explode_counts(df: DataFrame, start_col: str, count_col: str, row_col: str,
+                   order_col: str, max_count: int | None = None) -> DataFrame:
+    """Repeat each row ``count`` times with ``row_col`` = start .. start+count-1 and ``__pos``
+    = 0 .. count-1.  Rows with more than ``EXPLODE_CHUNK`` copies are first split into chunks
+    that are hash-distributed on (``order_col``, chunk), so no task explodes a hot row alone."""
+    cnt = F.col(count_col)
+    if max_count is None or max_count > EXPLODE_CHUNK:  # None: maximum unknown, chunk always
+        chunks = df.withColumn(
+            "__chunk", F.explode(F.sequence(F.lit(0).cast("long"),
+                                            F.expr(f"(`{count_col}` - 1) div {EXPLODE_CHUNK}"))))
+        first = F.col("__chunk") * EXPLODE_CHUNK          # position of the chunk's first copy
+        chunks = chunks.withColumn("__len", F.least(F.lit(EXPLODE_CHUNK).cast("long"), cnt - first))
+        chunks = chunks.repartition(order_col, "__chunk")
+        out = chunks.withColumn("__p", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                            F.col("__len") - 1)))
+        return (out.withColumn("__pos", first + F.col("__p"))
+                .withColumn(row_col, F.col(start_col) + F.col("__pos"))
+                .drop("__chunk", "__len", "__p"))
+    out = df.withColumn("__pos", F.explode(F.sequence(F.lit(0).cast("long"), cnt - 1)))
+    return out.withColumn(row_col, F.col(start_col) + F.col("__pos"))
+
+
 def expand_by_counts(parents: DataFrame, order_col: str, count_col: str, key_range: int,
                      base: int = 0, max_count: int | None = None, row_col: str = "__row") -> DataFrame:
     """Repeat each parent row ``count`` times in ``order_col`` order; the child rows get a dense
-    index ``row_col`` = 0..Σcount-1 (children of parent j follow those of parent j-1).
-
-    Parents with more than ``EXPLODE_CHUNK`` children are split into chunks that are
-    hash-distributed before the inner explode, so a hot parent never lands in a single task.
-    """
+    index ``row_col`` = 0..Σcount-1 (children of parent j follow those of parent j-1)."""
     width = bucket_width(key_range)
     cnt = F.col(count_col)
     with_start = prefix_start(parents.where(cnt > 0), range_bucket(order_col, base, width),
                               [order_col], cnt)
-    if max_count is not None and max_count > EXPLODE_CHUNK:
-        chunks = with_start.withColumn(
-            "__chunk", F.explode(F.sequence(F.lit(0).cast("long"),
-                                            F.expr(f"(`{count_col}` - 1) div {EXPLODE_CHUNK}"))))
-        first = F.col("__chunk") * EXPLODE_CHUNK          # position of the chunk's first child
-        chunks = (chunks.withColumn("__len", F.least(F.lit(EXPLODE_CHUNK).cast("long"), cnt - first))
-                  .repartition(order_col, "__chunk"))
-        out = chunks.withColumn("__p", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                            F.col("__len") - 1)))
-        out = (out.withColumn("__pos", first + F.col("__p"))
-               .withColumn(row_col, F.col("__start") + F.col("__pos"))
-               .drop("__chunk", "__len", "__p"))
-    else:
-        out = with_start.withColumn("__pos", F.explode(F.sequence(F.lit(0).cast("long"), cnt - 1)))
-        out = out.withColumn(row_col, F.col("__start") + F.col("__pos"))
-    return out.drop("__start")
+    return explode_counts(with_start, "__start", count_col, row_col, order_col,
+                          max_count if max_count is not None else 0).drop("__start")
 
 
 def dense_index(df: DataFrame, key: str, out: str = "__row", distinct: bool = True) -> tuple[DataFrame, int]:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import render as R
-from ..operators.expand import MAX_BUCKETS, MIN_BUCKET_ROWS, bucket_width, prefix_start, range_bucket
+from ..operators.expand import (MAX_BUCKETS, MIN_BUCKET_ROWS, bucket_width, explode_counts,
+                                prefix_start, range_bucket)
 from ..session import spread
 from ..sources.tables import table_path, validate_relname
 
@@ -53,29 +54,40 @@ def copy_lines(df: DataFrame) -> DataFrame:
     return spread(df).select(*df.columns, R.copy_line(df.schema).alias("line"))
 
 
-def row_numbers(df: DataFrame, order_by: list[str], out: str = "__idx") -> DataFrame:
-    """Dense 0-based row numbers following ``order_by`` (two-level prefix sum, no single-task
-    window).  A single integral key gives key order; otherwise rows are numbered in
-    (hash bucket, order_by) order, which is deterministic but not a global sort."""
+def row_numbers(df: DataFrame, order_by: list[str], out: str = "__idx",
+                unique_key: bool = False) -> DataFrame:
+    """Dense 0-based row numbers (two-level prefix sum, no single-task window).
+
+    ``unique_key``: ``order_by`` is one unique integral key → numbers follow key order and range
+    buckets hold at most ``width`` rows each.  Otherwise rows are first collapsed map-side into
+    (row, copies) — a group of identical rows becomes one row — numbered in (hash bucket,
+    order_by, other columns) order weighted by copies, and the copies are exploded back in
+    chunks; no key or group of copies can concentrate in one task."""
     dtype = df.schema[order_by[0]].dataType
-    if len(order_by) == 1 and isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+    integral = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if unique_key and len(order_by) == 1 and integral:
         st = df.agg(F.min(order_by[0]), F.max(order_by[0])).first()
         lo, hi = (st[0] or 0), (st[1] or 0)
         bucket = range_bucket(order_by[0], int(lo), bucket_width(int(hi) - int(lo) + 1))
-    else:
-        n = df.count()
-        nb = max(1, min(MAX_BUCKETS, -(-n // MIN_BUCKET_ROWS)))
-        bucket = F.pmod(F.xxhash64(*[F.col(c) for c in order_by]), F.lit(nb))
-    return prefix_start(df, bucket, order_by, F.lit(1), out)
+        return prefix_start(df, bucket, order_by, F.lit(1), out)
+    rest = [c for c in df.columns if c not in order_by]
+    ordered = order_by + rest
+    distinct = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    n = distinct.count()
+    nb = max(1, min(MAX_BUCKETS, -(-n // MIN_BUCKET_ROWS)))
+    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in ordered]), F.lit(nb))
+    with_start = prefix_start(distinct, bucket, ordered, F.col("__copies"))
+    return (explode_counts(with_start, "__start", "__copies", out, order_by[0])
+            .drop("__start", "__copies", "__pos"))
 
 
 def sql_statements(df: DataFrame, table: str, order_by: list[str],
-                   batch: int = SQL_BATCH_ROWS) -> DataFrame:
+                   batch: int = SQL_BATCH_ROWS, unique_key: bool = False) -> DataFrame:
     """(``stmt_no``, ``statement``): multi-row INSERTs of ``batch`` rows in ``order_by`` order."""
     ident = R.sql_ident(validate_relname(table))
     cols = ", ".join(R.sql_ident(c) for c in df.columns)
     head = f"INSERT INTO {ident} ({cols}) VALUES\n"
-    rows = row_numbers(df, order_by).select(
+    rows = row_numbers(df, order_by, unique_key=unique_key).select(
         F.expr(f"__idx div {batch}").alias("stmt_no"),
         F.struct(F.col("__idx").alias("i"), R.sql_tuple(df.schema).alias("t")).alias("r"))
     grouped = rows.groupBy("stmt_no").agg(F.array_sort(F.collect_list("r")).alias("rs"))
@@ -123,8 +135,9 @@ def write_copy(df: DataFrame, path: str, order_by: list[str] | None = None, part
     _write_text(copy_lines(df), path, order_by, parts)
 
 
-def write_sql(df: DataFrame, path: str, table: str, order_by: list[str], parts: int | None = None) -> None:
-    st = sql_statements(df, table, order_by)
+def write_sql(df: DataFrame, path: str, table: str, order_by: list[str], parts: int | None = None,
+              unique_key: bool = False) -> None:
+    st = sql_statements(df, table, order_by, unique_key=unique_key)
     _write_text(st.select("stmt_no", F.col("statement").alias("line")), path, ["stmt_no"], parts)
 
 

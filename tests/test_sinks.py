@@ -126,3 +126,12 @@ def test_load_replace_teardown(spark):
     with pytest.raises(ForeignNamespaceError):
         load_namespace(spark, "ds_foreign", {"customers": df}, mode="replace")
     assert teardown(spark, ns)["dropped"] is True
+
+
+def test_sql_statements_with_hot_copies(spark):
+    # one row repeated many times plus a duplicated key: numbering stays dense and complete
+    rows = [(1, "a")] * 1200 + [(2, "b"), (2, "c"), (3, None)]
+    df = spark.createDataFrame(rows, "k long, s string")
+    st = sql_statements(df, "t", ["k"], batch=500).collect()
+    body = "".join(r.statement for r in st)
+    assert len(st) == 3 and body.count("(1, 'a')") == 1200 and body.count("(3, NULL)") == 1

@@ -35,7 +35,8 @@ def _render_jsonl(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _render_sql(spark: SparkSession, sf: str) -> DataFrame:
-    return sql_statements(_decimals(table(spark, sf, "customer")), "customer", ["c_custkey"])
+    return sql_statements(_decimals(table(spark, sf, "customer")), "customer", ["c_custkey"],
+                          unique_key=True)
 
 
 def _render_copy(spark: SparkSession, sf: str) -> DataFrame:

@@ -27,8 +27,9 @@ class TooManyCategories(ValueError):
     pass
 
 
-def value_cuts(source: DataFrame, column: str) -> DataFrame:
-    """(value, lo, hi): [lo, hi) slices of [0, 2^32) proportional to observed counts, in value order."""
+def value_cuts(source: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """((value, lo, hi), number of values): [lo, hi) slices of [0, 2^32) proportional to observed
+    counts, in value order."""
     counts = source.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
         F.count(F.lit(1)).alias("n"))
     n_values = counts.count()
@@ -39,19 +40,20 @@ def value_cuts(source: DataFrame, column: str) -> DataFrame:
     cum = counts.select("value", "n", F.sum("n").over(w).alias("cum"), F.sum("n").over(tot).alias("total"))
     hi = F.round(F.col("cum") / F.col("total") * F.lit(float(TWO32))).cast("long")
     lo = F.round((F.col("cum") - F.col("n")) / F.col("total") * F.lit(float(TWO32))).cast("long")
-    return cum.select("value", lo.alias("lo"), F.when(F.col("cum") == F.col("total"), F.lit(TWO32))
+    cuts = cum.select("value", lo.alias("lo"), F.when(F.col("cum") == F.col("total"), F.lit(TWO32))
                       .otherwise(hi).alias("hi")).where(F.col("hi") > F.col("lo"))
+    return cuts, n_values
 
 
 def empirical_column(spine: DataFrame, index_col: str, source: DataFrame, column: str, seed: int,
                      table: str, out: str) -> DataFrame:
     """Add ``out`` to every ``spine`` row: a value of ``source.column`` drawn with its observed
     frequency (draw indexed by ``index_col``)."""
-    cuts = value_cuts(source, column)
+    cuts, n_values = value_cuts(source, column)
     shift = 32 - BUCKET_BITS
     per_bucket = cuts.select("value", "lo", "hi", F.explode(F.sequence(
         F.shiftright(F.col("lo"), shift), F.shiftright(F.col("hi") - 1, shift))).alias("__b"))
-    if cuts.count() <= BROADCAST_CATEGORIES:
+    if n_values <= BROADCAST_CATEGORIES:
         per_bucket = F.broadcast(per_bucket)
     d = f"__e_{out}"
     rows = with_draws(spread(spine), index_col, {d: derive_seed(seed, table, out)})

@@ -51,8 +51,12 @@ def _draw_seeds(seed: int, table: str, column: str, n: int) -> list[int]:
 
 
 def generate_columns(base: DataFrame, table: TableSpec, seed: int,
-                     fk_values: dict[str, Column] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Value columns of ``table`` for every row of ``base`` (which carries ``__row``)."""
+                     fk_values: dict[str, Column] | None = None, keep: list[str] | None = None,
+                     partitioned: bool = False) -> DataFrame:
+    """Value columns of ``table`` for every row of ``base`` (which carries ``__row``).
+
+    ``partitioned``: ``base`` is already split for the cluster (a ``spine``), so the
+    under-partitioning probe is skipped."""
     fk_values = fk_values or {}
     draws: dict[str, int] = {}
     plan: list[tuple[Any, list[str], str | None]] = []
@@ -69,7 +73,7 @@ def generate_columns(base: DataFrame, table: TableSpec, seed: int,
             null_name = f"__n{ci}"
             draws[null_name] = derive_seed(seed, table.name, col.name, "__nulls__")
         plan.append((col, names, null_name))
-    df = with_draws(spread(base, [ROW]), ROW, draws)
+    df = with_draws(base if partitioned else spread(base, [ROW]), ROW, draws)
     out: list[Column] = [F.col(k) for k in (keep or [])]
     for col, names, null_name in plan:
         stype = col.type.spark_type()
@@ -112,7 +116,7 @@ def generate_table(spark: SparkSession, table: TableSpec, seed: int, n: int | No
     if rows is None:
         raise SpecError("ROWCOUNT_MISSING", f"table {table.name!r} has no row_count and no n")
     df = generate_columns(spine(spark, rows, offset, parts), table, seed,
-                          keep=[ROW] if keep_row else None)
+                          keep=[ROW] if keep_row else None, partitioned=True)
     if unique:
         check_unique(df, table)
     return df

@@ -27,20 +27,32 @@ from ..plans.spec import DatasetSpec, SpecError, TableSpec, build_order, driving
 from .expand import dense_index, expand_by_counts
 
 ROW = "__row"
-# Fixed value of the plan shape: generated rows per input slice of the spine.
-ROWS_PER_PARTITION = 1_000_000
+# Fixed values of the plan shape: target bytes of generated output per spine slice, and the
+# estimated bytes per value of each canonical kind (text kinds by their typical length).
+PARTITION_BYTES = 128 << 20
+KIND_BYTES = {"BOOLEAN": 1, "INT16": 2, "INT32": 4, "INT64": 8, "FLOAT32": 4, "FLOAT64": 8,
+              "DECIMAL": 16, "DATE": 4, "TIME": 8, "TIMESTAMP": 8, "UUID": 36, "JSON": 32,
+              "STRING": 32, "BYTES": 32}
+
+
+def row_bytes(table: TableSpec) -> int:
+    """Estimated bytes of one generated row (sizes the spine's slices)."""
+    return max(8, sum(KIND_BYTES.get(c.type.kind, 16) for c in table.columns))
 
 
 class UniquenessError(ValueError):
     """A PK/UNIQUE column received duplicate values."""
 
 
-def spine(spark: SparkSession, n: int, offset: int = 0, parts: int | None = None) -> DataFrame:
-    """Rows ``offset .. offset+n-1`` as ``__row``; slices are independent of ``parts``."""
+def spine(spark: SparkSession, n: int, offset: int = 0, parts: int | None = None,
+          bytes_per_row: int = 64) -> DataFrame:
+    """Rows ``offset .. offset+n-1`` as ``__row``; values never depend on ``parts``, which by
+    default gives every core a slice and keeps each slice near ``PARTITION_BYTES`` of output."""
     if n < 0:
         raise ValueError("row count must be ≥ 0")
     if parts is None:
-        parts = max(spark.sparkContext.defaultParallelism, math.ceil(n / ROWS_PER_PARTITION))
+        parts = max(spark.sparkContext.defaultParallelism,
+                    math.ceil(n * bytes_per_row / PARTITION_BYTES))
         parts = max(1, min(parts, max(1, n)))
     return spark.range(offset, offset + n, 1, parts).withColumnRenamed("id", ROW)
 
@@ -115,7 +127,7 @@ def generate_table(spark: SparkSession, table: TableSpec, seed: int, n: int | No
     rows = n if n is not None else table.row_count
     if rows is None:
         raise SpecError("ROWCOUNT_MISSING", f"table {table.name!r} has no row_count and no n")
-    df = generate_columns(spine(spark, rows, offset, parts), table, seed,
+    df = generate_columns(spine(spark, rows, offset, parts, row_bytes(table)), table, seed,
                           keep=[ROW] if keep_row else None, partitioned=True)
     if unique:
         check_unique(df, table)
@@ -260,7 +272,7 @@ def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[st
             n = row_counts.get(name, t.row_count)
             if n is None:
                 raise SpecError("ROWCOUNT_MISSING", f"table {name!r} has no driving FK and no row_count")
-            base = spine(spark, n, 0, parts)
+            base = spine(spark, n, 0, parts, row_bytes(t))
         for fk in t.foreign_keys:
             if fk is drv:
                 continue

@@ -191,7 +191,11 @@ def verbatim_leakage(source: DataFrame, other: DataFrame, columns: list[str],
     o = other.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(oc)])
     o = o.groupBy(*[f"k{i}" for i in range(len(oc))]).agg(F.count(F.lit(1)).alias("n"))
     s = source.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]).distinct()
-    leaked = o.join(s, [f"k{i}" for i in range(len(oc))], "left_semi")
+    s = s.select(*[F.col(f"k{i}").alias(f"s{i}") for i in range(len(oc))])
+    cond = F.col("n") > 0  # reads the aggregate: keeps the semi-join above it
+    for i in range(len(oc)):
+        cond = cond & (F.col(f"k{i}") == F.col(f"s{i}"))
+    leaked = o.join(s, cond, "left_semi")
     return leaked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("leaked_rows"),
                       F.count(F.lit(1)).alias("leaked_values"))
 

@@ -153,7 +153,6 @@ def profile_columns(df: DataFrame, top_k: int = 10, accuracy: int = 10000) -> Da
     distinct count, min, max, quartiles of numeric columns and the ``top_k`` most frequent
     values with counts (one grouped shuffle per column; partial aggregates combine hot values
     map-side).  ``top_k`` is the size of the frequent-value report, not a cap on rows read."""
-    spark = df.sparkSession
     names = [f.name for f in df.schema.fields]
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(df.schema.fields):
@@ -194,5 +193,4 @@ def profile_columns(df: DataFrame, top_k: int = 10, accuracy: int = 10000) -> Da
     top = tops[0]
     for t in tops[1:]:
         top = top.unionByName(t)
-    del spark
     return stats.join(F.broadcast(top), "column_name", "left")

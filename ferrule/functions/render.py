@@ -15,7 +15,9 @@ Conventions (fixed values of the output formats):
 
 Fractional seconds are printed (6 digits) only when non-zero; floats follow the shortest
 round-trip text with positional notation for 1e-4 ≤ |x| < 1e16 and ``1e-05``/``1e+16`` style
-outside.
+outside.  The digits come from the JVM's double-to-text conversion: on JDK < 19 it is not always
+the shortest (one extra digit for some values, mostly |x| ≥ 1e16, some powers of two and
+subnormals); the text then still parses back to the same double.
 """
 
 from __future__ import annotations
@@ -51,7 +53,8 @@ def float_text(col: Column) -> Column:
     mant = F.when(nd > 1, F.concat(digits.substr(1, 1), F.lit("."), digits.substr(F.lit(2), nd)))\
         .otherwise(digits)
     expo = F.concat(mant, F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
-                    F.lpad(F.abs(e).cast("string"), 2, "0"))
+                    F.when(F.abs(e) < 10, F.concat(F.lit("0"), F.abs(e).cast("string")))
+                    .otherwise(F.abs(e).cast("string")))  # lpad would cut 3-digit exponents
     body = (F.when((e >= 16) | (e < -4), expo)
             .when(e >= 0, positional_big).otherwise(positional_small))
     x = col.cast("double")

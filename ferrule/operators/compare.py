@@ -113,16 +113,29 @@ def dataset_diff(first: DataFrame, second: DataFrame, key: list[str]) -> DataFra
 # --- schema drift ---------------------------------------------------------------------------
 
 def schema_drift(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(column_name, first_type, second_type, status ∈ {same, changed, added, removed})."""
-    a = {f.name: f.dataType.simpleString() for f in first.schema.fields}
-    b = {f.name: f.dataType.simpleString() for f in second.schema.fields}
-    rows = []
-    for name in list(a) + [n for n in b if n not in a]:
+    """(column_name, first_type, second_type, status ∈ {same, changed, added, removed},
+    lossy_values): for a changed column, the non-null values of ``first`` that the second type
+    does not hold exactly (the cast there and back differs, or fails) — one aggregate pass."""
+    a = {f.name: f.dataType for f in first.schema.fields}
+    b = {f.name: f.dataType for f in second.schema.fields}
+    meta, aggs = [], []
+    for i, name in enumerate(list(a) + [n for n in b if n not in a]):
         ta, tb = a.get(name), b.get(name)
-        status = "added" if ta is None else "removed" if tb is None else "same" if ta == tb else "changed"
-        rows.append((name, ta, tb, status))
-    return first.sparkSession.createDataFrame(
-        rows, "column_name string, first_type string, second_type string, status string")
+        status = ("added" if ta is None else "removed" if tb is None
+                  else "same" if ta == tb else "changed")
+        if status == "changed":
+            v = F.col(name)
+            back = v.try_cast(tb).try_cast(ta)
+            aggs.append(F.count_if(v.isNotNull() & ~back.eqNullSafe(v)).alias(f"l{i}"))
+        else:
+            aggs.append(F.lit(None).cast("long").alias(f"l{i}"))
+        meta.append((name, None if ta is None else ta.simpleString(),
+                     None if tb is None else tb.simpleString(), status))
+    return first.agg(*aggs).select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("column_name"), F.lit(x).cast("string").alias("first_type"),
+                 F.lit(y).cast("string").alias("second_type"), F.lit(s).alias("status"),
+                 F.col(f"l{i}").alias("lossy_values"))
+        for i, (n, x, y, s) in enumerate(meta)])))
 
 
 # --- fidelity -------------------------------------------------------------------------------

@@ -99,17 +99,41 @@ def column_agrees(dtype: T.DataType | None, col: dict[str, Any]) -> str | None:
     return "type"
 
 
+def _declared_spark_type(col: dict[str, Any]) -> T.DataType | None:
+    from .types import CanonicalType
+    try:
+        return CanonicalType(col["canonical_kind"], precision=col.get("precision"),
+                             scale=col.get("scale") if col.get("scale") is not None
+                             else (0 if col.get("precision") is not None else None),
+                             tz=bool(col.get("tz"))).spark_type()
+    except ValueError:
+        return None
+
+
 def type_agreement(table: str, columns: list[dict[str, Any]], df: DataFrame) -> DataFrame:
-    """One row per declared column: expected kind, actual Spark type, ok, problem."""
+    """One row per declared column: expected kind, actual Spark type, ok, problem, and
+    ``unfit_values`` — stored non-null values the declared type cannot hold (they would fail a
+    load into that type).  The counts come from one aggregate pass over the table."""
     fields = {f.name: f.dataType for f in df.schema.fields}
-    rows = []
-    for c in columns:
+    meta, aggs = [], []
+    for i, c in enumerate(columns):
         dtype = fields.get(c["name"])
         problem = column_agrees(dtype, c)
         expected = c["canonical_kind"]
         if expected == "DECIMAL":
             expected += f"({c.get('precision')},{c.get('scale')})"
-        rows.append((table, c["name"], expected, None if dtype is None else dtype.simpleString(),
+        target = _declared_spark_type(c)
+        if dtype is not None and target is not None:
+            v = F.col(c["name"])
+            aggs.append(F.count_if(v.isNotNull() & v.try_cast(target).isNull()).alias(f"u{i}"))
+        else:
+            aggs.append(F.lit(None).cast("long").alias(f"u{i}"))
+        meta.append((c["name"], expected, None if dtype is None else dtype.simpleString(),
                      problem is None, problem))
-    schema = "table_name string, column_name string, expected string, actual string, ok boolean, problem string"
-    return df.sparkSession.createDataFrame(rows, schema)
+    counts = df.agg(*aggs)
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(table).alias("table_name"), F.lit(n).alias("column_name"),
+                 F.lit(e).alias("expected"), F.lit(a).cast("string").alias("actual"),
+                 F.lit(ok).alias("ok"), F.lit(p).cast("string").alias("problem"),
+                 F.col(f"u{i}").alias("unfit_values"))
+        for i, (n, e, a, ok, p) in enumerate(meta)])))

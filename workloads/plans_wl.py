@@ -66,12 +66,20 @@ def _type_agreement_sql() -> str:
     kind_ok = ("CASE d.kind WHEN 'INT64' THEN a.actual = 'bigint' WHEN 'INT32' THEN a.actual = 'int' "
                "WHEN 'STRING' THEN a.actual = 'string' WHEN 'FLOAT64' THEN a.actual = 'double' "
                "WHEN 'DECIMAL' THEN a.actual LIKE 'decimal%' ELSE FALSE END")
+    duck = {"INT64": "BIGINT", "INT32": "INTEGER", "STRING": "VARCHAR"}
+    unfit = " UNION ALL ".join(
+        f"SELECT {q(c['name'])} AS column_name, count(*) FILTER (WHERE {c['name']} IS NOT NULL AND "
+        f"TRY_CAST({c['name']} AS "
+        f"{duck.get(c['canonical_kind']) or 'DECIMAL(%d,%d)' % (c['precision'], c['scale'])}) IS NULL) AS n "
+        "FROM customer" for c in CUSTOMER_DECLARED if c["name"] != "c_phone")
     return ("SELECT 'customer' AS table_name, d.column_name, d.expected, a.actual, "
             f"coalesce({kind_ok}, FALSE) AS ok, "
-            f"CASE WHEN a.actual IS NULL THEN 'missing' WHEN NOT ({kind_ok}) THEN 'type' END AS problem "
+            f"CASE WHEN a.actual IS NULL THEN 'missing' WHEN NOT ({kind_ok}) THEN 'type' END AS problem, "
+            "u.n AS unfit_values "
             f"FROM (VALUES {decl}) AS d(column_name, expected, kind) LEFT JOIN "
             f"(SELECT column_name, {actual} AS actual FROM information_schema.columns "
-            "WHERE table_name = 'customer') AS a ON a.column_name = d.column_name")
+            "WHERE table_name = 'customer') AS a ON a.column_name = d.column_name "
+            f"LEFT JOIN ({unfit}) AS u ON u.column_name = d.column_name")
 
 
 def _parquet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

@@ -157,7 +157,10 @@ DRIFT_SQL = (
     "CAST(NULL AS VARCHAR) AS o_comment FROM orders)) "
     "SELECT coalesce(a.column_name, b.column_name) AS column_name, a.t AS first_type, b.t AS second_type, "
     "CASE WHEN a.t IS NULL THEN 'added' WHEN b.t IS NULL THEN 'removed' WHEN a.t = b.t THEN 'same' "
-    "ELSE 'changed' END AS status FROM a FULL OUTER JOIN b ON a.column_name = b.column_name")
+    "ELSE 'changed' END AS status, CASE WHEN a.column_name = 'o_totalprice' THEN (SELECT count(*) FILTER "
+    "(WHERE o_totalprice IS NOT NULL AND CAST(TRY_CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) IS DISTINCT "
+    "FROM o_totalprice) FROM orders) END AS lossy_values "
+    "FROM a FULL OUTER JOIN b ON a.column_name = b.column_name")
 
 
 # --- fidelity (X07) ---------------------------------------------------------------------------

@@ -289,7 +289,8 @@ def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[st
                                 f"{fk.ref_table!r} is empty")
             base = sample_keys(base, ROW, pool, seed, name, fk.column, f"__fk_{fk.column}")
             fk_values[fk.column] = F.col(f"__fk_{fk.column}")
-        df = generate_columns(base, t, seed, fk_values, keep=[ROW])
+        # bases here are spines or shuffle outputs: already split, no partition probe needed
+        df = generate_columns(base, t, seed, fk_values, keep=[ROW], partitioned=True)
         if materialize_dir:
             df = materialize(spark_, df, f"{materialize_dir}/{name}")
         if unique:

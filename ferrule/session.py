@@ -79,6 +79,12 @@ def spread(df, cols: list[str] | None = None, min_partitions: int | None = None)
     that work on one core.  Large inputs already arrive in many splits and pass through
     unchanged.  With ``cols`` the shuffle hashes them (no sort needed for determinism)."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    # A plan with a shuffle already yields shuffle-partition-sized pieces; probing its RDD would
+    # make adaptive execution run every shuffle stage right here, so only exchange-free plans
+    # (scans and projections) are probed — for them the probe only lists the input splits.
+    physical = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in physical or "AdaptiveSparkPlan" in physical:
+        return df
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *cols) if cols else df.repartition(target)

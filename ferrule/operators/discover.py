@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import run_concurrently
 from .profile import _orderable
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -61,18 +62,30 @@ def _repeated_columns(df: DataFrame, columns: list[str]) -> set[str]:
     return {r.c for r in dup}
 
 
+def all_column_stats(tables: dict[str, DataFrame]) -> dict[str, dict]:
+    """``column_stats`` of every table, the per-table jobs submitted concurrently."""
+    names = list(tables)
+    res = run_concurrently([lambda n=n: column_stats(tables[n]) for n in names])
+    return dict(zip(names, res, strict=True))
+
+
 def discover_keys(spark: SparkSession, tables: dict[str, DataFrame],
                   stats: dict[str, dict] | None = None) -> DataFrame:
     """(table_name, column_name, is_key) for every orderable column."""
-    rows = []
-    for name, df in tables.items():
-        st = (stats or {}).get(name) or column_stats(df)
+    stats = stats or all_column_stats(tables)
+    cands = {}
+    for name in tables:
+        st = stats[name]
         n = st["rows"]
-        cand = [col for col, s in st["columns"].items()
-                if n > 0 and s["nulls"] == 0 and s["approx"] >= (1 - 4 * HLL_RSD) * n]
-        repeated = _repeated_columns(df, cand)
-        for col in st["columns"]:
-            rows.append((name, col, col in cand and col not in repeated))
+        cands[name] = [col for col, s in st["columns"].items()
+                       if n > 0 and s["nulls"] == 0 and s["approx"] >= (1 - 4 * HLL_RSD) * n]
+    names = list(tables)
+    repeated = dict(zip(names, run_concurrently(
+        [lambda n=n: _repeated_columns(tables[n], cands[n]) for n in names]), strict=True))
+    rows = []
+    for name in names:
+        for col in stats[name]["columns"]:
+            rows.append((name, col, col in cands[name] and col not in repeated[name]))
     return spark.createDataFrame(rows, "table_name string, column_name string, is_key boolean")
 
 
@@ -84,7 +97,7 @@ def discover_fks(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame
     columns to (key, value); an inner join on value counts, per pair, how many distinct child
     values found a parent.  A pair is an FK when that equals the child's distinct count.  Both
     join sides are duplicate-free per column, so no value can be hot."""
-    stats = {n: column_stats(df) for n, df in tables.items()}
+    stats = all_column_stats(tables)
     keys = [(r.table_name, r.column_name) for r in discover_keys(spark, tables, stats).collect()
             if r.is_key]
     out = None

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import run_concurrently
+
 # Fixed values of the suggestion rules.
 ENUM_MAX_DISTINCT = 12
 ENUM_SHORTLIST = 20
@@ -92,12 +94,14 @@ def suggest_rules(spark: SparkSession, tables: dict[str, DataFrame],
     ruled = {(r["table"], r["column"]) for r in (existing_rules or [])} | set(identifiers or ())
     small_rows: list[tuple] = []
     enum_parts: list[DataFrame] = []
-    for tname, df in tables.items():
-        cols = [f.name for f in df.schema.fields
-                if (tname, f.name) not in ruled and not is_identifier(f.name)]
-        if not cols:
-            continue
-        stats = column_pass(df, cols)
+    todo = {t: [f.name for f in df.schema.fields if (t, f.name) not in ruled and not is_identifier(f.name)]
+            for t, df in tables.items()}
+    todo = {t: cols for t, cols in todo.items() if cols}
+    passes = dict(zip(todo, run_concurrently(  # one aggregate job per table, run side by side
+        [lambda t=t: column_pass(tables[t], todo[t]) for t in todo]), strict=True))
+    for tname, cols in todo.items():
+        df = tables[tname]
+        stats = passes[tname]
         rows = stats["rows"]
         if rows == 0:
             continue

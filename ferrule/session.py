@@ -88,3 +88,15 @@ def spread(df, cols: list[str] | None = None, min_partitions: int | None = None)
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *cols) if cols else df.repartition(target)
+
+
+def run_concurrently(tasks: list, max_workers: int = 8) -> list:
+    """Run independent driver-side actions (callables that each trigger Spark jobs) from a
+    thread pool, so small per-table jobs share the cluster instead of queueing one by one.
+    Results come back in task order; the first failure is raised."""
+    from concurrent.futures import ThreadPoolExecutor
+    if len(tasks) <= 1:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(max_workers=min(max_workers, len(tasks))) as pool:
+        futures = [pool.submit(t) for t in tasks]
+        return [f.result() for f in futures]

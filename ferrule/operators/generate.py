@@ -175,17 +175,22 @@ def _parent_rows(pool: KeyPool, spark: SparkSession) -> DataFrame:
     return pool.frame.select(F.col(ROW).alias("__prow"), F.col("key").alias("__pkey"))
 
 
-def _expand(prow: DataFrame, size: int, seed: int, child: str, column: str,
-            lo: int, hi: int) -> DataFrame:
-    """Children of (``__prow``, ``__pkey``) parents: k ∈ [lo, hi] drawn per parent row index."""
+def _child_counts(prow: DataFrame, seed: int, child: str, column: str, lo: int, hi: int) -> DataFrame:
+    """(``__prow``, ``__pkey``, ``__k``): k ∈ [lo, hi] children drawn per parent row index."""
     span = hi - lo + 1
     n_k = 2 if span > (1 << 32) else 1
     kdraws = {f"__k{j}": derive_seed(seed, child, "__cardinality__", column) if j == 0 else
               derive_seed(seed, child, "__cardinality__", column, f"__draw{j}__") for j in range(n_k)}
     prow = with_draws(prow.withColumn(ROW, F.col("__prow")), ROW, kdraws)
-    prow = prow.select("__prow", "__pkey", (F.lit(lo).cast("long")
+    return prow.select("__prow", "__pkey", (F.lit(lo).cast("long")
                        + uniform_below([F.col(k) for k in kdraws], span)).alias("__k"))
-    return expand_by_counts(prow, "__prow", "__k", key_range=max(1, size), max_count=hi)
+
+
+def _expand(prow: DataFrame, size: int, seed: int, child: str, column: str,
+            lo: int, hi: int) -> DataFrame:
+    """Children of (``__prow``, ``__pkey``) parents, dense child row numbers in parent order."""
+    counts = _child_counts(prow, seed, child, column, lo, hi)
+    return expand_by_counts(counts, "__prow", "__k", key_range=max(1, size), max_count=hi)
 
 
 def expand_parent(parent: DataFrame, key: str, min_per_parent: int, max_per_parent: int,
@@ -296,7 +301,10 @@ def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[st
         if unique:
             check_unique(df, t)
         if t.primary_key and name in referenced:
-            size = n if n is not None else df.count()
+            # a driven child's size is Σk over its parents: a parent-level sum, no explode
+            size = n if n is not None else _child_counts(
+                _parent_rows(pools[drv.ref_table], spark), seed, name, drv.column,
+                drv.min_per_parent, drv.max_per_parent).agg(F.sum("__k")).first()[0] or 0
             pool = _table_pool(df, t, size)
             if pool is not None:
                 pools[name] = pool

@@ -100,3 +100,38 @@ def run_concurrently(tasks: list, max_workers: int = 8) -> list:
     with ThreadPoolExecutor(max_workers=min(max_workers, len(tasks))) as pool:
         futures = [pool.submit(t) for t in tasks]
         return [f.result() for f in futures]
+
+
+# Most shuffle partitions ever requested, and the fallback advisory size.
+MAX_SHUFFLE_PARTITIONS = 100_000
+ADVISORY_BYTES = 64 << 20
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under ``path`` (one metadata call to the file system)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(hpath).getLength())
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
+    """Make sure shuffles over ``input_bytes`` of input start with enough partitions.
+
+    AQE merges small shuffle partitions but never splits the initial ones, so the initial
+    count must follow the data: ``input / advisory partition size``, never lowered (several
+    inputs only raise it), capped at ``MAX_SHUFFLE_PARTITIONS``.  Returns the count in force."""
+    conf = spark.conf
+    base = int(conf.get("spark.sql.shuffle.partitions", "200"))
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    current = conf.get(key, None)
+    current = int(current) if current else base
+    advisory = conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
+    try:
+        advisory_bytes = int(advisory) if advisory and advisory.isdigit() else ADVISORY_BYTES
+    except ValueError:
+        advisory_bytes = ADVISORY_BYTES
+    wanted = min(MAX_SHUFFLE_PARTITIONS, max(current, -(-int(input_bytes) // advisory_bytes)))
+    if wanted > current:
+        conf.set(key, str(wanted))
+    return wanted

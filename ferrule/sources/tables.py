@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
 _MAX_NAME_BYTES = 63
@@ -23,16 +20,19 @@ def validate_relname(name: str) -> str:
 
 def table_path(base: str, name: str, suffix: str = ".parquet") -> str:
     """``base/name+suffix``, refusing names that would leave ``base``."""
+    # the validated name is one segment without separators, "." or "..", so it cannot leave
+    # ``base``; no normalisation (it would break URIs such as s3a://bucket/dir)
     validate_relname(name)
-    path = os.path.normpath(os.path.join(base, name + suffix))
-    if not re.match(re.escape(os.path.normpath(base)) + r"(/|$)", path):
-        raise ValueError(f"table name {name!r} escapes {base!r}")
-    return path
+    return base.rstrip("/") + "/" + name + suffix
 
 
 def read_table(spark: SparkSession, base: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Scan one table; a column list prunes the Parquet read schema."""
-    df = spark.read.parquet(table_path(base, name))
+    """Scan one table; a column list prunes the Parquet read schema.  The session's initial
+    shuffle partition count is raised to fit the table's size (see ``session.size_shuffles``)."""
+    from ..session import path_bytes, size_shuffles
+    path = table_path(base, name)
+    size_shuffles(spark, path_bytes(spark, path))
+    df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
 
 

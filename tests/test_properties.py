@@ -60,3 +60,42 @@ def test_generated_values_stay_in_bounds(spark, low, span, scale, seed):
     r = df.agg(F.min("i"), F.max("i"), F.min("d"), F.max("d")).first()
     assert low <= r[0] <= r[1] <= high and dlo <= r[2] <= r[3] <= dhi
     assert derive_seed(seed, "t", "i") != derive_seed(seed, "t", "d")
+
+
+def _copy_unescape(field):
+    if field == "\\N":
+        return None
+    out, i = [], 0
+    while i < len(field):
+        ch = field[i]
+        if ch == "\\" and i + 1 < len(field):
+            out.append({"t": "\t", "n": "\n", "r": "\r", "\\": "\\"}[field[i + 1]])
+            i += 2
+        else:
+            out.append(ch)
+            i += 1
+    return "".join(out)
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.characters(blacklist_characters="\x00",
+                                                                     blacklist_categories=("Cs",)),
+                                             max_size=30)), min_size=20, max_size=60))
+def test_text_renderers_round_trip(spark, texts):
+    import csv
+    import io
+    import json
+
+    from ferrule.sinks.files import copy_lines, csv_lines, jsonl_lines
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, s string")
+    js = {json.loads(r.line)["i"]: json.loads(r.line)["s"] for r in jsonl_lines(df).collect()}
+    assert js == dict(enumerate(texts))
+    lines = [r.line for r in csv_lines(df).collect() if not r.line.startswith('"i"')]
+    for line in lines:
+        i, s = next(csv.reader(io.StringIO(line)))
+        want = texts[int(i)]
+        # NULL is an empty unquoted field; an empty string is ""
+        assert (s if s != "" or line.endswith('""') else None) == want
+    for r in copy_lines(df).collect():
+        i, s = r.line.split("\t")
+        assert _copy_unescape(s) == texts[int(i)]

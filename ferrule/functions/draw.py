@@ -46,13 +46,19 @@ def _r_sql(x: str) -> str:
     return f"((({x} ^ shiftright({x}, 16)) * {MIX_MULT}L) & {MASK32}L)"
 
 
-def with_draws(df: DataFrame, index_col: str, draws: dict[str, int]) -> DataFrame:
+def with_draws(df: DataFrame, index_col: str, draws: dict[str, int],
+               barrier: bool = False) -> DataFrame:
     """Add one 32-bit draw column per entry of ``draws`` (name → sub-seed), indexed by
     ``index_col`` (a non-negative long row index).
 
     Each round is one projection; the expressions are handed over as SQL text (one call per
     round, parsed in the JVM), since building hundreds of Column objects one remote call at a
-    time dominated plan construction for wide tables."""
+    time dominated plan construction for wide tables.
+
+    ``barrier``: the draws will be filtered or joined on.  Catalyst pushes a filter down through
+    projections by substituting each alias, which would rebuild the whole mixer as one nested
+    expression whose size doubles per round; emitting the final values through a one-row
+    ``inline`` (a Generate) stops the pushdown at the finished draw columns."""
     if not draws:
         return df
     keep = [f"`{c}`" for c in df.columns]
@@ -70,7 +76,10 @@ def with_draws(df: DataFrame, index_col: str, draws: dict[str, int]) -> DataFram
               f" & {MASK32}L)" for n, s in draws.items()})
     for _ in range(2):
         stage({n: _r_sql(t[n]) for n in draws})
-    return df.selectExpr(*keep, *[f"({t[n]} ^ shiftright({t[n]}, 16)) AS `{n}`" for n in draws])
+    finals = [f"({t[n]} ^ shiftright({t[n]}, 16)) AS `{n}`" for n in draws]
+    if barrier:
+        return df.selectExpr(*keep, f"inline(array(struct({', '.join(finals)})))")
+    return df.selectExpr(*keep, *finals)
 
 
 def draw_py(seed: int, i: int) -> int:

@@ -56,7 +56,7 @@ def empirical_column(spine: DataFrame, index_col: str, source: DataFrame, column
     if n_values <= BROADCAST_CATEGORIES:
         per_bucket = F.broadcast(per_bucket)
     d = f"__e_{out}"
-    rows = with_draws(spread(spine), index_col, {d: derive_seed(seed, table, out)})
+    rows = with_draws(spread(spine), index_col, {d: derive_seed(seed, table, out)}, barrier=True)
     rows = rows.withColumn("__b", F.shiftright(F.col(d), shift))
     joined = rows.join(per_bucket, "__b").where((F.col(d) >= F.col("lo")) & (F.col(d) < F.col("hi")))
     return joined.drop("__b", "lo", "hi", d).withColumnRenamed("value", out)

@@ -211,7 +211,8 @@ def sample_keys(child: DataFrame, index_col: str, pool: KeyPool, seed: int, tabl
     if pool.size == 0:
         raise SpecError("FK_UNRESOLVED", f"{table}.{column}: the key pool is empty")
     sname = f"__s_{column}"
-    child = with_draws(child, index_col, {sname: derive_seed(seed, table, "__fk_sample__", column)})
+    child = with_draws(child, index_col, {sname: derive_seed(seed, table, "__fk_sample__", column)},
+                       barrier=True)  # joined on: keep the join's null filter off the mixer
     return pool.lookup(child, F.col(sname) % F.lit(pool.size).cast("long"), out).drop(sname)
 
 

@@ -17,7 +17,8 @@ Edge = tuple[str, str, str, str]  # (child table, child column, parent table, pa
 
 
 def choose_roots(df: DataFrame, key: str, fraction: float, seed: int, label: str) -> DataFrame:
-    picked = with_draws(df, key, {"__pick": derive_seed(seed, label, "__subset__", key)})
+    picked = with_draws(df, key, {"__pick": derive_seed(seed, label, "__subset__", key)},
+                        barrier=True)  # filtered on
     return picked.where(F.col("__pick") < F.lit(unit_cut(fraction)).cast("long")).drop("__pick")
 
 

@@ -112,8 +112,10 @@ def check_unique(df: DataFrame, table: TableSpec, skip: set[str] | None = None)
         col = table.column(name)
         if name in skip or (col.generator is not None and col.generator.kind == "serial"):
             continue
-        dup = (df.where(F.col(name).isNotNull()).groupBy(name).count()
-               .where(F.col("count") > 1).limit(1).collect())
+        # group first, then drop the one NULL group on the driver: a filter on the freshly
+        # generated column would be pushed into (and re-inline) its draw projections
+        groups = df.groupBy(name).count().where(F.col("count") > 1).limit(2).collect()
+        dup = [g for g in groups if g[0] is not None]
         if dup:
             raise UniquenessError(
                 f"{table.name}.{name} requires unique values but the generator produced duplicates "

@@ -234,3 +234,13 @@ def boundary_coverage(df: DataFrame, column: str, low, high) -> DataFrame:
     return df.agg(F.lit(column).alias("column_name"), F.count_if(c == F.lit(low)).alias("at_low"),
                   F.count_if(c == F.lit(high)).alias("at_high"),
                   F.count_if((c > F.lit(low)) & (c < F.lit(high))).alias("inside"))
+
+
+def value_coverage(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Every declared value of ``column`` with its observed row count (0 = never produced);
+    one grouped aggregate, the declared list is parameter-sized."""
+    spark = df.sparkSession
+    domain = spark.createDataFrame([(v,) for v in values],
+                                   T.StructType([T.StructField(column, df.schema[column].dataType)]))
+    seen = df.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
+    return domain.join(seen, column, "left").fillna(0, subset=["rows"])

@@ -106,3 +106,24 @@ def test_edits_and_empirical_and_paging(spark):
     assert abs(share - 0.9) < 0.02 and gen.count() == 20000
     pg = page(spark.range(0, 50).withColumnRenamed("id", "k"), ["k"], offset=45, limit=10).collect()
     assert [r.k for r in pg] == [45, 46, 47, 48, 49] and pg[0].total_rows == 50
+
+
+def test_value_coverage_and_failing_rows(spark):
+    from ferrule.operators.compare import value_coverage
+    from ferrule.operators.datatests import failing_rows
+    df = spark.createDataFrame([("a", 1), ("a", 50), ("b", 7)], "s string, n long")
+    cov = {r.s: r.rows for r in value_coverage(df, "s", ["a", "b", "c"]).collect()}
+    assert cov == {"a": 2, "b": 1, "c": 0}
+    bad = failing_rows(df, DataTest("value_range", "t", "n", {"min": 0, "max": 10}), k=5).collect()
+    assert [r.n for r in bad] == [50]
+
+
+def test_draw_barrier_keeps_filters_small(spark):
+    from ferrule.functions.draw import with_draws
+    base = spark.range(0, 1000).withColumnRenamed("id", "k")
+    plain = with_draws(base, "k", {"d": 99}).where(F.col("d") < 2 ** 31)
+    fenced = with_draws(base, "k", {"d": 99}, barrier=True).where(F.col("d") < 2 ** 31)
+    p_plain = plain._jdf.queryExecution().optimizedPlan().toString()
+    p_fenced = fenced._jdf.queryExecution().optimizedPlan().toString()
+    assert len(p_fenced) * 3 < len(p_plain)  # the filter no longer re-inlines every round
+    assert plain.count() == fenced.count()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ferrule.functions.draw import derive_seed, unit_cut
 from ferrule.operators.compare import (boundary_coverage, category_fidelity, dataset_diff,
                                        numeric_fidelity, pair_coverage, schema_drift,
-                                       verbatim_leakage)
+                                       value_coverage, verbatim_leakage)
 from ferrule.operators.datatests import SEVERITY, DataTest, run_tests, score_report
 from ferrule.operators.edits import apply_edits
 from ferrule.operators.empirical import empirical_column
@@ -217,6 +217,17 @@ COVERAGE_SQL = (
     "FROM orders GROUP BY 1, 2) AS c ON c.o_orderstatus = d.o_orderstatus AND c.o_orderpriority = d.o_orderpriority")
 
 
+def _value_cov(spark: SparkSession, sf: str) -> DataFrame:
+    return value_coverage(table(spark, sf, "orders"), "o_orderpriority", PRIORITY_DOMAIN)
+
+
+VALUE_COVERAGE_SQL = (
+    "SELECT d.o_orderpriority, coalesce(c.n, 0) AS rows FROM (VALUES "
+    + ", ".join(f"({q(v)})" for v in PRIORITY_DOMAIN)
+    + ") AS d(o_orderpriority) LEFT JOIN (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) "
+    "AS c ON c.o_orderpriority = d.o_orderpriority")
+
+
 def _boundaries(spark: SparkSession, sf: str) -> DataFrame:
     return boundary_coverage(table(spark, sf, "part"), "p_size", 1, 50)
 
@@ -343,6 +354,7 @@ QUERIES = {
     "schema_drift": _drift,
     "fidelity_tvd": _fidelity,
     "coverage_pairs": _coverage,
+    "coverage_values": _value_cov,
     "coverage_boundaries": _boundaries,
     "pii_scan": _pii,
     "leak_check": _leak,
@@ -359,6 +371,7 @@ ORACLE = {
     "schema_drift": DRIFT_SQL,
     "fidelity_tvd": FIDELITY_SQL,
     "coverage_pairs": COVERAGE_SQL,
+    "coverage_values": VALUE_COVERAGE_SQL,
     "coverage_boundaries": BOUNDARY_SQL,
     "pii_scan": PII_SQL,
     "leak_check": LEAK_SQL,

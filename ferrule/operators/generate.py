@@ -316,12 +316,14 @@ def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[st
 
 
 def sample_dataset(spark: SparkSession, spec: DatasetSpec, sample_rows: int = 200,
-                   reference_pools: dict[str, DataFrame | KeyPool] | None = None) -> dict[str, DataFrame]:
+                   reference_pools: dict[str, DataFrame | KeyPool] | None = None,
+                   materialize_dir: str | None = None) -> dict[str, DataFrame]:
     """Small run: tables without a driving FK cut to ``sample_rows``; children derived.
     Because draws are counter-based, a root table of the sample is a prefix of the full run."""
     generated = {t.name for t in spec.generated}
     counts = {t.name: sample_rows for t in spec.generated if driving_fk(t, generated) is None}
-    return generate_dataset(spark, spec, row_counts=counts, reference_pools=reference_pools)
+    return generate_dataset(spark, spec, row_counts=counts, reference_pools=reference_pools,
+                            materialize_dir=materialize_dir)
 
 
 def preview(df: DataFrame, order_by: list[str], rows: int = 20) -> DataFrame:

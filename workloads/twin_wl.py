@@ -44,7 +44,8 @@ def _twin_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _judge(spark: SparkSession, sf: str) -> DataFrame:
     t = twin_of_source(spark, sf, materialize=False)
-    return judge_sample(spark, t.spec_json, t.rules, sample_rows=200)
+    return judge_sample(spark, t.spec_json, t.rules, sample_rows=200,
+                        materialize_dir=scratch_path(spark, f"judge-{uuid.uuid4().hex[:12]}"))
 
 
 QUERIES = {

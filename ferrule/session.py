@@ -115,6 +115,13 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(hpath).getLength())
 
 
+def plan_bytes(df) -> int:
+    """Catalyst's size estimate of a DataFrame (for a file scan: the listed file sizes, taken
+    from the file index Spark built anyway — no extra listing)."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
+
+
 def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
     """Make sure shuffles over ``input_bytes`` of input start with enough partitions.
 

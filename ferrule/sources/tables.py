@@ -29,10 +29,9 @@ def table_path(base: str, name: str, suffix: str = ".parquet") -> str:
 def read_table(spark: SparkSession, base: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Scan one table; a column list prunes the Parquet read schema.  The session's initial
     shuffle partition count is raised to fit the table's size (see ``session.size_shuffles``)."""
-    from ..session import path_bytes, size_shuffles
-    path = table_path(base, name)
-    size_shuffles(spark, path_bytes(spark, path))
-    df = spark.read.parquet(path)
+    from ..session import plan_bytes, size_shuffles
+    df = spark.read.parquet(table_path(base, name))
+    size_shuffles(spark, plan_bytes(df))
     return df.select(*columns) if columns else df
 
 

@@ -256,7 +256,6 @@ def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[st
     """
     row_counts = row_counts or {}
     seed = spec.seed
-    spark_ = spark
     generated = {t.name for t in spec.generated}
     pools: dict[str, KeyPool] = {}
     for name, p in (reference_pools or {}).items():
@@ -300,7 +299,7 @@ def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[st
         # bases here are spines or shuffle outputs: already split, no partition probe needed
         df = generate_columns(base, t, seed, fk_values, keep=[ROW], partitioned=True)
         if materialize_dir:
-            df = materialize(spark_, df, f"{materialize_dir}/{name}")
+            df = materialize(spark, df, f"{materialize_dir}/{name}")
         if unique:
             check_unique(df, t)
         if t.primary_key and name in referenced:

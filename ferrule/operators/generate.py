@@ -30,6 +30,7 @@ ROW = "__row"
 # Fixed values of the plan shape: target bytes of generated output per spine slice, and the
 # estimated bytes per value of each canonical kind (text kinds by their typical length).
 PARTITION_BYTES = 128 << 20
+MIN_SLICE_ROWS = 100_000
 KIND_BYTES = {"BOOLEAN": 1, "INT16": 2, "INT32": 4, "INT64": 8, "FLOAT32": 4, "FLOAT64": 8,
               "DECIMAL": 16, "DATE": 4, "TIME": 8, "TIMESTAMP": 8, "UUID": 36, "JSON": 32,
               "STRING": 32, "BYTES": 32}
@@ -51,9 +52,10 @@ def spine(spark: SparkSession, n: int, offset: int = 0, parts: int | None = None
     if n < 0:
         raise ValueError("row count must be ≥ 0")
     if parts is None:
-        parts = max(spark.sparkContext.defaultParallelism,
-                    math.ceil(n * bytes_per_row / PARTITION_BYTES))
-        parts = max(1, min(parts, max(1, n)))
+        # every core gets a slice once there are enough rows to share (≥ MIN_SLICE_ROWS each);
+        # beyond that, slices are sized by output bytes
+        by_rows = min(spark.sparkContext.defaultParallelism, math.ceil(n / MIN_SLICE_ROWS))
+        parts = max(1, by_rows, math.ceil(n * bytes_per_row / PARTITION_BYTES))
     return spark.range(offset, offset + n, 1, parts).withColumnRenamed("id", ROW)
 
 

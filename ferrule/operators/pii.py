@@ -24,6 +24,10 @@ PII_PATTERNS = {
 }
 
 
+# A literal every match of the pattern contains: rows without it skip the regex (exact).
+REQUIRED_LITERAL = {"email": "@", "ssn": "-", "ipv4": ".", "url": "://"}
+
+
 def pii_scan(df: DataFrame, table: str, patterns: dict[str, str] | None = None) -> DataFrame:
     """(table_name, column_name, pii_kind, matching_rows, total_rows) for every string column."""
     pats = patterns or PII_PATTERNS
@@ -32,7 +36,10 @@ def pii_scan(df: DataFrame, table: str, patterns: dict[str, str] | None = None)
     keys = []
     for ci, c in enumerate(cols):
         for pi, (kind, pat) in enumerate(pats.items()):
-            aggs.append(F.count_if(F.col(c).rlike(pat)).alias(f"m{ci}_{pi}"))
+            hit = F.col(c).rlike(pat)
+            if patterns is None and kind in REQUIRED_LITERAL:
+                hit = F.col(c).contains(REQUIRED_LITERAL[kind]) & hit
+            aggs.append(F.count_if(hit).alias(f"m{ci}_{pi}"))
             keys.append((ci, c, pi, kind))
     one = spread(df).agg(*aggs)
     return one.select(F.inline(F.array(*[

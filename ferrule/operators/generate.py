@@ -66,11 +66,13 @@ def _draw_seeds(seed: int, table: str, column: str, n: int) -> list[int]:
 
 def generate_columns(base: DataFrame, table: TableSpec, seed: int,
                      fk_values: dict[str, Column] | None = None, keep: list[str] | None = None,
-                     partitioned: bool = False) -> DataFrame:
+                     partitioned: bool = False, barrier: bool = False) -> DataFrame:
     """Value columns of ``table`` for every row of ``base`` (which carries ``__row``).
 
     ``partitioned``: ``base`` is already split for the cluster (a ``spine``), so the
-    under-partitioning probe is skipped."""
+    under-partitioning probe is skipped.  ``barrier``: emit the row through a one-row
+    ``inline`` so filters applied later (without storing the table first) stop at the finished
+    values instead of re-inlining the draw rounds; costs some generation throughput."""
     fk_values = fk_values or {}
     draws: dict[str, int] = {}
     plan: list[tuple[Any, list[str], str | None]] = []
@@ -101,6 +103,8 @@ def generate_columns(base: DataFrame, table: TableSpec, seed: int,
             value = F.when(null_mask(F.col(null_name), col.null_rate), F.lit(None).cast(stype)) \
                 .otherwise(value)
         out.append(value.alias(col.name))
+    if barrier:
+        return df.select(F.inline(F.array(F.struct(*out))))
     return df.select(*out)
 
 
@@ -126,13 +130,13 @@ def check_unique(df: DataFrame, table: TableSpec, skip: set[str] | None = None)
 
 def generate_table(spark: SparkSession, table: TableSpec, seed: int, n: int | None = None,
                    offset: int = 0, parts: int | None = None, unique: bool = True,
-                   keep_row: bool = False) -> DataFrame:
+                   keep_row: bool = False, barrier: bool = False) -> DataFrame:
     """Rows [offset, offset+n) of one table without FKs (or with FKs filled by the caller)."""
     rows = n if n is not None else table.row_count
     if rows is None:
         raise SpecError("ROWCOUNT_MISSING", f"table {table.name!r} has no row_count and no n")
     df = generate_columns(spine(spark, rows, offset, parts, row_bytes(table)), table, seed,
-                          keep=[ROW] if keep_row else None, partitioned=True)
+                          keep=[ROW] if keep_row else None, partitioned=True, barrier=barrier)
     if unique:
         check_unique(df, table)
     return df
@@ -245,7 +249,8 @@ def materialize(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
 def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[str, int] | None = None,
                      reference_pools: dict[str, DataFrame | KeyPool] | None = None,
                      parts: int | None = None, unique: bool = True,
-                     keep_row: bool = False, materialize_dir: str | None = None) -> dict[str, DataFrame]:
+                     keep_row: bool = False, materialize_dir: str | None = None,
+                     barrier: bool = False) -> dict[str, DataFrame]:
     """Every generated table of ``spec`` as a lazy DataFrame (parents first).
 
     With ``materialize_dir`` (a folder in shared storage) every table is written there as soon
@@ -299,7 +304,8 @@ def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[st
             base = sample_keys(base, ROW, pool, seed, name, fk.column, f"__fk_{fk.column}")
             fk_values[fk.column] = F.col(f"__fk_{fk.column}")
         # bases here are spines or shuffle outputs: already split, no partition probe needed
-        df = generate_columns(base, t, seed, fk_values, keep=[ROW], partitioned=True)
+        df = generate_columns(base, t, seed, fk_values, keep=[ROW], partitioned=True,
+                              barrier=barrier and not materialize_dir)
         if materialize_dir:
             df = materialize(spark, df, f"{materialize_dir}/{name}")
         if unique:

@@ -6,6 +6,7 @@ identifier columns — ``id`` or ``*_id`` — are skipped):
 - null cap: nulls > 0 → ``max_null_rate = ceil(observed·20)/20`` (two decimals)
 - enum: string column with 1 < distinct ≤ 12 and distinct < non-null rows → sorted values
 - range: numeric column (not given an enum) with more than one distinct value → min/max as text
+  (date/timestamp columns too when ``temporal_ranges`` is set, as the twin does)
 
 Plan: pass A is ONE aggregate over the table (rows, per column null count, min, max, min<max,
 HyperLogLog distinct) — partial aggregates on every task, one row back to the driver.  Pass B
@@ -87,10 +88,13 @@ def _pct(nulls: int, rows: int) -> int:
 
 def suggest_rules(spark: SparkSession, tables: dict[str, DataFrame],
                   existing_rules: list[dict[str, Any]] | None = None,
-                  identifiers: set[tuple[str, str]] | None = None) -> DataFrame:
+                  identifiers: set[tuple[str, str]] | None = None,
+                  temporal_ranges: bool = False) -> DataFrame:
     """Rule suggestions for a set of tables → DataFrame with ``SUGGESTION_SCHEMA``.
 
-    ``identifiers``: extra (table, column) pairs treated like ``id``/``*_id`` (declared keys)."""
+    ``identifiers``: extra (table, column) pairs treated like ``id``/``*_id`` (declared keys).
+    ``temporal_ranges``: also suggest observed ranges for date/timestamp columns (ISO text
+    bounds; the range test compares them in the column's own type)."""
     ruled = {(r["table"], r["column"]) for r in (existing_rules or [])} | set(identifiers or ())
     small_rows: list[tuple] = []
     enum_parts: list[DataFrame] = []
@@ -120,7 +124,8 @@ def suggest_rules(spark: SparkSession, tables: dict[str, DataFrame],
             if isinstance(dtype, T.StringType):
                 if s["hll"] is not None and s["hll"] <= ENUM_SHORTLIST:
                     shortlist.append(name)
-            elif isinstance(dtype, NUMERIC_TYPES) and s["spread"]:
+            elif (isinstance(dtype, NUMERIC_TYPES) or (temporal_ranges and isinstance(
+                    dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)))) and s["spread"]:
                 small_rows.append((tname, name, "value_range", f"observed {s['min']}..{s['max']}",
                                    None, None, s["min"], s["max"]))
         if shortlist:

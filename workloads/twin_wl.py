@@ -72,7 +72,7 @@ def _twin_counts_sql() -> str:
 
 # Columns of the twin's sources by kind (keys excluded: they are identifiers).
 TWIN_STRING = {"customer": ["c_name", "c_mktsegment"], "orders": ["o_orderstatus", "o_orderpriority"]}
-TWIN_NUMERIC = {"customer": ["c_nationkey", "c_acctbal"], "orders": ["o_totalprice"]}
+TWIN_NUMERIC = {"customer": ["c_nationkey", "c_acctbal"], "orders": ["o_totalprice", "o_orderdate"]}
 
 
 def _twin_report_sql() -> str:

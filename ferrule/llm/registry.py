@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import exact_dedup, prefix_bpe, sharding, token_counts
+from ferrule.llm import exact_dedup, ppm_language, prefix_bpe, sharding, token_counts
 from ferrule.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN, 512)
 
 
+def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text."""
+    return ppm_language.language_id(table(spark, sf_dir, "documents"), per_language=400)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document that stays of its equal texts."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -33,6 +38,7 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
+    "op7_ppm_language": op7_ppm_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_prefix_bpe": op9_prefix_bpe,
 }

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import exact_dedup, ppm_language, prefix_bpe, sharding, token_counts
+from ferrule.llm import exact_dedup, html_blocks, ppm_language, prefix_bpe, sharding, token_counts
 from ferrule.llm.common import table
 
 
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot of eight shards of near-equal bytes."""
     return sharding.shards(table(spark, sf_dir, "documents"), 8)
@@ -36,6 +41,7 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_blocks": op1_html_blocks,
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
     "op7_ppm_language": op7_ppm_language,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import exact_dedup, html_blocks, ppm_language, prefix_bpe, sharding, token_counts
+from ferrule.llm import exact_dedup, html_blocks, ppm_language, prefix_bpe, pu_toxicity, sharding, token_counts
 from ferrule.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole text."""
+    return pu_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot of eight shards of near-equal bytes."""
     return sharding.shards(table(spark, sf_dir, "documents"), 8)
@@ -42,6 +47,7 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_blocks": op1_html_blocks,
+    "op2_pu_toxicity": op2_pu_toxicity,
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
     "op7_ppm_language": op7_ppm_language,

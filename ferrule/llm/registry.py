@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import exact_dedup, html_blocks, ppm_language, prefix_bpe, pu_toxicity, sharding, token_counts
+from ferrule.llm import (exact_dedup, html_blocks, latent_decontamination, ppm_language, prefix_bpe, pu_toxicity, sharding,
+                         token_counts)
 from ferrule.llm.common import table
 
 
@@ -29,6 +30,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN, 512)
 
 
+def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    return latent_decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text."""
     return ppm_language.language_id(table(spark, sf_dir, "documents"), per_language=400)
@@ -50,6 +56,7 @@ QUERIES = {
     "op2_pu_toxicity": op2_pu_toxicity,
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
+    "op6_latent_decontamination": op6_latent_decontamination,
     "op7_ppm_language": op7_ppm_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_prefix_bpe": op9_prefix_bpe,

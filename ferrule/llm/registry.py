@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import (exact_dedup, html_blocks, latent_decontamination, ppm_language, prefix_bpe, pu_toxicity, sharding,
-                         token_counts)
+from ferrule.llm import (exact_dedup, html_blocks, jaccard_regions, latent_decontamination, ppm_language, prefix_bpe, pu_toxicity,
+                         sharding, token_counts)
 from ferrule.llm.common import table
 
 
@@ -51,6 +51,11 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.round_trip(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
+def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the near-duplicate component of its text."""
+    return jaccard_regions.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_blocks": op1_html_blocks,
     "op2_pu_toxicity": op2_pu_toxicity,
@@ -60,6 +65,7 @@ QUERIES = {
     "op7_ppm_language": op7_ppm_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_prefix_bpe": op9_prefix_bpe,
+    "op10_jaccard_regions": op10_jaccard_regions,
 }
 
 ORACLE = {

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import (exact_dedup, html_blocks, jaccard_regions, latent_decontamination, ppm_language, prefix_bpe, pu_toxicity,
-                         sharding, token_counts)
+from ferrule.llm import (exact_dedup, html_blocks, jaccard_regions, latent_decontamination, pitman_yor, ppm_language,
+                         prefix_bpe, pu_toxicity, sharding, token_counts)
 from ferrule.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op2_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every whole text."""
+    return pitman_yor.language_model(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot of eight shards of near-equal bytes."""
     return sharding.shards(table(spark, sf_dir, "documents"), 8)
@@ -59,6 +64,7 @@ def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_blocks": op1_html_blocks,
     "op2_pu_toxicity": op2_pu_toxicity,
+    "op3_pitman_yor": op3_pitman_yor,
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
     "op6_latent_decontamination": op6_latent_decontamination,

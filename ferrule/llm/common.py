@@ -64,3 +64,17 @@ def bounded_sample(df: DataFrame, by: Column, per_class: int, counts: dict) -> D
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_class / max(n, 1))))])
     u = F.pmod(F.xxhash64(F.col("text"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     return df.where(u < share[by])
+
+
+def keep_once(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose (doc_id, hash of the text) are in ``keep``
+    (columns doc_id, h; a row per row kept); of rows that agree in both, one."""
+    keys = keep.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    keys = stored(keys.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("n").alias("__n")), "kept-keys")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__h"))
+    once = docs.join(keys.where("__n = 1"), same, "left_semi")
+    again = keys.where("__n > 1")
+    if again.isEmpty():
+        return once
+    rest = docs.join(again, same).dropDuplicates(["__id", "__h"])
+    return once.unionByName(rest.select(docs.columns))

@@ -12,7 +12,7 @@ A bucket is a share of the digest space, so buckets are even whatever the texts
 a third of all rows is one digest, aggregated on the map side.
 
 Cases: a null text counts as empty; empty texts are all equal to each other; a null doc_id loses
-ties against any other id; repeated rows each get a result row; an empty table gives no rows.
+ties against any other id; repeated rows each get a result row (``kept_documents`` keeps one); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import ship, stored, text_or_empty
+from ferrule.llm.common import keep_once, ship, stored, text_or_empty
 
 #: The characters [\x20\x09-\x0D] that do not count.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -101,6 +101,7 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.char_length(text).cast("long").alias("n_cp"),
+        F.xxhash64(text).alias("h"),
         F.unhex(F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256)).alias("digest"),
     )
 
@@ -181,8 +182,8 @@ def bucket_count(n: int, per_bucket: int = 20_000, least: int = 64) -> int:
     return max(least, -(-n // per_bucket))
 
 
-def exact_dedup(docs: DataFrame, historical=None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def resolve(docs: DataFrame, historical=None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, h (hash of the text).
 
     ``historical``: condition on doc_id that says which rows are the indexed history; the others
     are the new batch.  The result does not depend on it.  Default: half of the ids by hash."""
@@ -194,22 +195,20 @@ def exact_dedup(docs: DataFrame, historical=None) -> DataFrame:
     buckets = bucket_count(rows.count())
     index = stored(build_index(history, buckets), "digest-index")
     final = stored(merge(new, index, buckets), "digest-groups")
-    out = rows.join(final.select("digest", "keep_id", F.col("n").alias("group_size")), "digest")
-    # of identical rows (same id, same text) one stays: the tie is broken by a running number
-    return out.select("doc_id", "keep_id", "group_size",
-                      F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-                      F.lower(F.hex("digest")).alias("text_sha256"))
+    out = rows.join(final.select("digest", "keep_id", F.col("n").alias("group_size"), F.col("n_cp").alias("keep_cp")), "digest")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp"))
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"),
+                      F.lower(F.hex("digest")).alias("text_sha256"), "h")
+
+
+def exact_dedup(docs: DataFrame, historical=None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return resolve(docs, historical).drop("h")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of repeated ids with equal text one row."""
-    result = exact_dedup(docs)
-    keep = result.where("kept").select("doc_id", "text_sha256").distinct()
-    dig = F.sha2(F.translate(text_or_empty(), BLANKS, "").cast("binary"), 256)
-    first = docs.withColumn("__sha", dig).join(
-        keep.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__keep_sha")),
-        F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__keep_sha")), "left_semi")
-    return first.drop("__sha")
+    """The documents that stay, with all their columns; of rows with the same id and text one."""
+    return keep_once(docs, resolve(docs).where("kept").select("doc_id", "h"))
 
 
 SQL = """
@@ -219,6 +218,7 @@ WITH n AS (
   FROM documents),
 w AS (
   SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY n_cp DESC, doc_id NULLS LAST) AS keep_id,
+         max(n_cp) OVER (PARTITION BY h) AS keep_cp,
          count(*) OVER (PARTITION BY h) AS group_size FROM n)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, h AS text_sha256 FROM w
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND n_cp = keep_cp AS kept, h AS text_sha256 FROM w
 """

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import ship, stored, text_or_empty
+from ferrule.llm.common import keep_once, ship, stored, text_or_empty
 from ferrule.llm.words import Words, buffers, mix
 
 WORDS = 5
@@ -95,7 +95,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 # ---- sets, cells, regions ----
 
 def _survey(docs: DataFrame, seed: int) -> DataFrame:
-    """Rows of kind 0: (doc_id, size, two digests) of a document; of kind 1: (shingle, texts of this
+    """Rows of kind 0: (doc_id, size, two digests, hash of the text) of a document; of kind 1: (shingle, texts of this
     batch that have it among their first ones)."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,17 +105,18 @@ def _survey(docs: DataFrame, seed: int) -> DataFrame:
             size = np.array(list(map(len, sets)), np.int64)
             kind = np.zeros(len(sets), np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kind), part.column(0), pa.array(size), pa.array(d[:, 0]), pa.array(d[:, 1])],
-                names=["kind", "a", "b", "c", "d"])
+                [pa.array(kind), part.column(0), pa.array(size), pa.array(d[:, 0]), pa.array(d[:, 1]), part.column(2)],
+                names=["kind", "a", "b", "c", "d", "e"])
             _, one = np.unique(d, axis=0, return_index=True)  # copies of this batch count once
             firsts = [first_ones(sets[i]) for i in one.tolist()]
             key, n = np.unique(np.concatenate(firsts) if firsts else np.zeros(0, np.int64), return_counts=True)
             none = pa.nulls(len(key), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(key), np.int32)), pa.array(key), pa.array(n.astype(np.int64)), none, none],
-                names=["kind", "a", "b", "c", "d"])
+                [pa.array(np.ones(len(key), np.int32)), pa.array(key), pa.array(n.astype(np.int64)), none, none, none],
+                names=["kind", "a", "b", "c", "d", "e"])
 
-    return docs.mapInArrow(batches, "kind int, a long, b long, c long, d long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(batches, "kind int, a long, b long, c long, d long, e long")
 
 
 def _frequent(survey: DataFrame) -> np.ndarray:
@@ -356,7 +357,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     while True:
         survey = stored(_survey(rows, seed), "shingle-survey")
         points = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("size"),
-                                                 F.col("c").alias("node"), "d")
+                                                 F.col("c").alias("node"), "d", F.col("e").alias("h"))
         clash = points.where("size > 0").groupBy("node").agg(F.min("d").alias("l"), F.max("d").alias("h"))
         if clash.where("l <> h").isEmpty():
             break
@@ -398,18 +399,23 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = after
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def resolve(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, h (hash of the text)."""
     points, edges = links(docs)
     real = points.where("size > 0").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = stored(real.groupBy("root").agg(F.min("doc_id").alias("component_id")), "component-ids")
-    own = real.join(least, "root").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    none = points.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    own = real.join(least, "root").select("doc_id", F.col("size").alias("n_shingles"), "component_id", "h")
+    none = points.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), "h")
     return own.unionByName(none)
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    return resolve(docs).drop("h")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with all their columns, of each component only the one with the smallest id."""
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    """The documents with all their columns, of each component only the one with the smallest id; of
+    rows with the same id and text one."""
+    found = resolve(docs)
+    return keep_once(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "h"))

@@ -37,15 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import bounded_sample, fold, ship, stored, text_or_empty
-from ferrule.llm.words import Words, mix
+from ferrule.llm.words import Words, buffers, mix
 
 CONTEXTS = 1 << 16
 DISCOUNT, STRENGTH = 0.8, 1.0      # of the context restaurants
 ROOT_STRENGTH = 1.0                # of the parent; its discount is estimated from its customers
 SWEEPS, SAMPLES, MOVES = 4, 3, 8   # Gibbs sweeps, states averaged, customers moved a dish and sweep
-BUFFER = 8 << 20                   # text bytes dealt out at a time
-PER_BUCKET = 24 << 20              # text bytes a bucket of words stands for
-LEAST_BUCKETS = 16
+BUFFER = 16 << 20                  # text bytes dealt out at a time
+TEXTS = 1 << 15                    # and texts at most
+PER_BUCKET = 12 << 20              # text bytes a bucket of words stands for
+LEAST_BUCKETS = 64
 HEAVY = 0.004                      # share of a sample's tokens from which a word is dealt by context
 END = np.uint64(0x5851F42D4C957F2D)
 BEGIN = 0
@@ -56,17 +57,21 @@ BLOB = ("bucket int, base long, n_docs int, words binary, counts binary, docs bi
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token hash, text, context class) of every token, the end token last in its text."""
-    w = Words(texts)
-    n = np.diff(w.first)
-    h = np.empty(len(w.start) + len(texts), np.uint64)
-    last = np.cumsum(n + 1) - 1
-    is_word = np.ones(len(h), bool)
-    is_word[last] = False
-    h[is_word], h[last] = w.hashes(), END
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))]
+    for at, run in buffers(texts):
+        w = Words(run)
+        n = np.diff(w.first)
+        h = np.empty(len(w.start) + len(run), np.uint64)
+        last = np.cumsum(n + 1) - 1
+        is_word = np.ones(len(h), bool)
+        is_word[last] = False
+        h[is_word], h[last] = w.hashes(), END
+        found.append((h, np.repeat(np.arange(at, at + len(run), dtype=np.int32), n + 1)))
+    h, text = (np.concatenate(x) for x in zip(*found))
     context = np.empty(len(h), np.uint16)
     context[1:] = (mix(h[:-1]) >> np.uint64(48)).astype(np.uint16)
-    context[np.concatenate([[0], last[:-1] + 1])] = BEGIN
-    return h, np.repeat(np.arange(len(texts)), n + 1), context
+    context[np.flatnonzero(np.diff(text, prepend=-1))] = BEGIN
+    return h, text, context
 
 
 def _bucket(h: np.ndarray, context: np.ndarray, heavy: np.ndarray, buckets: int) -> np.ndarray:
@@ -86,7 +91,7 @@ def _deal(docs: DataFrame, heavy: np.ndarray, buckets: int, train: str) -> DataF
         base = TaskContext.get().partitionId() << 40
         for part in parts:
             texts = [t.encode("utf-8") for t in part.column(1).to_pylist()]
-            size = np.cumsum([len(t) + 64 for t in texts])
+            size = np.cumsum([max(len(t), BUFFER // TEXTS) for t in texts])  # so many texts fill a buffer as well
             cuts = [0, *np.searchsorted(size, np.arange(BUFFER, size[-1] if len(size) else 0, BUFFER)).tolist(), len(texts)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a < b:
@@ -102,7 +107,7 @@ def _dealt(texts: list[bytes], part: pa.RecordBatch, base: int, heavy: np.ndarra
     lengths = np.bincount(doc, minlength=len(texts)).astype(np.int64)
     bucket = _bucket(h, context, heavy, buckets)
     order = np.lexsort((h, bucket))
-    h, doc, context, bucket = h[order], doc[order].astype(np.uint32), context[order], bucket[order]
+    h, doc, context, bucket = h[order], doc[order].astype(np.uint16), context[order], bucket[order]
     ids = part.column(0)
     train = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
     own = base // 7 % buckets  # the bucket that carries what is known of the texts themselves
@@ -128,23 +133,26 @@ class Bucket:
     training counts, and the occurrences."""
 
     def __init__(self, rows: list[dict]):
-        words = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        self.n_docs = [r["n_docs"] for r in rows]
         counts = [np.frombuffer(r["counts"], np.uint32) for r in rows]
-        every = np.concatenate(words)
+        every = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
         self.words, at = np.unique(every, return_inverse=True)
-        word = np.repeat(at.astype(np.int64), np.concatenate(counts))
-        sizes = [int(c.sum()) for c in counts]
-        offset = np.cumsum([0] + [r["n_docs"] for r in rows])
-        self.doc = np.concatenate([np.frombuffer(r["docs"], np.uint32) for r in rows]) + np.repeat(offset[:-1], sizes)
+        key = np.repeat(at.astype(np.int64) << 16, np.concatenate(counts))
+        key |= np.concatenate([np.frombuffer(r["contexts"], np.uint16) for r in rows])
+        offset = np.cumsum([0] + self.n_docs, dtype=np.int32)
+        self.doc = np.concatenate([np.frombuffer(r["docs"], np.uint16) + o for r, o in zip(rows, offset)])
         train = np.concatenate([np.unpackbits(np.frombuffer(r["train"], np.uint8), count=r["n_docs"]) for r in rows])
         learnt = train[self.doc] > 0
-        context = np.concatenate([np.frombuffer(r["contexts"], np.uint16) for r in rows])
-        key = (word << 16) | context
-        del word, context
-        pairs, self.pair = np.unique(key, return_inverse=True)
-        self.pair = self.pair.astype(np.int32)
-        self.word, self.context = (pairs >> 16).astype(np.int32), (pairs & 0xFFFF).astype(np.int32)
-        self.count = np.bincount(self.pair[learnt], minlength=len(pairs))
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        self.pair = np.empty(len(key), np.int32)
+        self.pair[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
+        key = key[new]
+        self.word, self.context = (key >> 16).astype(np.int32), (key & 0xFFFF).astype(np.int32)
+        self.count = np.bincount(self.pair[learnt], minlength=len(key))
         self.word_count = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
 
     def seatings(self, tables: np.ndarray, root: float, seed: int) -> Iterator[np.ndarray]:
@@ -218,7 +226,8 @@ def _buckets(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]
     """Whole buckets (the rows come sorted by bucket)."""
     held: list[dict] = []
     for part in parts:
-        for row in part.to_pylist():
+        for i in range(part.num_rows):
+            row = part.slice(i, 1).to_pylist()[0]
             if held and held[0]["bucket"] != row["bucket"]:
                 yield held[0]["bucket"], held
                 held = []
@@ -237,7 +246,7 @@ def _context_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for part in parts:
         for r in part.to_pylist():
             train = np.unpackbits(np.frombuffer(r["train"], np.uint8), count=r["n_docs"]) > 0
-            n += np.bincount(np.frombuffer(r["contexts"], np.uint16)[train[np.frombuffer(r["docs"], np.uint32)]], minlength=CONTEXTS)
+            n += np.bincount(np.frombuffer(r["contexts"], np.uint16)[train[np.frombuffer(r["docs"], np.uint16)]], minlength=CONTEXTS)
     g = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(n[g])], names=["g", "n"])
 
@@ -268,7 +277,7 @@ def _whole(dealt: DataFrame) -> DataFrame:
     from ferrule.session import checkpoint_dir
     spark = dealt.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/ferrule-llm/tokens-{uuid.uuid4().hex}"
-    dealt.write.option("parquet.block.size", (1 << 31) - 1).option("compression", "snappy").parquet(path)
+    dealt.write.option("parquet.block.size", (1 << 31) - 1).option("compression", "zstd").parquet(path)
     return spark.read.schema(dealt.schema).parquet(path)
 
 
@@ -343,35 +352,60 @@ def _score(spark, dealt: DataFrame, heavy: np.ndarray, train: str, held: str) ->
                 g = b.context
                 prob += (b.count - DISCOUNT * t + (STRENGTH + DISCOUNT * m["tables"][s][g]) * parent[b.word]) / (
                     STRENGTH + m["contexts"][g])
-            token = np.log10(prob / SAMPLES)[b.pair]
-            base = np.log10((count + 0.1) / (m["tokens"] + 0.1 * (m["types"] + 1)))[b.word][b.pair]
-            known = (count > 0)[b.word][b.pair]
-            n_docs = [r["n_docs"] for r in held_rows]
-            offset = np.cumsum([0] + n_docs)
-            total = int(offset[-1])
-            sums = [np.bincount(b.doc, x, total) for x in (known, base, token)]
+            base = np.log10((count + 0.1) / (m["tokens"] + 0.1 * (m["types"] + 1)))[b.word]
+            known = (count > 0)[b.word]
+            total = sum(b.n_docs)
             there = np.bincount(b.doc, minlength=total) > 0
-            number = np.concatenate([r["base"] + np.arange(r["n_docs"]) for r in held_rows])
-            ids, null, length = np.zeros(total, np.int64), np.ones(total, bool), np.zeros(total, np.int64)
-            for r, a, z in zip(held_rows, offset[:-1], offset[1:]):
-                if r["lengths"] is not None:
-                    ids[a:z] = np.frombuffer(r["ids"], np.int64)
-                    null[a:z] = np.frombuffer(r["null_ids"], np.uint8) > 0
-                    length[a:z] = np.frombuffer(r["lengths"], np.int64)
-            there |= length > 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(number[there]), pa.array(ids[there], mask=null[there]), pa.array(length[there]),
-                 pa.array(sums[0][there].astype(np.int64)), pa.array(sums[1][there]), pa.array(sums[2][there])],
-                names=["number", "doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    parts = dealt.mapInArrow(score, "number long, doc_id long, n_tokens long, n_known long, base_score double, score double")
-    out = parts.groupBy("number").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
-                                      F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"),
-                                      F.sum("score").alias("score"))
+            sums = [np.bincount(b.doc, x[b.pair], total).astype(kind) for x, kind in
+                    ((known, np.uint32), (base, np.float64), (np.log10(prob / SAMPLES), np.float64))]
+            a = 0
+            for r in held_rows:
+                z = a + r["n_docs"]
+                at = np.flatnonzero(there[a:z])
+                values = [at.astype(np.uint16).tobytes(), *[x[a:z][at].tobytes() for x in sums]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x], kind) for x, kind in zip(
+                        [r["base"], r["n_docs"], *values, r["ids"], r["null_ids"], r["lengths"]],
+                        [pa.int64(), pa.int32()] + 7 * [pa.binary()])], names=SUMS.replace(",", "").split()[::2])
+                a = z
+
+    parts = dealt.mapInArrow(score, SUMS)
+    parts = parts.repartition("base").sortWithinPartitions("base")  # a row a bucket and buffer of texts
+    out = parts.mapInArrow(_added, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", F.expr(held).alias("held_out"), "n_tokens", "n_known",
                       F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+SUMS = ("base long, n_docs int, docs binary, known binary, base_score binary, score binary, "
+        "ids binary, null_ids binary, lengths binary")
+
+
+def _added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of all buckets for the texts of each buffer (the rows come sorted by buffer)."""
+    base, sums, own = None, None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.frombuffer(own["ids"], np.int64), mask=np.frombuffer(own["null_ids"], np.uint8) > 0),
+             pa.array(np.frombuffer(own["lengths"], np.int64)), pa.array(sums[0].astype(np.int64)),
+             pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    for part in parts:
+        for i in range(part.num_rows):
+            r = part.slice(i, 1).to_pylist()[0]
+            if r["base"] != base:
+                if base is not None:
+                    yield row()
+                base, sums = r["base"], [np.zeros(r["n_docs"]) for _ in range(3)]
+            if r["lengths"] is not None:
+                own = r
+            at = np.frombuffer(r["docs"], np.uint16)
+            for total, name, kind in zip(sums, ("known", "base_score", "score"), (np.uint32, np.float64, np.float64)):
+                total[at] += np.frombuffer(r[name], kind)
+    if base is not None:
+        yield row()
+
+
 def language_model(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """``perplexity_scores`` with the documents whose fold is ``held`` kept out of training."""
     in_fold = f"pmod(crc32(cast(coalesce(cast(doc_id AS string), '') AS binary)), {folds}) = {held}"

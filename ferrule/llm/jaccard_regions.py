@@ -45,6 +45,8 @@ HINTS = 1 << 18          # at most so many shingles are moved (an order, never a
 LAST = np.int64(1 << 62)  # added to the key of a shingle that goes last
 SMALL = 24               # points compared one by one
 LARGE = 4096             # points of a region that one task joins
+PER_BUCKET = 8_000_000   # shingles that a bucket of the key space stands for
+LEAST_BUCKETS = 64
 
 
 def shingles(texts: list[bytes], seed: int = 0) -> Iterator[np.ndarray]:
@@ -94,36 +96,79 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 # ---- sets, cells, regions ----
 
-def _survey(docs: DataFrame, seed: int) -> DataFrame:
-    """Rows of kind 0: (doc_id, size, two digests, hash of the text) of a document; of kind 1: (shingle, texts of this
-    batch that have it among their first ones)."""
+def _survey(rows: DataFrame, seed: int) -> DataFrame:
+    """doc_id, size, node and second digest of the set, hash of the text."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            sets = list(shingles(_encoded(part.column(1)), seed))
-            d = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
-            size = np.array(list(map(len, sets)), np.int64)
-            kind = np.zeros(len(sets), np.int32)
+            size, d = [], []
+            for keys in shingles(_encoded(part.column(1)), seed):
+                size.append(len(keys))
+                d.append(digest(keys))
+            d = np.array(d, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kind), part.column(0), pa.array(size), pa.array(d[:, 0]), pa.array(d[:, 1]), part.column(2)],
-                names=["kind", "a", "b", "c", "d", "e"])
-            _, one = np.unique(d, axis=0, return_index=True)  # copies of this batch count once
-            firsts = [first_ones(sets[i]) for i in one.tolist()]
-            key, n = np.unique(np.concatenate(firsts) if firsts else np.zeros(0, np.int64), return_counts=True)
-            none = pa.nulls(len(key), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(key), np.int32)), pa.array(key), pa.array(n.astype(np.int64)), none, none, none],
-                names=["kind", "a", "b", "c", "d", "e"])
+                [part.column(0), pa.array(np.array(size, np.int64)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()),
+                 part.column(2)], names=["doc_id", "size", "node", "other", "h"])
+
+    return rows.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(
+        batches, "doc_id long, size long, node long, other long, h long")
+
+
+def _packed(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """One row a bucket, with the columns' values as bytes (``bucket`` ascending)."""
+    edge = np.searchsorted(bucket, np.arange(buckets + 1))
+    some = [p for p in range(buckets) if edge[p] < edge[p + 1]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.array(some, np.int32))] +
+        [pa.array([c[edge[p]:edge[p + 1]].tobytes() for p in some], pa.binary()) for c in columns],
+        names=["bucket", "keys", "values"])
+
+
+PACKED = "bucket int, keys binary, values binary"
+
+
+def _unpacked(parts: Iterator[pa.RecordBatch], value) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and values of whole buckets (the rows come sorted by bucket)."""
+    for _, rows in _grouped(parts):
+        yield (np.concatenate([np.frombuffer(k, np.int64) for k in rows.column("keys").to_pylist()]),
+               np.concatenate([np.frombuffer(v, value) for v in rows.column("values").to_pylist()]))
+
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    return rows.mapInArrow(batches, "kind int, a long, b long, c long, d long, e long")
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of the key space, so sorted keys are sorted by bucket."""
+    return ((keys >> 32) * buckets >> 30).astype(np.int32)
 
 
-def _frequent(survey: DataFrame) -> np.ndarray:
-    """Sorted shingles that go last."""
-    top = (survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= FREQUENT)
-           .orderBy(F.desc("n"), "a").limit(HINTS).select("a").toPandas())
-    return np.sort(top["a"].to_numpy(np.int64))
+def _in_buckets(packed: DataFrame, buckets: int) -> DataFrame:
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+
+def _frequent(rows: DataFrame, seed: int, buckets: int) -> np.ndarray:
+    """Sorted shingles that go last: counted over the first ones of all texts, copies of a batch once."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            firsts = [first_ones(s) for s in shingles(_distinct(part.column(0)), seed) if len(s)]
+            if firsts:
+                keys, n = np.unique(np.concatenate(firsts), return_counts=True)
+                yield _packed(_bucket(keys, buckets), buckets, keys, np.minimum(n, 65535).astype(np.uint16))
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _unpacked(parts, np.uint16):
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order].astype(np.int64)
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            total = np.add.reduceat(n, first)
+            many = total >= FREQUENT
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first][many]), pa.array(total[many])], names=["key", "n"])
+
+    counted = _in_buckets(rows.select("text").mapInArrow(count, PACKED), buckets).mapInArrow(add, "key long, n long")
+    top = counted.orderBy(F.desc("n"), "key").limit(HINTS).select("key").toPandas()
+    return np.sort(top["key"].to_numpy(np.int64))
+
+
+def _distinct(column: pa.Array) -> list[bytes]:
+    return _encoded(column.unique())
 
 
 def _ordered(keys: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -135,22 +180,99 @@ def _ordered(keys: np.ndarray, last: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _sets(docs: DataFrame, seed: int, last: np.ndarray, whole: bool) -> DataFrame:
-    """node, size, keys in order: the whole set, or its first ones."""
-    sent = docs.sparkSession.sparkContext.broadcast(last)  # at most HINTS numbers
+def _sets(rows: DataFrame, seed: int, last: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
+    """node, size, keys in order: the first ones of every set, or the whole sets of the nodes that
+    the bits ``only`` let through."""
+    sent = rows.sparkSession.sparkContext.broadcast((last, only))  # at most HINTS numbers; BITS bits
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, only = sent.value
         for part in parts:
-            sets = [s for s in shingles(_encoded(part.column(0)), seed) if len(s)]
-            for b in range(0, len(sets), 1000):
-                some = sets[b:b + 1000]
-                keys = [_ordered(s, sent.value) for s in some]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array([digest(s)[0] for s in some], np.int64)),
-                     pa.array(np.array(list(map(len, some)), np.int64)),
-                     _lists(keys if whole else list(map(first_ones, keys)))], names=["node", "size", "keys"])
+            node, size, out, held = [], [], [], 0
+            for keys in shingles(_distinct(part.column(0)), seed):
+                name = digest(keys)[0] if len(keys) else 0
+                if not len(keys) or only is not None and not _let_through(only, np.array([name]))[0]:
+                    continue
+                keys = _ordered(keys, last)
+                node.append(name)
+                size.append(len(keys))
+                out.append(first_ones(keys) if only is None else keys)
+                held += len(out[-1])
+                if held > 1_000_000:
+                    yield _batch(node, size, out)
+                    node, size, out, held = [], [], [], 0
+            if out:
+                yield _batch(node, size, out)
+
+    return rows.select("text").mapInArrow(batches, "node long, size long, keys array<long>")
+
+
+def _batch(node: list[int], size: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.array(node, np.int64)), pa.array(np.array(size, np.int64)), _lists(keys)],
+                                      names=["node", "size", "keys"])
+
+
+BITS = 1 << 24
+
+
+def _bits_of(nodes: DataFrame) -> np.ndarray:
+    """A bit for every node (by its hash): lets all of them through, and few others.  2 MB at most."""
+    words = nodes.selectExpr(f"cast(shiftright(pmod(node, {BITS}), 6) AS int) AS w",
+                             "shiftleft(1L, cast(pmod(node, 64) AS int)) AS b")
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most BITS / 64 rows
+    out = np.zeros(BITS // 64, np.int64)
+    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    return out
 
-    return docs.select("text").mapInArrow(batches, "node long, size long, keys array<long>")
+
+def _let_through(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    at = nodes % BITS
+    return (bits[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def _only(firsts: DataFrame, bits: np.ndarray) -> DataFrame:
+    sent = firsts.sparkSession.sparkContext.broadcast(bits)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield part.filter(pa.array(_let_through(sent.value, part.column(0).to_numpy())))
+
+    return firsts.mapInArrow(batches, firsts.schema)
+
+
+def _members(firsts: DataFrame, buckets: int) -> DataFrame:
+    """(pivot, node): the points of every region, its pivot among them."""
+
+    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            arrays = part.column(2)
+            keys = arrays.flatten().to_numpy()
+            node = np.repeat(part.column(0).to_numpy(), np.diff(arrays.offsets.to_numpy()))
+            rare = keys < LAST
+            keys, node = keys[rare], node[rare]
+            order = np.argsort(keys)
+            if len(order):
+                yield _packed(_bucket(keys[order], buckets), buckets, keys[order], node[order])
+
+    def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, node in _unpacked(parts, np.int64):
+            rank = mix(node.view(np.uint64))
+            order = np.lexsort((rank, keys))
+            keys, node = keys[order], node[order]
+            first = np.diff(keys, prepend=-1) != 0
+            pivot = node[first][np.cumsum(first) - 1]
+            other = np.flatnonzero(node != pivot)
+            pairs = np.unique(np.concatenate([np.stack([pivot[other], node[other]]),
+                                              np.stack([pivot[other], pivot[other]])], 1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0].copy()), pa.array(pairs[1].copy())], names=["pivot", "node"])
+
+    rare = _in_buckets(firsts.mapInArrow(deal, PACKED), buckets).mapInArrow(meet, "pivot long, node long")
+    # cells of shingles that go last may be large: counted and joined by Spark, which can split them
+    held = firsts.select("node", F.explode(F.filter("keys", lambda k: k >= int(LAST))).alias("key")).distinct()
+    cells = (held.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("r"), F.col("node"))).alias("p"),
+                                     F.min("node").alias("l"), F.max("node").alias("h"))
+             .where("l <> h").select("key", F.col("p.node").alias("pivot")))
+    return rare.unionByName(held.join(cells, "key").select("pivot", "node")).distinct()
 
 
 def _grouped(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -350,30 +472,24 @@ def _star_rounds(members: DataFrame, sets: DataFrame, rounds: int = 2) -> tuple[
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, size, node; links between nodes: x, y).  Copies share a node."""
+    """(documents: doc_id, size, node, h; links between nodes: x, y).  Copies share a node."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     seed = 0
     while True:
-        survey = stored(_survey(rows, seed), "shingle-survey")
-        points = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("size"),
-                                                 F.col("c").alias("node"), "d", F.col("e").alias("h"))
-        clash = points.where("size > 0").groupBy("node").agg(F.min("d").alias("l"), F.max("d").alias("h"))
+        points = stored(_survey(rows, seed), "shingle-survey")
+        clash = points.where("size > 0").groupBy("node").agg(F.min("other").alias("l"), F.max("other").alias("h"))
         if clash.where("l <> h").isEmpty():
             break
         seed += 1  # two sets with the same 64-bit digest: other hashes
-    last = _frequent(survey)
-    firsts = stored(_sets(rows, seed, last, whole=False).dropDuplicates(["node"]), "first-shingles")
-    held = firsts.select("node", F.explode("keys").alias("key"))
-    cells = (held.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("r"), F.col("node"))).alias("p"),
-                                     F.min("node").alias("l"), F.max("node").alias("h"))
-             .where("l <> h").select("key", F.col("p.node").alias("pivot")))
-    members = held.join(cells, "key").select("pivot", "node").distinct()
+    total = points.agg(F.sum("size")).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-total // PER_BUCKET))
+    last = _frequent(rows, seed, buckets)
+    firsts = stored(_sets(rows, seed, last), "first-shingles")
+    members = stored(_members(firsts, buckets), "regions")
+    firsts = _only(firsts, _bits_of(members)).dropDuplicates(["node"])
     live = stored(_by_region(members.join(firsts, "node")).mapInArrow(_live, "pivot long, node long"), "live-points")
-    active = live.select("node").distinct()
-    picked = points.join(active, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = rows.join(picked.select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = stored(_sets(texts, seed, last, whole=True).dropDuplicates(["node"]), "whole-sets")
+    sets = stored(_sets(rows, seed, last, _bits_of(live)).dropDuplicates(["node"]), "whole-sets")
     members, found = _star_rounds(live, sets)
     rest = _by_region(members.select("pivot", "node").join(sets, "node")).mapInArrow(_links, "x long, y long")
     for more in found:

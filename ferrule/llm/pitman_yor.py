@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ CONTEXTS = 1 << 16
 DISCOUNT, STRENGTH = 0.8, 1.0      # of the context restaurants
 ROOT_STRENGTH = 1.0                # of the parent; its discount is estimated from its customers
 SWEEPS, SAMPLES, MOVES = 4, 3, 8   # Gibbs sweeps, states averaged, customers moved a dish and sweep
-BUFFER = 16 << 20                  # text bytes dealt out at a time
+BUFFER = 8 << 20                   # text bytes dealt out at a time
 TEXTS = 1 << 15                    # and texts at most
 PER_BUCKET = 12 << 20              # text bytes a bucket of words stands for
 LEAST_BUCKETS = 64
@@ -90,29 +91,32 @@ def _deal(docs: DataFrame, heavy: np.ndarray, buckets: int, train: str) -> DataF
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         for part in parts:
-            texts = [t.encode("utf-8") for t in part.column(1).to_pylist()]
-            size = np.cumsum([max(len(t), BUFFER // TEXTS) for t in texts])  # so many texts fill a buffer as well
-            cuts = [0, *np.searchsorted(size, np.arange(BUFFER, size[-1] if len(size) else 0, BUFFER)).tolist(), len(texts)]
+            # so many short texts fill a buffer as well
+            size = np.cumsum(np.maximum(pc.binary_length(part.column(1)).to_numpy(), BUFFER // TEXTS), dtype=np.int64)
+            cuts = [0, *np.searchsorted(size, np.arange(BUFFER, size[-1] if len(size) else 0, BUFFER)).tolist(), len(size)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a < b:
-                    yield _dealt(texts[a:b], part.slice(a, b - a), base, sent.value, buckets)
+                    yield _dealt(part.slice(a, b - a), base, sent.value, buckets)
                     base += b - a
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.expr(train).alias("train"))
     return rows.mapInArrow(batches, BLOB)
 
 
-def _dealt(texts: list[bytes], part: pa.RecordBatch, base: int, heavy: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _dealt(part: pa.RecordBatch, base: int, heavy: np.ndarray, buckets: int) -> pa.RecordBatch:
+    texts = [t.encode("utf-8") for t in part.column(1).to_pylist()]
     h, doc, context = tokens(texts)
     lengths = np.bincount(doc, minlength=len(texts)).astype(np.int64)
     bucket = _bucket(h, context, heavy, buckets)
-    order = np.lexsort((h, bucket))
-    h, doc, context, bucket = h[order], doc[order].astype(np.uint16), context[order], bucket[order]
+    order = np.argsort(bucket.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))  # by bucket, equal words together
+    edge = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+    del bucket
+    h, doc, context = h[order], doc[order].astype(np.uint16), context[order]
+    del order
     ids = part.column(0)
     train = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
     own = base // 7 % buckets  # the bucket that carries what is known of the texts themselves
     out: dict[str, list] = {c.split()[0]: [] for c in BLOB.split(", ")}
-    edge = np.searchsorted(bucket, np.arange(buckets + 1))
     for p in range(buckets):
         a, b = int(edge[p]), int(edge[p + 1])
         if a == b and p != own:

@@ -9,8 +9,9 @@ One minus the Jaccard similarity of two sets is a metric.  Documents are joined
    the cell's first point by a hash is its pivot, and the points of all cells of a pivot are its
    region.  A point on the border of several regions is replicated into each, and every linked pair
    meets in some region.
-3. The first shingles of two sets alone bound their distance from below; points that no other point
-   of their region can be near to leave it before whole sets are read.
+3. Among its first 40 per cent a set shares at least a bounded number of shingles with any linked
+   set; points that share fewer with all others together, and points that no other one of their
+   region is near to in size, leave it before whole sets are read.
 4. A region is joined by pivots: exact distances to a few pivots give Voronoi cells; a point goes to
    its nearest pivot and, by the triangle inequality, to every other that is at most 2 * 0.25
    farther; the parts are joined in the same way until they are small or have no open pair.  Regions
@@ -42,7 +43,7 @@ from ferrule.llm.words import Words, buffers, mix
 WORDS = 5
 FREQUENT = 32            # a shingle that so many texts have among their first ones goes last
 HINTS = 1 << 18          # at most so many shingles are moved (an order, never a limit on results)
-LAST = np.int64(1 << 62)  # added to the key of a shingle that goes last
+LAST = np.int64(1 << 61)  # added to the key of a shingle that goes last
 SMALL = 24               # points compared one by one
 LARGE = 4096             # points of a region that one task joins
 PER_BUCKET = 8_000_000   # shingles that a bucket of the key space stands for
@@ -50,7 +51,7 @@ LEAST_BUCKETS = 64
 
 
 def shingles(texts: list[bytes], seed: int = 0) -> Iterator[np.ndarray]:
-    """The sorted distinct 62-bit shingle hashes of each text."""
+    """The sorted distinct 61-bit shingle hashes of each text."""
     step = [np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(WORDS)]
     salt = np.uint64((seed * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
     for _, run in buffers(texts):
@@ -60,21 +61,38 @@ def shingles(texts: list[bytes], seed: int = 0) -> Iterator[np.ndarray]:
         five = np.zeros(n, np.uint64)
         for j in range(WORDS):
             five += h[j:n + j] * step[j]
-        five = (mix(five) >> np.uint64(2)).astype(np.int64)
+        five = (mix(five) >> np.uint64(3)).astype(np.int64)
         for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
             if b - a >= WORDS:
                 yield np.unique(five[a:b - WORDS + 1])
             elif b > a:
                 one = (h[a:b] * np.array(step[:b - a])).sum(dtype=np.uint64) + np.uint64(b - a)
-                yield (mix(np.array([one])) >> np.uint64(2)).astype(np.int64)
+                yield (mix(np.array([one])) >> np.uint64(3)).astype(np.int64)
             else:
                 yield np.zeros(0, np.int64)
 
 
-def first_ones(keys: np.ndarray) -> np.ndarray:
-    """The part of a sorted set in which every linked set shares a shingle."""
-    n = len(keys)
-    return keys[:n - (3 * n + 3) // 4 + 1]
+def first_ones(n: int) -> int:
+    """How many first shingles of a set of n: every linked set shares one among its own first ones."""
+    return n - (3 * n + 3) // 4 + 1
+
+
+def shown(n: int) -> int:
+    """How many first shingles are looked at for the number of shared ones."""
+    return max(first_ones(n), -(-2 * n // 5))
+
+
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """How many of its ``shown`` shingles a set of n shares at least with any linked set.
+
+    Up to the smaller of two last keys, x and y, both sets are known: they differ there by at most
+    (|x| + |y|) / 7, so the one whose last key it is shares all but that many.  The bound is least
+    for the smallest and the largest set that may be linked."""
+    out = []
+    for size in n.tolist():
+        low, high = -(-3 * size // 4), 4 * size // 3
+        out.append(max(1, min(shown(size) - (size + high) // 7, shown(low) - (size + low) // 7)))
+    return np.array(out, np.int64)
 
 
 def digest(keys: np.ndarray) -> tuple[int, int]:
@@ -136,7 +154,7 @@ def _unpacked(parts: Iterator[pa.RecordBatch], value) -> Iterator[tuple[np.ndarr
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Ranges of the key space, so sorted keys are sorted by bucket."""
-    return ((keys >> 32) * buckets >> 30).astype(np.int32)
+    return ((keys >> 31) * buckets >> 30).astype(np.int32)
 
 
 def _in_buckets(packed: DataFrame, buckets: int) -> DataFrame:
@@ -148,7 +166,7 @@ def _frequent(rows: DataFrame, seed: int, buckets: int) -> np.ndarray:
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            firsts = [first_ones(s) for s in shingles(_distinct(part.column(0)), seed) if len(s)]
+            firsts = [s[:shown(len(s))] for s in shingles(_distinct(part.column(0)), seed) if len(s)]
             if firsts:
                 keys, n = np.unique(np.concatenate(firsts), return_counts=True)
                 yield _packed(_bucket(keys, buckets), buckets, keys, np.minimum(n, 65535).astype(np.uint16))
@@ -180,24 +198,21 @@ def _ordered(keys: np.ndarray, last: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _sets(rows: DataFrame, seed: int, last: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
-    """node, size, keys in order: the first ones of every set, or the whole sets of the nodes that
-    the bits ``only`` let through."""
-    sent = rows.sparkSession.sparkContext.broadcast((last, only))  # at most HINTS numbers; BITS bits
+def _sets(rows: DataFrame, seed: int, only: np.ndarray) -> DataFrame:
+    """node, size, keys: the whole sets of the nodes that the bits ``only`` let through."""
+    sent = rows.sparkSession.sparkContext.broadcast(only)  # BITS bits
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, only = sent.value
         for part in parts:
             node, size, out, held = [], [], [], 0
             for keys in shingles(_distinct(part.column(0)), seed):
                 name = digest(keys)[0] if len(keys) else 0
-                if not len(keys) or only is not None and not _let_through(only, np.array([name]))[0]:
+                if not len(keys) or not _let_through(sent.value, np.array([name]))[0]:
                     continue
-                keys = _ordered(keys, last)
                 node.append(name)
                 size.append(len(keys))
-                out.append(first_ones(keys) if only is None else keys)
-                held += len(out[-1])
+                out.append(keys)
+                held += len(keys)
                 if held > 1_000_000:
                     yield _batch(node, size, out)
                     node, size, out, held = [], [], [], 0
@@ -230,49 +245,99 @@ def _let_through(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return (bits[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
-def _only(firsts: DataFrame, bits: np.ndarray) -> DataFrame:
-    sent = firsts.sparkSession.sparkContext.broadcast(bits)
-
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            yield part.filter(pa.array(_let_through(sent.value, part.column(0).to_numpy())))
-
-    return firsts.mapInArrow(batches, firsts.schema)
-
-
-def _members(firsts: DataFrame, buckets: int) -> DataFrame:
-    """(pivot, node): the points of every region, its pivot among them."""
+def _cells(rows: DataFrame, seed: int, last: np.ndarray, buckets: int) -> DataFrame:
+    """Three kinds of rows.  0: (pivot, node, shared): a point of a region, and how many of its shown
+    shingles others have in this bucket.  1: (key, node, 0): a point that holds a shingle that goes
+    last among its first ones.  2: (0, node, shared): its shown shingles that go last, which all
+    count as shared."""
+    sent = rows.sparkSession.sparkContext.broadcast(last)  # at most HINTS numbers
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            arrays = part.column(2)
-            keys = arrays.flatten().to_numpy()
-            node = np.repeat(part.column(0).to_numpy(), np.diff(arrays.offsets.to_numpy()))
-            rare = keys < LAST
-            keys, node = keys[rare], node[rare]
-            order = np.argsort(keys)
-            if len(order):
-                yield _packed(_bucket(keys[order], buckets), buckets, keys[order], node[order])
+            keys, nodes = [], []
+            for s in shingles(_distinct(part.column(0)), seed):
+                if len(s):
+                    k = _ordered(s, sent.value)[:shown(len(s))] * 2
+                    k[first_ones(len(s)):] += 1  # odd: shown, but not among the first ones
+                    keys.append(k)
+                    nodes.append((digest(s)[0], len(k)))
+            if keys:
+                keys = np.concatenate(keys)
+                node = np.repeat(*np.array(nodes, np.int64).T)
+                bucket = np.where(keys < 2 * int(LAST), _bucket(keys >> 1, buckets), _bucket(node >> 2 & (LAST - 1), buckets))
+                order = np.argsort(bucket, kind="stable")
+                yield _packed(bucket[order], buckets, keys[order], node[order])
 
     def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, node in _unpacked(parts, np.int64):
-            rank = mix(node.view(np.uint64))
-            order = np.lexsort((rank, keys))
+            rare = keys < 2 * int(LAST)
+            last_keys, last_node = keys[~rare], node[~rare]
+            keys, node = keys[rare], node[rare]
+            order = np.lexsort((mix(node.view(np.uint64)), keys >> 1))
             keys, node = keys[order], node[order]
-            first = np.diff(keys, prepend=-1) != 0
-            pivot = node[first][np.cumsum(first) - 1]
-            other = np.flatnonzero(node != pivot)
-            pairs = np.unique(np.concatenate([np.stack([pivot[other], node[other]]),
-                                              np.stack([pivot[other], pivot[other]])], 1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0].copy()), pa.array(pairs[1].copy())], names=["pivot", "node"])
-
-    rare = _in_buckets(firsts.mapInArrow(deal, PACKED), buckets).mapInArrow(meet, "pivot long, node long")
+            first = np.flatnonzero(np.diff(keys >> 1, prepend=-1))
+            cell = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+            ends = np.append(first[1:], len(keys)) - 1
+            many = (node[first] != node[ends])[cell]  # copies are neighbours in a cell
+            new = np.ones(len(keys), bool)
+            new[1:] = (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])
+            one = many & new
+            yield _three(2, np.zeros(int(one.sum()), np.int64), node[one])
+            # regions: the points that have the shingle among their first ones
+            keys, node, cell = keys[one], node[one], cell[one]
+            own = keys & 1 == 0
+            node, cell = node[own], cell[own]
+            start = np.flatnonzero(np.diff(cell, prepend=-1))
+            length = np.diff(np.append(start, len(cell)))
+            pivot = np.repeat(node[start], length)
+            two = np.repeat(length > 1, length)
+            yield _three(0, pivot[two], node[two])
+            own = last_keys & 1 == 0
+            yield _three(1, last_keys[own], last_node[own])
+            yield _three(2, np.zeros(len(last_node), np.int64), last_node)
+
+    dealt = rows.select("text").mapInArrow(deal, PACKED)
+    return _in_buckets(dealt, buckets).mapInArrow(meet, "kind int, a long, node long, shared long")
+
+
+def _three(kind: int, a: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """Distinct (a, node) with how often each comes."""
+    order = np.lexsort((node, a))
+    a, node = a[order], node[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (node[1:] != node[:-1])
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(a)))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(a[at]), pa.array(node[at]),
+                                       pa.array(n.astype(np.int64))], names=["kind", "a", "node", "shared"])
+
+
+def _members(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """(pivot, node): the points of every region that share enough shingles for any link, where
+    another one of the region has a size that allows one."""
+    size = points.where("size > 0").groupBy("node").agg(F.first("size").alias("size"))
+    need = size.mapInArrow(_needed, "node long, size long, need long")
+    shared = cells.where("kind = 2").groupBy("node").agg(F.sum("shared").alias("shared"))
+    able = stored(need.join(shared, "node").where("shared >= need").select("node", "size"), "able-points")
     # cells of shingles that go last may be large: counted and joined by Spark, which can split them
-    held = firsts.select("node", F.explode(F.filter("keys", lambda k: k >= int(LAST))).alias("key")).distinct()
-    cells = (held.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("r"), F.col("node"))).alias("p"),
+    held = cells.where("kind = 1").select(F.col("a").alias("key"), "node").join(able.select("node"), "node", "left_semi").distinct()
+    large = (held.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("r"), F.col("node"))).alias("p"),
                                      F.min("node").alias("l"), F.max("node").alias("h"))
              .where("l <> h").select("key", F.col("p.node").alias("pivot")))
-    return rare.unionByName(held.join(cells, "key").select("pivot", "node")).distinct()
+    members = (cells.where("kind = 0").select(F.col("a").alias("pivot"), "node").join(able.select("node"), "node", "left_semi")
+               .unionByName(held.join(large, "key").select("pivot", "node")).distinct())
+    # sizes that differ by at most a third are in the same or in neighbouring classes
+    sized = members.join(able, "node").withColumn("sizes", F.floor(F.log(F.col("size")) / float(np.log(1.34))).cast("int"))
+    count = sized.groupBy("pivot", "sizes").agg(F.count(F.lit(1)).alias("n"))
+    reach = F.explode(F.array(F.col("sizes") - 1, F.col("sizes"), F.col("sizes") + 1))
+    near = count.select("pivot", reach.alias("sizes"), "n").groupBy("pivot", "sizes").agg(F.sum("n").alias("n"))
+    return sized.join(near.where("n > 1"), ["pivot", "sizes"]).select("pivot", "node")
+
+
+def _needed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(least_shared(part.column(1).to_numpy()))],
+                                         names=["node", "size", "need"])
 
 
 def _grouped(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -301,36 +366,6 @@ def _points(region: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]
     return node[one], region.column("size").to_numpy()[one], [values[offsets[i]:offsets[i + 1]] for i in one.tolist()]
 
 
-def may_link(size: np.ndarray, firsts: list[np.ndarray]) -> np.ndarray:
-    """Which points some other point may be linked to, by their first shingles alone: below the
-    smaller of two last keys both sets are known in full, so what differs there differs."""
-    m = len(size)
-    count = np.array(list(map(len, firsts)))
-    top = np.array([f[-1] for f in firsts])
-    key, at, holders = np.unique(np.concatenate(firsts), return_inverse=True, return_counts=True)
-    many = np.cumsum(holders > 1) - 1
-    owner = np.repeat(np.arange(m), count)
-    ok = holders[at] > 1
-    width = int((holders > 1).sum())
-    if m * width > 20_000_000:
-        return np.ones(m, bool)  # too large to look at here; whole sets will tell
-    held = np.zeros((m, width), np.float32)
-    held[owner[ok], many[at[ok]]] = 1
-    upto = np.stack([np.searchsorted(f, top, "right") for f in firsts])  # of x's keys, up to y's last
-    out = np.zeros(m, bool)
-    for s in range(0, m, 512):
-        e = slice(s, min(s + 512, m))
-        shared = held[e] @ held.T
-        mine = top[e, None] <= top[None]
-        known = np.where(mine, count[e, None], upto[e]) + np.where(mine, upto.T[e], count[None])
-        total = size[e, None] + size[None]
-        near = (7 * (known - 2 * shared) <= total) & \
-            (4 * np.minimum(size[e, None], size[None]) >= 3 * np.maximum(size[e, None], size[None]))
-        near[np.arange(e.stop - s), np.arange(s, e.stop)] = False
-        out[e] = near.any(1)
-    return out
-
-
 # ---- joining a region ----
 
 class Join:
@@ -406,20 +441,10 @@ class Join:
                 self._try(p, np.array(rest))
 
 
-def _live(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for pivot, region in _grouped(parts):
-        node, size, firsts = _points(region)
-        if len(node) > 1:
-            node = node[may_link(size, firsts)]
-            if len(node):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), pivot, np.int64)), pa.array(node)],
-                                                 names=["pivot", "node"])
-
-
 def _links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, region in _grouped(parts):
         node, size, keys = _points(region)
-        found = Join(size, [np.sort(k & (LAST - 1)) for k in keys]).run(np.arange(len(node))) if len(node) > 1 else []
+        found = Join(size, keys).run(np.arange(len(node))) if len(node) > 1 else []
         if found:
             x, y = np.array(found).T
             yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["x", "y"])
@@ -485,12 +510,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = points.agg(F.sum("size")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // PER_BUCKET))
     last = _frequent(rows, seed, buckets)
-    firsts = stored(_sets(rows, seed, last), "first-shingles")
-    members = stored(_members(firsts, buckets), "regions")
-    firsts = _only(firsts, _bits_of(members)).dropDuplicates(["node"])
-    live = stored(_by_region(members.join(firsts, "node")).mapInArrow(_live, "pivot long, node long"), "live-points")
-    sets = stored(_sets(rows, seed, last, _bits_of(live)).dropDuplicates(["node"]), "whole-sets")
-    members, found = _star_rounds(live, sets)
+    cells = stored(_cells(rows, seed, last, buckets), "cells")
+    members = stored(_members(cells, points), "regions")
+    sets = stored(_sets(rows, seed, _bits_of(members)).dropDuplicates(["node"]), "whole-sets")
+    members, found = _star_rounds(members, sets)
     rest = _by_region(members.select("pivot", "node").join(sets, "node")).mapInArrow(_links, "x long, y long")
     for more in found:
         rest = rest.unionByName(more)

@@ -324,3 +324,20 @@ def test_recursive_join_finds_all_components():
                 parent[root(i)] = root(j)
     pairs = {(root(i) == root(j)) == (join._root(i) == join._root(j)) for i in range(len(sets)) for j in range(i)}
     assert pairs == {True}
+
+
+def test_linked_sets_share_enough_of_their_first_shingles():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        n = int(rng.integers(1, 120))
+        x = rng.choice(10_000, n, replace=False)
+        y = x[rng.random(n) < rng.uniform(0.7, 1)]
+        y = np.unique(np.concatenate([y, rng.choice(10_000, int(rng.integers(0, n // 4 + 1)), replace=False)]))
+        x = np.unique(x)
+        if len(y) and 7 * len(np.intersect1d(x, y)) >= 3 * (len(x) + len(y)):
+            order = rng.permutation(10_000)  # any order of the shingles
+            a, b = np.sort(order[x]), np.sort(order[y])
+            assert len(np.intersect1d(a[:jaccard_regions.first_ones(len(a))], b[:jaccard_regions.first_ones(len(b))]))
+            both = len(np.intersect1d(a[:jaccard_regions.shown(len(a))], b[:jaccard_regions.shown(len(b))]))
+            need = jaccard_regions.least_shared(np.array([len(a), len(b)]))
+            assert both >= need.max()

@@ -36,20 +36,30 @@ class Generator:
     build: Callable[[dict[str, Any], GenContext], Column]
 
 
-def _wide_span(span: int) -> bool:
-    return span > TWO32
+# A 32-bit draw serves spans up to 2^20 (no value is more than 1/4096 likelier than
+# another), two draws (63 bits) spans up to 2^42, four draws (126 bits, decimal arithmetic) the rest.
+NARROW_SPAN = 1 << 20
+WIDE_SPAN = 1 << 42
 
 
-def uniform_below(draws: list[Column], span: int) -> Column:
-    """An integer in [0, span): one draw for spans ≤ 2^32, two draws (63 bits) beyond."""
-    if not _wide_span(span):
-        return draws[0] % F.lit(span).cast("long")
-    wide = F.shiftleft(draws[0], 31).bitwiseOR(F.shiftright(draws[1], 1))
-    return wide % F.lit(span).cast("long")
+def _span_draws(span: int) -> int:
+    return 1 if span <= NARROW_SPAN else 2 if span <= WIDE_SPAN else 4
 
 
-def _span_draws(span: int) -> int:
-    return 2 if _wide_span(span) else 1
+def _draw63(high: Column, low: Column) -> Column:
+    return F.shiftleft(high, 31).bitwiseOR(F.shiftright(low, 1))
+
+
+def uniform_below(draws: list[Column], span: int) -> Column:
+    """An integer in [0, span): a long, or decimal(38,0) for spans over ``WIDE_SPAN``."""
+    n = _span_draws(span)
+    if n == 1:
+        return draws[0] % F.lit(span).cast("long")
+    if n == 2:
+        return _draw63(*draws[:2]) % F.lit(span).cast("long")
+    whole = T.DecimalType(38, 0)
+    high, low = _draw63(*draws[:2]).cast(T.DecimalType(19, 0)), _draw63(*draws[2:4]).cast(whole)
+    return ((high * F.lit(Decimal(1 << 63)).cast(T.DecimalType(19, 0))).cast(whole) + low).cast(whole) % F.lit(Decimal(span)).cast(whole)
 
 
 _SEP = "\x1f"
@@ -75,7 +85,9 @@ def _int_span(p: dict[str, Any]) -> int:
 
 
 def _int_range(p: dict[str, Any], ctx: GenContext) -> Column:
-    return F.lit(int(p["low"])).cast("long") + uniform_below(ctx.draws, _int_span(p))
+    span = _int_span(p)
+    low = F.lit(Decimal(int(p["low"]))).cast("decimal(38,0)") if span > WIDE_SPAN else F.lit(int(p["low"])).cast("long")
+    return (low + uniform_below(ctx.draws, span)).cast("long")
 
 
 def _serial(p: dict[str, Any], ctx: GenContext) -> Column:
@@ -106,7 +118,9 @@ def _decimal_draws(p: dict[str, Any]) -> int:
 def _decimal_range(p: dict[str, Any], ctx: GenContext) -> Column:
     s = _decimal_scale(p, ctx)
     lo_u, hi_u = _decimal_units(p, s)
-    units = F.lit(lo_u).cast("long") + uniform_below(ctx.draws, hi_u - lo_u + 1)
+    span = hi_u - lo_u + 1
+    low = F.lit(Decimal(lo_u)).cast("decimal(38,0)") if span > WIDE_SPAN else F.lit(lo_u).cast("long")
+    units = low + uniform_below(ctx.draws, span)
     digits = max(len(str(abs(lo_u))), len(str(abs(hi_u))), 1)
     exact = units.cast(T.DecimalType(min(38, digits), 0)) * F.lit(Decimal(1).scaleb(-s))
     p_out = ctx.ctype.precision or min(38, digits + 1)

@@ -85,13 +85,14 @@ def assert_reproducible(first: dict[str, DataFrame], second: dict[str, DataFrame
 
 def dataset_diff(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
     """Per-column change counts between two versions of a keyed table: one full outer join on
-    the key (shuffle on the key; AQE splits hot partitions), then one aggregate.
+    the key (null-safe; one shuffle of each side), then one aggregate.
 
     Returns one row per column plus the ``__rows__`` row carrying added/removed/changed rows."""
     cols = [c for c in first.columns if c not in key and c in second.columns]
-    a = first.select(*key, *[F.col(c).alias(f"a_{c}") for c in cols], F.lit(True).alias("__in_a"))
-    b = second.select(*key, *[F.col(c).alias(f"b_{c}") for c in cols], F.lit(True).alias("__in_b"))
-    j = a.join(b, key, "full_outer")
+    a = first.select(*[F.col(k).alias(f"a__{k}") for k in key], *[F.col(c).alias(f"a_{c}") for c in cols], F.lit(True).alias("__in_a"))
+    b = second.select(*[F.col(k).alias(f"b__{k}") for k in key], *[F.col(c).alias(f"b_{c}") for c in cols], F.lit(True).alias("__in_b"))
+    # NULL keys are keys as well: two identical tables have no difference
+    j = a.join(b, [F.col(f"a__{k}").eqNullSafe(F.col(f"b__{k}")) for k in key], "full_outer")
     both = F.col("__in_a").isNotNull() & F.col("__in_b").isNotNull()
     changed_cols = [both & ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in cols]
     any_change = F.lit(False)

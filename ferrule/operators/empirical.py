@@ -1,62 +1,61 @@
 """Generation from examples: values drawn with the frequencies observed in a source column.
 
-The source column is reduced to (value, count) by a map-side-combined aggregate; counts become
-cumulative integer cut points on the 32-bit draw (a window over the value table — one task,
-bounded by ``MAX_CATEGORIES``, which is checked before anything runs).  Each generated row finds
-its value by a bucketized range join: the draw space is cut into 2^12 buckets, every value row
-is replicated into the buckets its [lo, hi) interval touches, and the join on bucket + range
-filter matches exactly one value per row.  The value table is broadcast only after its size
-check; beyond it the same join runs as a shuffle join.
+The source column is reduced to (value, count) by a map-side-combined aggregate, stored in value
+order over range partitions; totals per partition and a window inside each give every value its
+slice [lo, hi) of 0..total, in exact integer counts.  A generated row draws a 63-bit number below
+the total and finds its value by a bucketized range join: the total is cut into up to 2^20 equal
+buckets, a value is listed in the buckets its slice touches, and bucket plus range match exactly
+one value.  Spark chooses the join by size.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draw import TWO32, derive_seed, with_draws
-from ..session import spread
-
-# Fixed values of the plan shape.
-MAX_CATEGORIES = 100_000
-BROADCAST_CATEGORIES = 20_000
-BUCKET_BITS = 12
-
+from ..functions.draw import derive_seed, with_draws
+from ..functions.generators import _draw63
+from ..session import scratch_path, spread
 
-class TooManyCategories(ValueError):
-    pass
+# Fixed value of the plan shape.
+BUCKETS = 1 << 20
 
 
 def value_cuts(source: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """((value, lo, hi), number of values): [lo, hi) slices of [0, 2^32) proportional to observed
-    counts, in value order."""
+    """((value, lo, hi), rows with a value): slices proportional to observed counts, in value order."""
+    spark = source.sparkSession
     counts = source.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
         F.count(F.lit(1)).alias("n"))
-    n_values = counts.count()
-    if n_values > MAX_CATEGORIES:
-        raise TooManyCategories(f"{column}: {n_values} distinct values (max {MAX_CATEGORIES})")
-    w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = Window.partitionBy(F.lit(1))
-    cum = counts.select("value", "n", F.sum("n").over(w).alias("cum"), F.sum("n").over(tot).alias("total"))
-    hi = F.round(F.col("cum") / F.col("total") * F.lit(float(TWO32))).cast("long")
-    lo = F.round((F.col("cum") - F.col("n")) / F.col("total") * F.lit(float(TWO32))).cast("long")
-    cuts = cum.select("value", lo.alias("lo"), F.when(F.col("cum") == F.col("total"), F.lit(TWO32))
-                      .otherwise(hi).alias("hi")).where(F.col("hi") > F.col("lo"))
-    return cuts, n_values
+    path = scratch_path(spark, f"value-counts-{uuid.uuid4().hex[:12]}")
+    counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    counts = spark.read.parquet(path)
+    start, offsets = 0, []
+    for r in counts.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row a partition
+        offsets.append((r.part, start))
+        start += r.n
+    inside = Window.partitionBy("part").orderBy("value")
+    cuts = counts.join(F.broadcast(spark.createDataFrame(offsets, "part int, start long")), "part").withColumn(
+        "hi", F.col("start") + F.sum("n").over(inside))
+    return cuts.select("value", (F.col("hi") - F.col("n")).alias("lo"), "hi"), start
 
 
 def empirical_column(spine: DataFrame, index_col: str, source: DataFrame, column: str, seed: int,
                      table: str, out: str) -> DataFrame:
     """Add ``out`` to every ``spine`` row: a value of ``source.column`` drawn with its observed
-    frequency (draw indexed by ``index_col``)."""
-    cuts, n_values = value_cuts(source, column)
-    shift = 32 - BUCKET_BITS
+    frequency (draw indexed by ``index_col``); NULL if the source has no value."""
+    cuts, total = value_cuts(source, column)
+    if not total:
+        return spine.withColumn(out, F.lit(None).cast(source.schema[column].dataType))
+    step = max(1, -(-total // BUCKETS))
     per_bucket = cuts.select("value", "lo", "hi", F.explode(F.sequence(
-        F.shiftright(F.col("lo"), shift), F.shiftright(F.col("hi") - 1, shift))).alias("__b"))
-    if n_values <= BROADCAST_CATEGORIES:
-        per_bucket = F.broadcast(per_bucket)
+        F.expr(f"lo div {step}"), F.expr(f"(hi - 1) div {step}"))).alias("__b"))
+    names = [f"__e0_{out}", f"__e1_{out}"]
+    seeds = [derive_seed(seed, table, out), derive_seed(seed, table, out, "__draw1__")]
     d = f"__e_{out}"
-    rows = with_draws(spread(spine), index_col, {d: derive_seed(seed, table, out)}, barrier=True)
-    rows = rows.withColumn("__b", F.shiftright(F.col(d), shift))
+    rows = with_draws(spread(spine), index_col, dict(zip(names, seeds)), barrier=True)
+    rows = rows.withColumn(d, _draw63(*map(F.col, names)) % F.lit(total).cast("long")).withColumn(
+        "__b", F.expr(f"`{d}` div {step}"))
     joined = rows.join(per_bucket, "__b").where((F.col(d) >= F.col("lo")) & (F.col(d) < F.col("hi")))
-    return joined.drop("__b", "lo", "hi", d).withColumnRenamed("value", out)
+    return joined.drop("__b", "lo", "hi", d, *names).withColumnRenamed("value", out)

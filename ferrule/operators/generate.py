@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draw import derive_seed, with_draws
-from ..functions.generators import REGISTRY, GenContext, null_mask, uniform_below
+from ..functions.generators import REGISTRY, GenContext, _draw63, _span_draws, null_mask, uniform_below
 from ..session import spread
 from ..plans.spec import DatasetSpec, SpecError, TableSpec, build_order, driving_fk
 from .expand import dense_index, expand_by_counts
@@ -59,9 +59,10 @@ def spine(spark: SparkSession, n: int, offset: int = 0, parts: int | None = None
     return spark.range(offset, offset + n, 1, parts).withColumnRenamed("id", ROW)
 
 
-def _draw_seeds(seed: int, table: str, column: str, n: int) -> list[int]:
-    return [derive_seed(seed, table, column) if k == 0 else
-            derive_seed(seed, table, column, f"__draw{k}__") for k in range(n)]
+def _draw_seeds(seed: int, table: str, column: str, n: int, purpose: str | None = None) -> list[int]:
+    """Sub-seeds of a column's ``n`` draws (for a purpose other than its values, named first)."""
+    path = (table, column) if purpose is None else (table, purpose, column)
+    return [derive_seed(seed, *path, *([f"__draw{k}__"] if k else [])) for k in range(n)]
 
 
 def generate_columns(base: DataFrame, table: TableSpec, seed: int,
@@ -186,7 +187,7 @@ def _parent_rows(pool: KeyPool, spark: SparkSession) -> DataFrame:
 def _child_counts(prow: DataFrame, seed: int, child: str, column: str, lo: int, hi: int) -> DataFrame:
     """(``__prow``, ``__pkey``, ``__k``): k ∈ [lo, hi] children drawn per parent row index."""
     span = hi - lo + 1
-    n_k = 2 if span > (1 << 32) else 1
+    n_k = _span_draws(span)
     kdraws = {f"__k{j}": derive_seed(seed, child, "__cardinality__", column) if j == 0 else
               derive_seed(seed, child, "__cardinality__", column, f"__draw{j}__") for j in range(n_k)}
     prow = with_draws(prow.withColumn(ROW, F.col("__prow")), ROW, kdraws)
@@ -218,10 +219,12 @@ def sample_keys(child: DataFrame, index_col: str, pool: KeyPool, seed: int, tabl
     (the child side is uniform over the index by construction, so the join has no hot key)."""
     if pool.size == 0:
         raise SpecError("FK_UNRESOLVED", f"{table}.{column}: the key pool is empty")
-    sname = f"__s_{column}"
-    child = with_draws(child, index_col, {sname: derive_seed(seed, table, "__fk_sample__", column)},
+    names = [f"__s0_{column}", f"__s1_{column}"]  # 63 bits: every key of any pool can be drawn
+    seeds = _draw_seeds(seed, table, column, 2, "__fk_sample__")
+    child = with_draws(child, index_col, dict(zip(names, seeds)),
                        barrier=True)  # joined on: keep the join's null filter off the mixer
-    return pool.lookup(child, F.col(sname) % F.lit(pool.size).cast("long"), out).drop(sname)
+    index = _draw63(*map(F.col, names)) % F.lit(pool.size).cast("long")
+    return pool.lookup(child, index, out).drop(*names)
 
 
 def self_reference(base: DataFrame, table: TableSpec, seed: int, column: str, out: str) -> DataFrame:
@@ -233,11 +236,11 @@ def self_reference(base: DataFrame, table: TableSpec, seed: int, column: str, ou
         raise SpecError("SELF_FK_UNSUPPORTED",
                         f"{table.name}.{column}: a self reference needs a serial primary key")
     start = int(key.generator.params.get("start", 1))
-    name = f"__sf_{column}"
-    base = with_draws(base, ROW, {name: derive_seed(seed, table.name, "__self_fk__", column)})
+    names = [f"__sf0_{column}", f"__sf1_{column}"]
+    base = with_draws(base, ROW, dict(zip(names, _draw_seeds(seed, table.name, column, 2, "__self_fk__"))))
     value = F.when(F.col(ROW) == 0, F.lit(None).cast("long")).otherwise(
-        F.lit(start).cast("long") + F.col(name) % F.col(ROW))
-    return base.withColumn(out, value).drop(name)
+        F.lit(start).cast("long") + _draw63(*map(F.col, names)) % F.col(ROW))
+    return base.withColumn(out, value).drop(*names)
 
 
 def materialize(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:

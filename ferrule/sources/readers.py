@@ -23,7 +23,9 @@ def _bind(text: Column, ct: CanonicalType, strict: bool) -> Column:
     if k in ("STRING", "UUID", "JSON", "TIME"):
         return text
     if k == "BYTES":
-        return F.unhex(text)
+        data = F.unhex(text)
+        return F.when(text.isNotNull() & data.isNull(), F.raise_error(F.concat(F.lit("not hex: "), text)).cast("binary")) \
+            .otherwise(data) if strict else data
     if k == "BOOLEAN":
         return cast(F.lower(text), T.BooleanType())
     if k == "DATE":
@@ -38,10 +40,21 @@ def read_jsonl(spark: SparkSession, path: str, columns: dict[str, str | Canonica
                strict: bool = True) -> DataFrame:
     """JSON lines → typed DataFrame with ``columns`` ({name: SQL type or canonical type}) in order."""
     cts = {n: (t if isinstance(t, CanonicalType) else parse_sql_type(t)) for n, t in columns.items()}
-    raw = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in cts])).json(path)
+    # a line that is no JSON object stops a strict read; otherwise it is a row of NULLs, and
+    # ``corrupt_lines`` gives it back
+    raw = (spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in cts]))
+           .option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path))
     return raw.select(*[_bind(F.col(n), ct, strict).alias(n) for n, ct in cts.items()])
 
 
+def corrupt_lines(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """(line): the non-blank lines that are not JSON objects."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*columns, "_corrupt"]])
+    rows = spark.read.text(path).where(F.trim("value") != "").select(
+        "value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    return rows.where(F.col("r._corrupt").isNotNull()).select(F.col("value").alias("line"))
+
+
 def cast_to_schema(df: DataFrame, declared: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Cast columns to declared SQL types with ``try_cast``.
 

@@ -9,6 +9,7 @@ a failure costs at most one chunk.  The result directory is readable as one Parq
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +37,16 @@ def _mark(spark: SparkSession, path: str) -> None:
 
 def generate_in_chunks(spark: SparkSession, table: TableSpec, seed: int, n: int, chunk_rows: int,
                        path: str, unique: bool = False) -> list[str]:
-    """Write rows 0..n-1 of ``table`` under ``path/chunk=<i>``; returns the chunk directories.
+    """Write rows 0..n-1 of ``table`` under ``path/run=<digest>/chunk=<i>``; returns the chunk
+    directories.  The digest is of everything asked for, so a chunk is only taken over from a run
+    that asked for the same.
 
     ``unique`` re-checks PK/UNIQUE columns per chunk only; a whole-table check belongs after
     the last chunk (``check_unique`` on the read-back table)."""
     if chunk_rows <= 0:
         raise ValueError("chunk_rows must be positive")
+    asked = repr((table, seed, n, chunk_rows, unique)).encode("utf-8")
+    path = os.path.join(path, "run=" + hashlib.blake2b(asked, digest_size=8).hexdigest())
     out = []
     for i, offset in enumerate(range(0, n, chunk_rows)):
         target = os.path.join(path, f"chunk={i:06d}")
@@ -55,7 +60,6 @@ def generate_in_chunks(spark: SparkSession, table: TableSpec, seed: int, n: int,
     return out
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """All chunks as one table (the ``chunk`` directory level becomes a partition column,
-    dropped here)."""
-    return spark.read.parquet(path).drop("chunk")
+def read_chunks(spark: SparkSession, chunks: list[str]) -> DataFrame:
+    """The chunks that ``generate_in_chunks`` returned, as one table."""
+    return spark.read.parquet(*chunks)

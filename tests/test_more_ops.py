@@ -18,14 +18,16 @@ from ferrule.streaming.chunks import generate_in_chunks, read_chunks
 
 
 def test_chunked_generation_equals_whole(spark):
-    t = parse_spec(GOLDEN).table("customers")
+    t = parse_spec(GOLDEN).table("wells")
     path = os.path.join(tempfile.mkdtemp(), "chunks")
     dirs = generate_in_chunks(spark, t, 42, 230, 100, path)
     assert len(dirs) == 3
     again = generate_in_chunks(spark, t, 42, 230, 100, path)  # resumes: nothing rewritten
     assert again == dirs
+    fewer = generate_in_chunks(spark, t, 42, 4, 10, path)  # asks for something else: nothing taken over
+    assert read_chunks(spark, fewer).count() == 4
     whole = generate_table(spark, t, 42, n=230)
-    back = read_chunks(spark, path).select(*whole.columns)
+    back = read_chunks(spark, dirs).select(*whole.columns)
     assert back.exceptAll(whole).count() == 0 and whole.exceptAll(back).count() == 0
 
 

@@ -10,7 +10,7 @@ from decimal import Decimal
 from typing import Any
 
 from ferrule.functions import corpus as C
-from ferrule.functions.draw import MASK32, MIX_MULT, TWO32, derive_seed, seed_halves, unit_cut
+from ferrule.functions.draw import MASK32, MIX_MULT, derive_seed, seed_halves, unit_cut
 from ferrule.functions.generators import (_date_days, _decimal_units, _ts_span, _as_date,
                                           _as_datetime, categorical_cuts)
 
@@ -65,10 +65,18 @@ def pick(values: list[Any], idx: str) -> str:
     return f"({_list(values)})[CAST({idx} AS BIGINT) + 1]"
 
 
+def draw63(d: list[str]) -> str:
+    return f"(({d[0]} << 31) | ({d[1]} >> 1))"
+
+
 def uniform_below(d: list[str], span: int) -> str:
-    if span <= TWO32:
+    """Draws by the width of the span (limits stated here on their own: 2^20 and 2^42)."""
+    if span <= 1 << 20:
         return f"({d[0]} % {span})"
-    return f"((({d[0]} << 31) | ({d[1]} >> 1)) % {span})"
+    if span <= 1 << 42:
+        return f"({draw63(d)} % {span})"
+    return (f"((CAST({draw63(d)} AS HUGEINT) * CAST('9223372036854775808' AS HUGEINT) + "
+            f"CAST({draw63(d[2:])} AS HUGEINT)) % CAST('{span}' AS HUGEINT))")
 
 
 def _idx(d: str, n: int, shift: int = 0) -> str:
@@ -131,7 +139,7 @@ def gen_expr(kind: str, p: dict[str, Any], d: list[str], row: str, sql_type: str
     if kind == "serial":
         e = f"({int(p.get('start', 1))} + {row})"
     elif kind == "int_range":
-        e = f"({int(p['low'])} + {uniform_below(d, int(p['high']) - int(p['low']) + 1)})"
+        e = f"(CAST('{int(p['low'])}' AS HUGEINT) + {uniform_below(d, int(p['high']) - int(p['low']) + 1)})"
     elif kind == "categorical":
         vals = list(p["values"])
         if p.get("weights") is None:

@@ -85,7 +85,7 @@ def _type_agreement_sql() -> str:
 def _parquet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     data = build_dataset(spark, sf)
     base = scratch_path(spark, f"roundtrip-{uuid.uuid4().hex[:12]}")
-    order = {"customers": ["id"], "orders": ["id"]}
+    order = {"wells": ["id"], "readings": ["id"]}
     for name, df in data.items():
         write_parquet(df, f"{base}/{name}", order_by=order[name])
     parts = []

@@ -15,6 +15,7 @@ _MODULES = [
     "workloads.plans_wl",
     "workloads.discover_wl",
     "workloads.xops_wl",
+    "workloads.mended_wl",
 ]
 
 

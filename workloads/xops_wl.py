@@ -290,19 +290,17 @@ EDITS_SQL = report_sql(
 
 def _empirical(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
-    return empirical_column(o.select("o_orderkey"), "o_orderkey", o, "o_orderpriority", SEED,
-                            "orders_twin", "v")
+    return empirical_column(o.select("o_orderkey"), "o_orderkey", table(spark, sf, "lineitem"), "l_partkey", SEED,
+                            "orders_twin", "v")  # a key-like source column
 
 
 def _empirical_sql() -> str:
-    seed = derive_seed(SEED, "orders_twin", "v")
-    d = G.draws_sql("SELECT o_orderkey FROM orders", "o_orderkey", {"__e": seed})
-    return ("WITH c AS (SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority "
-            "IS NOT NULL GROUP BY 1), w AS (SELECT value, n, sum(n) OVER (ORDER BY value) AS cum, "
-            "sum(n) OVER () AS total FROM c), cuts AS (SELECT value, CAST(round((cum - n) / total * "
-            "4294967296.0) AS BIGINT) AS lo, CASE WHEN cum = total THEN 4294967296 ELSE "
-            "CAST(round(cum / total * 4294967296.0) AS BIGINT) END AS hi FROM w) "
-            f"SELECT r.o_orderkey, cuts.value AS v FROM ({d}) AS r JOIN cuts ON r.__e >= cuts.lo AND r.__e < cuts.hi")
+    seeds = [derive_seed(SEED, "orders_twin", "v", *more) for more in ((), ("__draw1__",))]
+    d = G.draws_sql("SELECT o_orderkey FROM orders", "o_orderkey", dict(zip(("__e0", "__e1"), seeds)))
+    return ("WITH c AS (SELECT l_partkey AS value, count(*) AS n FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 1), "
+            "cuts AS (SELECT value, sum(n) OVER (ORDER BY value) - n AS lo, sum(n) OVER (ORDER BY value) AS hi FROM c) "
+            f"SELECT r.o_orderkey, cuts.value AS v FROM (SELECT o_orderkey, {G.draw63(['__e0', '__e1'])} % "
+            f"(SELECT sum(n) FROM c) AS e FROM ({d})) AS r JOIN cuts ON r.e >= cuts.lo AND r.e < cuts.hi")
 
 
 # --- self-referencing key (X13) -----------------------------------------------------------------
@@ -322,11 +320,11 @@ def _self_fk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _self_fk_sql() -> str:
-    seed = derive_seed(SEED, "employees", "__self_fk__", "manager_id")
+    seeds = [derive_seed(SEED, "employees", "__self_fk__", "manager_id", *more) for more in ((), ("__draw1__",))]
     base = G.draws_sql("SELECT range AS __row FROM range((SELECT count(*) FROM customer))", "__row",
-                       {"__sf": seed})
+                       dict(zip(("__sf0", "__sf1"), seeds)))
     return table_sql(EMPLOYEES.table("employees"), SEED, base, [],
-                     {"manager_id": "CASE WHEN __row = 0 THEN NULL ELSE 1 + __sf % __row END"})
+                     {"manager_id": f"CASE WHEN __row = 0 THEN NULL ELSE 1 + {G.draw63(['__sf0', '__sf1'])} % __row END"})
 
 
 # --- report score (X06) and column profile (X02) --------------------------------------------------

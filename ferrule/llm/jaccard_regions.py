@@ -422,12 +422,38 @@ class Join:
                 inside = dist[j] <= dist.min(0) + 0.5 + 1e-9
                 if (nearest == j).any():
                     parts.append(pts[inside])
-            if max(map(len, parts)) > 0.9 * len(pts):
-                self._one_by_one(pts)  # all about equally far: pivots do not part them
+            if sum(map(len, parts)) > 1.5 * len(pts):
+                self._by_first_ones(pts)  # about equally far from all: pivots do not part them
             else:
                 work += parts
         return self.links
 
+    def _by_first_ones(self, pts: np.ndarray) -> None:
+        """Points against those that share one of their first shingles, rare ones of this part first."""
+        length = np.array([len(self.sets[i]) for i in pts.tolist()])
+        own = np.repeat(np.arange(len(pts)), length)
+        _, name, count = np.unique(np.concatenate([self.sets[i] for i in pts.tolist()]), return_inverse=True, return_counts=True)
+        order = np.lexsort((name, count[name], own))
+        place = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
+        use = (place < np.repeat([first_ones(n) for n in length.tolist()], length)) & (count[name[order]] > 1)
+        name, own = name[order][use], own[use]  # own was in order already
+        by_name = np.argsort(name, kind="stable")
+        holder, sorted_name = own[by_name], name[by_name]
+        size = self.size[pts]
+        edge = np.searchsorted(own, np.arange(len(pts) + 1))
+        for p in range(len(pts)):
+            mine = name[edge[p]:edge[p + 1]]
+            if not len(mine):
+                continue
+            low, high = np.searchsorted(sorted_name, mine), np.searchsorted(sorted_name, mine, "right")
+            near = np.unique(np.concatenate([holder[a:b] for a, b in zip(low.tolist(), high.tolist())]))
+            near = near[near > p]
+            near = near[4 * np.minimum(size[near], size[p]) >= 3 * np.maximum(size[near], size[p])]
+            root = self._root(int(pts[p]))
+            rest = [y for y in pts[near].tolist() if self._root(y) != root]
+            if rest:
+                self._try(int(pts[p]), np.array(rest))
+
     def _one_by_one(self, pts: np.ndarray) -> None:
         """Points in order of size, each against the later ones whose size allows a link and that
         it is not connected to yet."""

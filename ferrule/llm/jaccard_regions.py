@@ -9,7 +9,7 @@ One minus the Jaccard similarity of two sets is a metric.  Documents are joined
    the cell's first point by a hash is its pivot, and the points of all cells of a pivot are its
    region.  A point on the border of several regions is replicated into each, and every linked pair
    meets in some region.
-3. Among its first 40 per cent a set shares at least a bounded number of shingles with any linked
+3. Among its first half a set shares at least a bounded number of shingles with any linked
    set; points that share fewer with all others together, and points that no other one of their
    region is near to in size, leave it before whole sets are read.
 4. A region is joined by pivots: exact distances to a few pivots give Voronoi cells; a point goes to
@@ -79,7 +79,7 @@ def first_ones(n: int) -> int:
 
 def shown(n: int) -> int:
     """How many first shingles are looked at for the number of shared ones."""
-    return max(first_ones(n), -(-2 * n // 5))
+    return max(first_ones(n), -(-n // 2))
 
 
 def least_shared(n: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ def _survey(rows: DataFrame, seed: int) -> DataFrame:
     """doc_id, size, node and second digest of the set, hash of the text."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in _slices(parts):
             size, d = [], []
             for keys in shingles(_encoded(part.column(1)), seed):
                 size.append(len(keys))
@@ -132,24 +132,43 @@ def _survey(rows: DataFrame, seed: int) -> DataFrame:
         batches, "doc_id long, size long, node long, other long, h long")
 
 
-def _packed(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> pa.RecordBatch:
-    """One row a bucket, with the columns' values as bytes (``bucket`` ascending)."""
+def _slices(parts: Iterator[pa.RecordBatch], rows: int = 4000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: what a task holds at a time."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+
+
+def _packed(bucket: np.ndarray, buckets: int, keys: np.ndarray, values: np.ndarray, nodes: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row a bucket (``bucket`` ascending, keys ascending within it): the keys as differences, byte
+    plane by byte plane, so that the shuffle's compression drops the planes of zeros; the values; and
+    the nodes that values number."""
     edge = np.searchsorted(bucket, np.arange(buckets + 1))
     some = [p for p in range(buckets) if edge[p] < edge[p + 1]]
+
+    def planes(k: np.ndarray) -> bytes:
+        return np.ascontiguousarray(np.diff(k, prepend=0).view(np.uint8).reshape(-1, 8).T).tobytes()
+
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.array(some, np.int32))] +
-        [pa.array([c[edge[p]:edge[p + 1]].tobytes() for p in some], pa.binary()) for c in columns],
-        names=["bucket", "keys", "values"])
+        [pa.array(np.array(some, np.int32)), pa.array([planes(keys[edge[p]:edge[p + 1]]) for p in some], pa.binary()),
+         pa.array([values[edge[p]:edge[p + 1]].tobytes() for p in some], pa.binary()),
+         pa.array([None if nodes is None else nodes.tobytes()] * len(some), pa.binary())],
+        names=["bucket", "keys", "values", "nodes"])
 
 
-PACKED = "bucket int, keys binary, values binary"
+PACKED = "bucket int, keys binary, values binary, nodes binary"
 
 
-def _unpacked(parts: Iterator[pa.RecordBatch], value) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and values of whole buckets (the rows come sorted by bucket)."""
+def _unpacked(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and values (or the nodes they number) of whole buckets (the rows come sorted by bucket)."""
     for _, rows in _grouped(parts):
-        yield (np.concatenate([np.frombuffer(k, np.int64) for k in rows.column("keys").to_pylist()]),
-               np.concatenate([np.frombuffer(v, value) for v in rows.column("values").to_pylist()]))
+        keys, values = [], []
+        for k, v, nodes in zip(*(rows.column(c).to_pylist() for c in ("keys", "values", "nodes"))):
+            d = np.ascontiguousarray(np.frombuffer(k, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+            keys.append(np.cumsum(d))
+            v = np.frombuffer(v, np.uint16)
+            values.append(v if nodes is None else np.frombuffer(nodes, np.int64)[v])
+        yield np.concatenate(keys), np.concatenate(values)
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -165,14 +184,14 @@ def _frequent(rows: DataFrame, seed: int, buckets: int) -> np.ndarray:
     """Sorted shingles that go last: counted over the first ones of all texts, copies of a batch once."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in _slices(parts):
             firsts = [s[:shown(len(s))] for s in shingles(_distinct(part.column(0)), seed) if len(s)]
             if firsts:
                 keys, n = np.unique(np.concatenate(firsts), return_counts=True)
                 yield _packed(_bucket(keys, buckets), buckets, keys, np.minimum(n, 65535).astype(np.uint16))
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, n in _unpacked(parts, np.uint16):
+        for keys, n in _unpacked(parts):
             order = np.argsort(keys)
             keys, n = keys[order], n[order].astype(np.int64)
             first = np.flatnonzero(np.diff(keys, prepend=-1))
@@ -203,7 +222,7 @@ def _sets(rows: DataFrame, seed: int, only: np.ndarray) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(only)  # BITS bits
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in _slices(parts):
             node, size, out, held = [], [], [], 0
             for keys in shingles(_distinct(part.column(0)), seed):
                 name = digest(keys)[0] if len(keys) else 0
@@ -253,23 +272,23 @@ def _cells(rows: DataFrame, seed: int, last: np.ndarray, buckets: int) -> DataFr
     sent = rows.sparkSession.sparkContext.broadcast(last)  # at most HINTS numbers
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in _slices(parts):
             keys, nodes = [], []
             for s in shingles(_distinct(part.column(0)), seed):
                 if len(s):
                     k = _ordered(s, sent.value)[:shown(len(s))] * 2
                     k[first_ones(len(s)):] += 1  # odd: shown, but not among the first ones
                     keys.append(k)
-                    nodes.append((digest(s)[0], len(k)))
+                    nodes.append(digest(s)[0])
             if keys:
-                keys = np.concatenate(keys)
-                node = np.repeat(*np.array(nodes, np.int64).T)
-                bucket = np.where(keys < 2 * int(LAST), _bucket(keys >> 1, buckets), _bucket(node >> 2 & (LAST - 1), buckets))
-                order = np.argsort(bucket, kind="stable")
-                yield _packed(bucket[order], buckets, keys[order], node[order])
+                at = np.repeat(np.arange(len(keys), dtype=np.uint16), list(map(len, keys)))
+                keys, nodes = np.concatenate(keys), np.array(nodes, np.int64)
+                bucket = np.where(keys < 2 * int(LAST), _bucket(keys >> 1, buckets), _bucket(nodes >> 2 & (LAST - 1), buckets)[at])
+                order = np.lexsort((keys, bucket))
+                yield _packed(bucket[order], buckets, keys[order], at[order], nodes)
 
     def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, node in _unpacked(parts, np.int64):
+        for keys, node in _unpacked(parts):
             rare = keys < 2 * int(LAST)
             last_keys, last_node = keys[~rare], node[~rare]
             keys, node = keys[rare], node[rare]

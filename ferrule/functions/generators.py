@@ -274,9 +274,13 @@ REGISTRY: dict[str, Generator] = {
 
 
 def register(kind: str, n_draws: Callable[[dict[str, Any]], int],
-             build: Callable[[dict[str, Any], GenContext], Column]) -> None:
-    """Add a generator kind (one place to extend)."""
+             build: Callable[[dict[str, Any], GenContext], Column],
+             canonical_kinds: set[str] | None = None) -> None:
+    """Add a generator kind: specs may name it from then on, for columns of ``canonical_kinds``
+    (default: any)."""
+    from ..plans.spec import GENERATOR_KINDS
     REGISTRY[kind] = Generator(kind, n_draws, build)
+    GENERATOR_KINDS[kind] = set(canonical_kinds) if canonical_kinds else None
 
 
 def null_mask(null_draw: Column, rate: float) -> Column:

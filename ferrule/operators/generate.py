@@ -109,11 +109,28 @@ def generate_columns(base: DataFrame, table: TableSpec, seed: int,
     return df.select(*out)
 
 
+def unique_violations(df: DataFrame, table: TableSpec) -> DataFrame:
+    """(column_name, repeated_values, surplus_rows) of every PK/UNIQUE column, also of those without
+    a violation: one aggregation a column, map-side combined."""
+    parts = []
+    for name in sorted(table.unique_columns):
+        per_value = df.groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        bad = F.col("v").isNotNull() & (F.col("n") > 1)
+        parts.append(per_value.agg(F.lit(name).alias("column_name"), F.count_if(bad).alias("repeated_values"),
+                                   F.coalesce(F.sum(F.when(bad, F.col("n") - 1)), F.lit(0)).alias("surplus_rows")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column_name string, repeated_values long, surplus_rows long")
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def check_unique(df: DataFrame, table: TableSpec, skip: set[str] | None = None) -> None:
     """Raise ``UniquenessError`` when a PK/UNIQUE column has a repeated non-null value.
 
     Serial columns are unique by construction and FK columns are exempt; every other unique
-    column costs one aggregation (map-side combined), stopping at the first duplicate found."""
+    column costs one aggregation (map-side combined).  ``unique_violations`` returns all counts."""
     skip = set(skip or ()) | table.fk_columns
     for name in sorted(table.unique_columns):
         col = table.column(name)

@@ -14,10 +14,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule.functions.generators import register
 from ferrule.operators.compare import dataset_diff
 from ferrule.operators.datatests import DataTest, run_tests
 from ferrule.operators.edits import unapplied_edits
-from ferrule.operators.generate import generate_columns
+from ferrule.operators.generate import generate_columns, unique_violations
+from ferrule.operators.twin import gate
 from ferrule.plans.spec import build_order, parse_spec
 from ferrule.session import scratch_path
 from ferrule.sources.readers import corrupt_lines, read_jsonl
@@ -200,7 +202,61 @@ SELECT 0 AS place, 'orders' AS table_name, count(*) AS n FROM orders
 UNION ALL SELECT 1, 'part', count(*) FROM part UNION ALL SELECT 2, 'lineitem', count(*) FROM lineitem"""
 
 
+# --- registry, uniqueness, gate -------------------------------------------------------------------
+
+def _register_generator(spark: SparkSession, sf: str) -> DataFrame:
+    """A generator kind of one's own, named by a spec: even numbers below a bound."""
+    register("even_below", lambda p: 1, lambda p, ctx: ctx.draws[0] % F.lit(int(p["half"])).cast("long") * 2, {"INT64"})
+    spec = parse_spec({"seed": SEED, "tables": [{"name": "evens", "row_count": 0, "columns": [
+        {"name": "v", "type": "bigint", "generator": {"kind": "even_below", "params": {"half": 50}}}]}]})
+    base = table(spark, sf, "orders").select(F.col("o_orderkey").alias("__row"), "o_orderkey")
+    out = generate_columns(base, spec.table("evens"), SEED, keep=["o_orderkey"])
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("v") % 2 == 0) & F.col("v").between(0, 98)).alias("fitting"),
+                   F.count_distinct("v").alias("kinds"))
+
+
+REGISTER_SQL = "SELECT count(*) AS n, count(*) AS fitting, 50 AS kinds FROM orders"
+
+
+def _unique_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as a table that declares three columns unique."""
+    spec = parse_spec({"seed": SEED, "tables": [{"name": "lines", "row_count": 1, "columns": [
+        {"name": n, "type": "bigint", "unique": True, "generator": {"kind": "serial", "params": {"start": 1}}}
+        for n in ("l_orderkey", "l_partkey", "l_suppkey")]}]})
+    return unique_violations(table(spark, sf, "lineitem"), spec.table("lines"))
+
+
+UNIQUE_VIOLATIONS_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE n > 1) AS repeated_values, "
+    f"CAST(coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS BIGINT) AS surplus_rows "
+    f"FROM (SELECT {c}, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1)"
+    for c in ("l_orderkey", "l_partkey", "l_suppkey"))
+
+
+def _gate_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders gated by a test that passes and by one that does not: status and rows written."""
+    orders = {"orders": table(spark, sf, "orders")}
+    parts = []
+    for name, top in (("loose", "1e12"), ("tight", "1000")):
+        report = run_tests(orders, [DataTest("value_range", "orders", "o_totalprice", {"min": "0", "max": top})])
+        path = scratch_path(spark, f"gate-{uuid.uuid4().hex[:12]}")
+        status = gate(report, orders, path)
+        folder = {"ready": "ready", "quarantined": "quarantine"}[status]
+        parts.append(spark.read.parquet(f"{path}/{folder}/orders").agg(
+            F.lit(name).alias("suite"), F.lit(status).alias("status"), F.count(F.lit(1)).alias("rows_written")))
+    return parts[0].unionByName(parts[1])
+
+
+GATE_SQL = """
+SELECT 'loose' AS suite, CASE WHEN max(o_totalprice) <= 1e12 AND min(o_totalprice) >= 0 THEN 'ready' ELSE 'quarantined' END AS status,
+       count(*) AS rows_written FROM orders
+UNION ALL SELECT 'tight', CASE WHEN max(o_totalprice) <= 1000 AND min(o_totalprice) >= 0 THEN 'ready' ELSE 'quarantined' END, count(*) FROM orders"""
+
+
 QUERIES = {
+    "register_generator": _register_generator,
+    "unique_violations": _unique_violations,
+    "gate_status": _gate_status,
     "gen_int_span": _int_span,
     "dt_enum_null_list": _enum_null_list,
     "dt_text_range": _text_range,
@@ -213,6 +269,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "register_generator": REGISTER_SQL,
+    "unique_violations": UNIQUE_VIOLATIONS_SQL,
+    "gate_status": GATE_SQL,
     "gen_int_span": _int_span_sql(),
     "dt_enum_null_list": ENUM_NULL_LIST_SQL,
     "dt_text_range": TEXT_RANGE_SQL,

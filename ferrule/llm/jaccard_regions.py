@@ -441,7 +441,7 @@ class Join:
                 inside = dist[j] <= dist.min(0) + 0.5 + 1e-9
                 if (nearest == j).any():
                     parts.append(pts[inside])
-            if sum(map(len, parts)) > 1.5 * len(pts):
+            if sum(map(len, parts)) > 1.5 * len(pts) or max(map(len, parts)) > 0.9 * len(pts):
                 self._by_first_ones(pts)  # about equally far from all: pivots do not part them
             else:
                 work += parts

@@ -132,7 +132,7 @@ def _survey(rows: DataFrame, seed: int) -> DataFrame:
         batches, "doc_id long, size long, node long, other long, h long")
 
 
-def _slices(parts: Iterator[pa.RecordBatch], rows: int = 4000) -> Iterator[pa.RecordBatch]:
+def _slices(parts: Iterator[pa.RecordBatch], rows: int = 1500) -> Iterator[pa.RecordBatch]:
     """Smaller batches: what a task holds at a time."""
     for part in parts:
         for at in range(0, part.num_rows, rows):

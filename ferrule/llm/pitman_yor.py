@@ -2,24 +2,26 @@
 
 Every context has a restaurant: customers are the training tokens seen after it, dishes are words,
 and each table sends one customer to the parent restaurant, which all contexts share.  A context is
-the class of the previous word (its hash into ``CONTEXTS`` classes, so that the table of contexts
-has a fixed size).  The parent's own base is non-atomic, as in species sampling: a new table there
-is a word never seen before, so the mass of new tables is the probability of an unknown word.
+the previous word (its 64-bit hash), so there are as many as the texts have words.  The parent's own
+base is non-atomic, as in species sampling: a new table there is a word never seen before, so the
+mass of new tables is the probability of an unknown word.
 
-Seating starts from a sequential seating of each dish's customers and is sampled by Gibbs moves: a
-customer chosen at random leaves its table and is seated again, at a table in proportion to its
-customers less the discount, or at a new one in proportion to the parent's probability of the
-word.  Restaurants are sampled in parallel; the totals of other tasks are those known before the
-sweep.  The states after each of the last ``samples`` sweeps give the predictive probability
+Every (word, context) cell starts with one table.  A Gibbs sweep draws the number of tables of every
+cell from its exact conditional law over all its customers (``tables.draw_tables``), given the tables of
+its context, the customers of its word in the parent and the parent's total, each summed over all
+cells before the sweep.  Cells of one customer always have one table and only add to the sums.  The
+states after each of the last ``SAMPLES`` sweeps give the predictive probability
 
     (c_gw - d t_gw + (theta + d T_g) P(w)) / (theta + c_g),   P(w) = (t_w - d1) / (theta1 + t)
 
-averaged over the states; a text's score is the sum of log10 of it over its tokens.
+averaged over the states; a text's score is the sum of log10 of it over its tokens.  The random number
+of a cell and sweep is a hash of word, context and sweep: scores do not depend on how rows are dealt.
 
-Data flow: one pass over the texts deals tokens out by ranges of word hashes (words that hold many
-tokens are dealt by word and context, so no task gets a word that fills a third of the corpus);
-each (word, context) pair is whole in one task.  The first job over that table samples the seating
-and sums tables by context; the second replays the same seating from the same seeds and scores.
+Data flow: one pass over the texts gives the cells with their training counts, summed by (word, context)
+and stored; tables by context and by word are aggregated to stored DataFrames and joined to the cells
+(one row a key on that side, so AQE may split a hot context or word).  A second pass deals the tokens of
+each buffer of texts by hashes of their cells, the cells' probabilities are dealt alike, and the sums
+over the tokens of each text go back to its buffer.
 
 Cases: null and empty texts are the end token alone; repeated rows are separate texts; a null
 doc_id counts as the empty id; with no training rows every token is unknown with probability one;
@@ -37,27 +39,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import bounded_sample, fold, ship, stored, text_or_empty
+from ferrule.llm.common import ship, stored, text_or_empty
+from ferrule.llm.tables import draw_tables
 from ferrule.llm.words import Words, buffers, mix
 
-CONTEXTS = 1 << 16
 DISCOUNT, STRENGTH = 0.8, 1.0      # of the context restaurants
 ROOT_STRENGTH = 1.0                # of the parent; its discount is estimated from its customers
-SWEEPS, SAMPLES, MOVES = 4, 3, 8   # Gibbs sweeps, states averaged, customers moved a dish and sweep
+SWEEPS, SAMPLES, MOVES = 4, 3, 8   # Gibbs sweeps, states averaged; customers a ``_moved`` reseats
 BUFFER = 8 << 20                   # text bytes dealt out at a time
 TEXTS = 1 << 15                    # and texts at most
-PER_BUCKET = 12 << 20              # text bytes a bucket of words stands for
+PER_BUCKET = 12 << 20              # text bytes a bucket of cells stands for
 LEAST_BUCKETS = 64
-HEAVY = 0.004                      # share of a sample's tokens from which a word is dealt by context
+CELLS = 1 << 19                    # cells packed at a time
 END = np.uint64(0x5851F42D4C957F2D)
 BEGIN = 0
+_R = np.uint64(0x9E3779B97F4A7C15)
 
-BLOB = ("bucket int, base long, n_docs int, words binary, counts binary, docs binary, contexts binary, "
-        "train binary, ids binary, null_ids binary, lengths binary")
+BLOB = ("bucket int, base long, n_docs int, keys binary, counts binary, docs binary, score binary, base_score binary, "
+        "known binary, ids binary, null_ids binary, lengths binary")
+STATES = [f"t{s}" for s in range(SAMPLES)]
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token hash, text, context class) of every token, the end token last in its text."""
+    """(token hash, text, context) of every token, the end token last in its text."""
     found = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))]
     for at, run in buffers(texts):
         w = Words(run)
@@ -69,114 +73,89 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h[is_word], h[last] = w.hashes(), END
         found.append((h, np.repeat(np.arange(at, at + len(run), dtype=np.int32), n + 1)))
     h, text = (np.concatenate(x) for x in zip(*found))
-    context = np.empty(len(h), np.uint16)
-    context[1:] = (mix(h[:-1]) >> np.uint64(48)).astype(np.uint16)
+    context = np.empty(len(h), np.uint64)
+    context[1:] = h[:-1]
     context[np.flatnonzero(np.diff(text, prepend=-1))] = BEGIN
     return h, text, context
 
 
-def _bucket(h: np.ndarray, context: np.ndarray, heavy: np.ndarray, buckets: int) -> np.ndarray:
-    place = h.copy()
-    if len(heavy):
-        hot = heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h
-        place[hot] = mix(h[hot] + context[hot].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return ((place >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+def _key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix(word * _R + mix(context))
 
 
-def _deal(docs: DataFrame, heavy: np.ndarray, buckets: int, train: str) -> DataFrame:
-    """Tokens by bucket: one row a bucket and buffer of texts; within it distinct words, how often
-    each comes, and text and context of every occurrence."""
-    sent = docs.sparkSession.sparkContext.broadcast(heavy)
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
+
+def _runs(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in buffers of texts (column 1); so many short texts fill a buffer as well."""
+    size = np.cumsum(np.maximum(pc.binary_length(part.column(1)).to_numpy(), BUFFER // TEXTS), dtype=np.int64)
+    cuts = [0, *np.searchsorted(size, np.arange(BUFFER, size[-1] if len(size) else 0, BUFFER)).tolist(), len(size)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if a < b:
+            yield part.slice(a, b - a)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, context, training tokens) of the cells of each buffer."""
+    for part in parts:
+        for run in _runs(part):
+            h, doc, context = tokens([t.encode("utf-8") for t in run.column(1).to_pylist()])
+            train = run.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            key = _key(h, context)
+            order = np.argsort(key)
+            first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+            n = np.add.reduceat(train[doc[order]], first)
+            yield pa.RecordBatch.from_arrays([_signed(h[order[first]]), _signed(context[order[first]]), pa.array(n)],
+                                             names=["w", "g", "n"])
+
+
+def _deal(rows: DataFrame, buckets: int) -> DataFrame:
+    """Tokens by bucket: one row a bucket and buffer of texts; within it distinct cells, how often
+    each comes, and the text of every occurrence."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         for part in parts:
-            # so many short texts fill a buffer as well
-            size = np.cumsum(np.maximum(pc.binary_length(part.column(1)).to_numpy(), BUFFER // TEXTS), dtype=np.int64)
-            cuts = [0, *np.searchsorted(size, np.arange(BUFFER, size[-1] if len(size) else 0, BUFFER)).tolist(), len(size)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if a < b:
-                    yield _dealt(part.slice(a, b - a), base, sent.value, buckets)
-                    base += b - a
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.expr(train).alias("train"))
+            for run in _runs(part):
+                yield _dealt(run, base, buckets)
+                base += run.num_rows
+
     return rows.mapInArrow(batches, BLOB)
 
 
-def _dealt(part: pa.RecordBatch, base: int, heavy: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in BLOB.split(", ")]
+    kinds = {"bucket": pa.int32(), "base": pa.int64(), "n_docs": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds.get(c, pa.binary())) for c in names], names=names)
+
+
+def _dealt(part: pa.RecordBatch, base: int, buckets: int) -> pa.RecordBatch:
     texts = [t.encode("utf-8") for t in part.column(1).to_pylist()]
     h, doc, context = tokens(texts)
     lengths = np.bincount(doc, minlength=len(texts)).astype(np.int64)
-    bucket = _bucket(h, context, heavy, buckets)
-    order = np.argsort(bucket.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))  # by bucket, equal words together
-    edge = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
-    del bucket
-    h, doc, context = h[order], doc[order].astype(np.uint16), context[order]
-    del order
+    key = _key(h, context)
+    order = np.argsort(key)  # buckets are ranges of keys
+    key, doc = key[order], doc[order].astype(np.uint16)
+    del h, context, order
+    edge = np.concatenate([[0], np.cumsum(np.bincount(_bucket(key, buckets), minlength=buckets))])
     ids = part.column(0)
-    train = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
     own = base // 7 % buckets  # the bucket that carries what is known of the texts themselves
-    out: dict[str, list] = {c.split()[0]: [] for c in BLOB.split(", ")}
+    out = []
     for p in range(buckets):
         a, b = int(edge[p]), int(edge[p + 1])
         if a == b and p != own:
             continue
-        new = np.flatnonzero(np.concatenate([[True], h[a + 1:b] != h[a:b - 1]])) if b > a else np.zeros(0, np.int64)
-        row = (p, base, len(texts), h[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype(np.uint32).tobytes(),
-               doc[a:b].tobytes(), context[a:b].tobytes(), np.packbits(train).tobytes())
-        row += (ids.fill_null(0).to_numpy().astype(np.int64).tobytes(),
-                np.asarray(ids.is_null()).astype(np.uint8).tobytes(), lengths.tobytes()) if p == own else (None, None, None)
-        for c, v in zip(out, row):
-            out[c].append(v)
-    return pa.RecordBatch.from_arrays([pa.array(v, {"bucket": pa.int32(), "base": pa.int64(), "n_docs": pa.int32()}.get(c, pa.binary()))
-                                       for c, v in out.items()], names=list(out))
-
-
-class Bucket:
-    """The tokens of one bucket from all texts: distinct words, (word, context) pairs with their
-    training counts, and the occurrences."""
-
-    def __init__(self, rows: list[dict]):
-        self.n_docs = [r["n_docs"] for r in rows]
-        counts = [np.frombuffer(r["counts"], np.uint32) for r in rows]
-        every = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
-        self.words, at = np.unique(every, return_inverse=True)
-        key = np.repeat(at.astype(np.int64) << 16, np.concatenate(counts))
-        key |= np.concatenate([np.frombuffer(r["contexts"], np.uint16) for r in rows])
-        offset = np.cumsum([0] + self.n_docs, dtype=np.int32)
-        self.doc = np.concatenate([np.frombuffer(r["docs"], np.uint16) + o for r, o in zip(rows, offset)])
-        train = np.concatenate([np.unpackbits(np.frombuffer(r["train"], np.uint8), count=r["n_docs"]) for r in rows])
-        learnt = train[self.doc] > 0
-        order = np.argsort(key)
-        key = key[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        self.pair = np.empty(len(key), np.int32)
-        self.pair[order] = np.cumsum(new, dtype=np.int32) - 1
-        del order
-        key = key[new]
-        self.word, self.context = (key >> 16).astype(np.int32), (key & 0xFFFF).astype(np.int32)
-        self.count = np.bincount(self.pair[learnt], minlength=len(key))
-        self.word_count = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
-
-    def seatings(self, tables: np.ndarray, root: float, seed: int) -> Iterator[np.ndarray]:
-        """Tables of each pair after each sampled sweep.  ``tables``: open mass theta + d T_g of
-        each context; ``root``: customers of the parent."""
-        rng = np.random.default_rng(seed)
-        t = (self.count > 0).astype(np.int64)
-        many = np.flatnonzero(self.count > 1)
-        c = self.count[many]
-        sent = np.bincount(self.word, t, len(self.words))
-        for sweep in range(SWEEPS):
-            parent = np.maximum(sent - 0.7, 0.3) / root
-            new = tables[self.context[many]] * parent[self.word[many]]  # weight of a new table
-            if sweep == 0:
-                size = _seated(c, new, rng)
-            size = _moved(size, c, new, rng)
-            t[many] = np.bincount(size[0], minlength=len(many))
-            sent = np.bincount(self.word, t, len(self.words))
-            if sweep >= SWEEPS - SAMPLES:
-                yield t.copy()
+        new = np.flatnonzero(np.concatenate([[True], key[a + 1:b] != key[a:b - 1]])) if b > a else np.zeros(0, np.int64)
+        out.append({"bucket": p, "base": base, "n_docs": len(texts), "keys": key[a:b][new].tobytes(),
+                    "counts": np.diff(np.append(new, b - a)).astype(np.uint32).tobytes(), "docs": doc[a:b].tobytes()})
+        if p == own:
+            out[-1] |= {"ids": ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), "lengths": lengths.tobytes(),
+                        "null_ids": np.asarray(ids.is_null()).astype(np.uint8).tobytes()}
+    return _batch(out)
 
 
 def _seated(c: np.ndarray, new: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
@@ -226,154 +205,141 @@ def _moved(seats: tuple[np.ndarray, np.ndarray], c: np.ndarray, new: np.ndarray,
     return dish, size
 
 
-def _buckets(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Whole buckets (the rows come sorted by bucket)."""
-    held: list[dict] = []
-    for part in parts:
-        for i in range(part.num_rows):
-            row = part.slice(i, 1).to_pylist()[0]
-            if held and held[0]["bucket"] != row["bucket"]:
-                yield held[0]["bucket"], held
-                held = []
-            held.append(row)
-    if held:
-        yield held[0]["bucket"], held
-
-
-def _open_mass(context_counts: np.ndarray) -> np.ndarray:
-    """theta + d T_g before anything is seated: as if two thirds of the customers had own tables."""
-    return STRENGTH + DISCOUNT * 0.67 * context_counts
-
-
-def _context_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(CONTEXTS, np.int64)
-    for part in parts:
-        for r in part.to_pylist():
-            train = np.unpackbits(np.frombuffer(r["train"], np.uint8), count=r["n_docs"]) > 0
-            n += np.bincount(np.frombuffer(r["contexts"], np.uint16)[train[np.frombuffer(r["docs"], np.uint16)]], minlength=CONTEXTS)
-    g = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(n[g])], names=["g", "n"])
-
-
 def perplexity_scores(docs: DataFrame, train: str = "true", held: str = "false") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     ``train`` and ``held`` are conditions in SQL on doc_id."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    n_docs = rows.count()
-    sample = bounded_sample(rows.withColumn("all", F.lit(True)), F.col("all"), 1000, {True: n_docs})
-    picked = [r.text.encode("utf-8") for r in sample.select("text").toLocalIterator()]  # only routes tokens
-    word, n = np.unique(tokens(picked)[0], return_counts=True) if picked else (np.zeros(0, np.uint64), np.zeros(0))
-    heavy = word[n >= max(HEAVY * n.sum(), 20)] if len(n) else word
-    bytes_all = n_docs * (sum(map(len, picked)) / len(picked) if picked else 0)
-    buckets = int(max(LEAST_BUCKETS, -(-bytes_all // PER_BUCKET)))
-
-    dealt = _deal(rows, heavy, buckets, train).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    dealt = _whole(dealt)
-    return _score(spark, dealt, heavy, train, held)
-
-
-def _whole(dealt: DataFrame) -> DataFrame:
-    """Stored with one row group a file: a file is never split, so each bucket stays in one task."""
-    import uuid
-
-    from ferrule.session import checkpoint_dir
-    spark = dealt.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/ferrule-llm/tokens-{uuid.uuid4().hex}"
-    dealt.write.option("parquet.block.size", (1 << 31) - 1).option("compression", "zstd").parquet(path)
-    return spark.read.schema(dealt.schema).parquet(path)
-
-
-def _score(spark, dealt: DataFrame, heavy: np.ndarray, train: str, held: str) -> DataFrame:
-    counts = dealt.select("n_docs", "docs", "contexts", "train").mapInArrow(_context_counts, "g int, n long")
-    by_context = np.zeros(CONTEXTS)
-    for r in counts.groupBy("g").agg(F.sum("n").alias("n")).collect():  # at most CONTEXTS rows
-        by_context[r.g] = r.n
-    guess = spark.sparkContext.broadcast(_open_mass(by_context))
-    root_guess = 1 + 0.67 * by_context.sum()
-    states = ", ".join(f"t{s} long" for s in range(SAMPLES))
-
-    def seat(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tables by context, by heavy word, and in all."""
-        for p, held_rows in _buckets(parts):
-            b = Bucket(held_rows)
-            seen = b.count > 0
-            hot = np.isin(b.words, heavy)
-            out = [[], [], []]
-            tables, words, extra = [], [], []
-            for t in b.seatings(guess.value, root_guess, p):
-                tables.append(np.bincount(b.context, t, CONTEXTS).astype(np.int64))
-                words.append(np.bincount(b.word, t, len(b.words)).astype(np.int64))
-            g = np.flatnonzero(np.bincount(b.context[seen], minlength=CONTEXTS))
-            w = np.flatnonzero(hot & (b.word_count > 0))
-            cold = ~hot & (b.word_count > 0)
-            kind = np.concatenate([np.zeros(len(g)), np.ones(len(w)), [2, 3, 4]]).astype(np.int32)
-            key = np.concatenate([g, b.words[w].view(np.int64), [0, 0, 0]]).astype(np.int64)
-            # kind 2: cold words and their tokens; 3 and 4: parent dishes with one and two customers
-            n = np.concatenate([np.zeros(len(g)), b.word_count[w], [b.word_count[cold].sum(), 0, 0]]).astype(np.int64)
-            cols = [np.concatenate([tables[s][g], words[s][w], [cold.sum() if s == 0 else 0, (words[s][cold] == 1).sum(),
-                                    (words[s][cold] == 2).sum()]]).astype(np.int64) for s in range(SAMPLES)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, key, n, *cols)],
-                                             names=["kind", "key", "n", *[f"t{s}" for s in range(SAMPLES)]])
-
-    sums = dealt.drop("ids", "null_ids", "lengths").mapInArrow(seat, f"kind int, key long, n long, {states}")
-    sums = sums.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("n", *[f"t{s}" for s in range(SAMPLES)])])
-    by_table, hot_words, once, twice = np.zeros((SAMPLES, CONTEXTS)), {}, np.zeros(SAMPLES), np.zeros(SAMPLES)
-    n_types = n_tokens = 0
-    for r in sums.collect():  # a row a context, a heavy word, and three
-        t = [r[f"t{s}"] for s in range(SAMPLES)]
-        if r.kind == 0:
-            by_table[:, r.key] = t
-        elif r.kind == 1:
-            hot_words[r.key] = (r.n, t)
-            n_types, n_tokens = n_types + 1, n_tokens + r.n
-        elif r.kind == 2:
-            n_types, n_tokens = n_types + t[0], n_tokens + r.n
-        else:
-            (once if r.kind == 3 else twice)[:] = t
-    order = np.array(sorted(hot_words), np.int64).view(np.uint64) if hot_words else np.zeros(0, np.uint64)
-    model = spark.sparkContext.broadcast({
-        "contexts": by_context, "tables": by_table, "root": by_table.sum(1), "types": n_types, "tokens": n_tokens,
-        "discount": np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.95),
-        "hot": {int(np.int64(k).view(np.uint64)): v for k, v in hot_words.items()}})
+    rows = rows.withColumn("train", F.expr(train))
+    cells = rows.mapInArrow(_counted, "w long, g long, n long").groupBy("w", "g").agg(F.sum("n").alias("c"))
+    cells = stored(cells, "cells")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return _score(rows, cells, _seats(cells), int(max(LEAST_BUCKETS, -(-size // PER_BUCKET))), held)
+
+
+def _uniform(word: np.ndarray, context: np.ndarray, sweep: int) -> np.ndarray:
+    seed = np.uint64((sweep + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1)
+    return (mix(_key(word, context) ^ seed) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+
+
+def _totals(by_word: DataFrame, of: str) -> tuple[float, float, float]:
+    """Customers of the parent, and its words with one and with two."""
+    r = by_word.agg(F.sum(of), F.count_if(F.col(of) == 1), F.count_if(F.col(of) == 2)).first()
+    return r[0] or 0, r[1], r[2]
+
+
+def _discount(once: float, twice: float) -> float:
+    return float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
+
+
+def _seats(cells: DataFrame) -> DataFrame:
+    """(w, g, c, tables after each sampled sweep) of the cells with training tokens."""
+    single, several = cells.where("c = 1"), cells.where("c > 1")
+    by_word = stored(single.groupBy("w").agg(F.count(F.lit(1)).alias("n_w")), "single-words")
+    by_context = single.groupBy("g").agg(F.count(F.lit(1)).alias("n_g"))
+    of_single = _totals(by_word.join(several.select("w").distinct(), "w", "left_anti"), "n_w")
+    state = several.join(by_word, "w", "left").join(by_context, "g", "left").select(
+        "w", "g", "c", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_w", "n_g")],
+        *[F.lit(1).cast("long").alias(t) for t in ("t", *STATES)])
+    for sweep in range(SWEEPS):
+        state = stored(_swept(state, sweep, of_single), f"tables-{sweep}")
+    return state.select("w", "g", "c", *STATES).unionByName(
+        single.select("w", "g", "c", *[F.col("c").alias(t) for t in STATES]))
+
+
+def _swept(state: DataFrame, sweep: int, of_single: tuple[float, float, float]) -> DataFrame:
+    """One Gibbs sweep over all cells of more than one customer."""
+    schema = state.schema
+    if sweep == 0:
+        state = stored(state, "tables")
+    by_word = stored(state.groupBy("w").agg((F.max("n_w") + F.sum("t")).alias("sent")), "sent")
+    by_context = state.groupBy("g").agg((F.max("n_g") + F.sum("t")).alias("others"))
+    root, once, twice = (a + b for a, b in zip(of_single, _totals(by_word, "sent")))
+    d1, kept = _discount(once, twice), f"t{sweep - SWEEPS + SAMPLES}"
+
+    def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            x = {c: part.column(c).to_numpy() for c in part.schema.names}
+            own = x["t"]
+            t = pa.array(draw_tables(
+                x["c"], x["others"] - own, x["sent"] - own, root - own,
+                _uniform(x["w"].view(np.uint64), x["g"].view(np.uint64), sweep), DISCOUNT, STRENGTH, d1, ROOT_STRENGTH))
+            yield pa.RecordBatch.from_arrays([t if c in ("t", kept) else part.column(c) for c in schema.names], names=schema.names)
+
+    return state.join(by_context, "g").join(by_word, "w").mapInArrow(draw, schema)
+
+
+def _score(rows: DataFrame, cells: DataFrame, seats: DataFrame, buckets: int, held: str) -> DataFrame:
+    sums = [F.sum(t).alias(t) for t in STATES]
+    words = stored(seats.groupBy("w").agg(F.sum("c").alias("c"), *sums), "words")
+    contexts = stored(seats.groupBy("g").agg(F.sum("c").alias("c"), *sums), "contexts")
+    n = words.agg(F.count(F.lit(1)), F.sum("c")).first()
+    n_types, n_tokens = n[0], n[1] or 0
+    parent = [(root, _discount(once, twice)) for root, once, twice in (_totals(words, t) for t in STATES)]
+
+    def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Probabilities of the cells by bucket."""
+        def out() -> pa.RecordBatch:
+            x = [np.concatenate(c) for c in zip(*waiting)]
+            order = np.argsort(x[0])
+            x = [c[order] for c in x]
+            cut = np.concatenate([[0], np.cumsum(np.bincount(_bucket(x[0], buckets), minlength=buckets))])
+            return _batch([{"bucket": p, "base": -1, **{k: c[a:b].tobytes() for k, c in zip(("keys", "score", "base_score", "known"), x)}}
+                           for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b])
+
+        waiting, many = [], 0
+        for part in parts:
+            x = {c: part.column(c).fill_null(0).to_numpy() for c in part.schema.names}
+            prob = np.zeros(part.num_rows)
+            for (root, d1), t in zip(parent, STATES):
+                sent = x[f"w_{t}"]
+                up = np.where(sent > 0, sent - d1, ROOT_STRENGTH + d1 * n_types) / (ROOT_STRENGTH + root)
+                prob += (x["c"] - DISCOUNT * x[t] + (STRENGTH + DISCOUNT * x[f"g_{t}"]) * up) / (STRENGTH + x["g_c"])
+            base = np.log10((x["w_c"] + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
+            key = _key(x["w"].view(np.uint64), x["g"].view(np.uint64))
+            waiting.append((key, np.log10(prob / SAMPLES), base, (x["w_c"] > 0).astype(np.uint8)))
+            many += len(key)
+            if many >= CELLS:
+                yield out()
+                waiting, many = [], 0
+        if many:
+            yield out()
+
+    every = seats.unionByName(cells.where("c = 0").select("w", "g", "c", *[F.col("c").alias(t) for t in STATES]))
+    for side, k in ((contexts, "g"), (words, "w")):
+        every = every.join(side.select(k, *[F.col(c).alias(f"{k}_{c}") for c in ("c", *STATES)]), k, "left")
+    model = every.mapInArrow(packed, BLOB)
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for p, held_rows in _buckets(parts):
-            b = Bucket(held_rows)
-            count = b.word_count.copy()
-            hot_at = [(i, m["hot"][int(w)]) for i, w in enumerate(b.words.tolist()) if w in m["hot"]] if m["hot"] else []
-            for i, (n, _) in hot_at:
-                count[i] = n
-            prob = np.zeros(len(b.count))
-            for s, t in enumerate(b.seatings(guess.value, root_guess, p)):
-                sent = np.bincount(b.word, t, len(b.words))
-                for i, (_, ts) in hot_at:
-                    sent[i] = ts[s]
-                d1, whole = m["discount"][s], ROOT_STRENGTH + m["root"][s]
-                parent = np.where(sent > 0, (sent - d1) / whole, (ROOT_STRENGTH + d1 * m["types"]) / whole)
-                g = b.context
-                prob += (b.count - DISCOUNT * t + (STRENGTH + DISCOUNT * m["tables"][s][g]) * parent[b.word]) / (
-                    STRENGTH + m["contexts"][g])
-            base = np.log10((count + 0.1) / (m["tokens"] + 0.1 * (m["types"] + 1)))[b.word]
-            known = (count > 0)[b.word]
-            total = sum(b.n_docs)
-            there = np.bincount(b.doc, minlength=total) > 0
-            sums = [np.bincount(b.doc, x[b.pair], total).astype(kind) for x, kind in
-                    ((known, np.uint32), (base, np.float64), (np.log10(prob / SAMPLES), np.float64))]
-            a = 0
-            for r in held_rows:
-                z = a + r["n_docs"]
-                at = np.flatnonzero(there[a:z])
-                values = [at.astype(np.uint16).tobytes(), *[x[a:z][at].tobytes() for x in sums]]
+        bucket, held_cells, cell = None, [], None
+        for part in parts:
+            for i in range(part.num_rows):  # sorted by bucket, its cells first
+                r = part.slice(i, 1).to_pylist()[0]
+                if r["bucket"] != bucket:
+                    bucket, held_cells, cell = r["bucket"], [], None
+                if r["base"] < 0:
+                    held_cells.append([np.frombuffer(r[k], kind) for k, kind in (
+                        ("keys", np.uint64), ("score", np.float64), ("base_score", np.float64), ("known", np.uint8))])
+                    continue
+                if cell is None and held_cells:
+                    cell = [np.concatenate(x) for x in zip(*held_cells)]
+                    order = np.argsort(cell[0])
+                    cell, held_cells = [x[order] for x in cell], []
+                doc = np.frombuffer(r["docs"], np.uint16)
+                values = 4 * [b""]
+                if len(doc):
+                    at = np.repeat(np.searchsorted(cell[0], np.frombuffer(r["keys"], np.uint64)), np.frombuffer(r["counts"], np.uint32))
+                    there = np.flatnonzero(np.bincount(doc, minlength=r["n_docs"]))
+                    values = [there.astype(np.uint16).tobytes(), *[
+                        np.bincount(doc, cell[k][at], r["n_docs"])[there].astype(kind).tobytes()
+                        for k, kind in ((3, np.uint32), (2, np.float64), (1, np.float64))]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x], kind) for x, kind in zip(
                         [r["base"], r["n_docs"], *values, r["ids"], r["null_ids"], r["lengths"]],
                         [pa.int64(), pa.int32()] + 7 * [pa.binary()])], names=SUMS.replace(",", "").split()[::2])
-                a = z
 
-    parts = dealt.mapInArrow(score, SUMS)
+    parts = _deal(rows, buckets).unionByName(model).repartition(buckets, "bucket").sortWithinPartitions("bucket", "base")
+    parts = parts.mapInArrow(score, SUMS)
     parts = parts.repartition("base").sortWithinPartitions("base")  # a row a bucket and buffer of texts
     out = parts.mapInArrow(_added, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", F.expr(held).alias("held_out"), "n_tokens", "n_known",

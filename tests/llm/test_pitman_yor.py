@@ -1,5 +1,7 @@
 """Contexts, dealing and sampling of the language model (op3)."""
 
+import random
+
 import numpy as np
 
 from ferrule.llm import pitman_yor
@@ -23,3 +25,12 @@ def test_contexts_that_agree_in_16_bits_stay_apart(spark):
     rows += [(1000, f"{other} x", None), (1001, f"{other} y", None)]
     got = scores(documents(spark, rows), "doc_id < 1000", "doc_id >= 1000")
     assert got[1000] > got[1001] + 1
+
+
+def test_scores_do_not_depend_on_dealing(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the", f"w{int(rng.paretovariate(0.7))}"]) for _ in range(40)), None) for i in range(300)]
+    want = scores(documents(spark, rows), "doc_id % 10 > 0", "doc_id % 10 = 0")
+    monkeypatch.setattr(pitman_yor, "LEAST_BUCKETS", 7)
+    got = scores(documents(spark, rows).repartition(5), "doc_id % 10 > 0", "doc_id % 10 = 0")
+    assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-9 for k in want)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from ferrule.llm import pitman_yor
+from ferrule.llm import pitman_yor, tables
 from ferrule.llm.words import Words, mix
 
 from helpers import documents
@@ -34,3 +34,33 @@ def test_scores_do_not_depend_on_dealing(spark, monkeypatch):
     monkeypatch.setattr(pitman_yor, "LEAST_BUCKETS", 7)
     got = scores(documents(spark, rows).repartition(5), "doc_id % 10 > 0", "doc_id % 10 = 0")
     assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-9 for k in want)
+
+
+def test_tables_follow_their_exact_law():
+    c, others, sent, root, d, d1 = 7, 5.0, 3.0, 40.0, 0.8, 0.6
+    paths = np.zeros(c + 1)
+    paths[1] = 1  # weights of all seatings, customer by customer
+    for n in range(1, c):
+        t = np.arange(c + 1)
+        opened = paths * (1 + d * (others + t)) * (sent + t - d1) / (1 + root + t)
+        paths = paths * np.maximum(n - d * t, 0)
+        paths[1:] += opened[:-1]
+    u = (np.arange(200_000) + 0.5) / 200_000
+    x = [np.full(len(u), v) for v in (others, sent, root)]
+    got = tables.draw_tables(np.full(len(u), c), *x, u, d, 1.0, d1, 1.0)
+    assert np.allclose(np.bincount(got, minlength=c + 1) / len(u), paths / paths.sum(), atol=1e-4)
+
+
+def test_large_cells_are_drawn_over_all_their_customers():
+    u = (np.arange(4000) + 0.5) / 4000
+    n = tables.EXACT
+    for others, sent, root in ((50, 3, 1e5), (5000, 2000, 1e5), (300, 4000, 2e4)):
+        x = [np.full(len(u), float(v)) for v in (others, sent, root)]
+        exact = tables.draw_tables(np.full(len(u), n), *x, u, 0.8, 1.0, 0.7, 1.0)
+        large = tables._draw_large(np.full(len(u), n), *x, u, 0.8, 1.0, 0.7, 1.0)
+        assert abs(exact.mean() - large.mean()) < 0.01 * exact.mean() and abs(exact.std() - large.std()) < 0.05 * exact.std() + 0.05
+    # a cell of 10^5 customers answers to its totals, which 32 moved customers could not
+    x = [np.full(50, 3000.0), np.full(50, 2e4), np.full(50, 1e6)]
+    few = tables.draw_tables(np.full(50, 100_000), *x, u[::80], 0.8, 1.0, 0.7, 1.0)
+    many = tables.draw_tables(np.full(50, 100_000), 10 * x[0], *x[1:], u[::80], 0.8, 1.0, 0.7, 1.0)
+    assert many.mean() > 2 * few.mean() and len(np.unique(many)) > 20

@@ -1,12 +1,13 @@
 """Key and foreign-key discovery on data.
 
 Keys: a column is a key when it has no nulls and as many distinct values as rows.  One aggregate
-pass per table gives rows, nulls and a HyperLogLog estimate; only columns whose estimate is
-within the HLL error of the row count are checked exactly, all of a table's candidates
-together in one grouped count of (column, value) pairs.
+pass per table gives rows, nulls, least and largest value.  A column is dropped only by a proof: nulls,
+fewer integers between its least and largest value than rows, or a value repeated among the first
+``PROOF_ROWS`` rows; all others of a table are checked exactly over all rows together, in one grouped
+count of (column, value) pairs.  No estimate is used.
 
-Foreign keys: a pair (child column, parent key) of the same type family is an FK when the
-child column has values and every non-null child value exists among the parent keys.  Child
+Foreign keys: a pair (child column, parent key) of the same type family (integers, strings, decimals,
+dates, timestamps; not floats) is an FK when the child column has values and every non-null child value exists among the parent keys.  Child
 columns whose min/max fits no key range are dropped up front; the rest are checked together in
 one join per type family (see ``discover_fks``).  ``max_per_parent`` is the largest child count
 of one value.
@@ -14,7 +15,7 @@ of one value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,16 +23,22 @@ from ..session import run_concurrently
 from .profile import _orderable
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-# Fixed value: the relative error allowed to the HLL estimate when shortlisting key candidates.
-HLL_RSD = 0.02
+# Fixed value: rows searched for a repeated value before a column is checked over all rows.
+PROOF_ROWS = 10_000
+FAMILIES = {"int": INTEGRAL, "string": T.StringType, "decimal": T.DecimalType, "date": T.DateType,
+            "timestamp": (T.TimestampType, T.TimestampNTZType)}
 
 
 def _family(dtype: T.DataType) -> str | None:
-    if isinstance(dtype, INTEGRAL):
-        return "int"
-    if isinstance(dtype, T.StringType):
-        return "string"
-    return None
+    return next((f for f, types in FAMILIES.items() if isinstance(dtype, types)), None)
+
+
+def _value(column: str, family: str) -> Column:
+    """A value as its family compares it; decimals as text without the zeros their scale adds."""
+    if family != "decimal":
+        return F.col(column).cast({"int": "long"}.get(family, family))
+    text = F.col(column).cast("string")
+    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 
 
 def column_stats(df: DataFrame) -> dict:
@@ -39,10 +46,10 @@ def column_stats(df: DataFrame) -> dict:
     cols = [f for f in df.schema.fields if _orderable(f.dataType)]
     for i, f in enumerate(cols):
         c = F.col(f.name)
-        aggs += [F.count_if(c.isNull()).alias(f"n{i}"), F.approx_count_distinct(c, HLL_RSD).alias(f"d{i}"),
+        aggs += [F.count_if(c.isNull()).alias(f"n{i}"),
                  F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
     r = df.agg(*aggs).first()
-    return {"rows": r["__rows"], "columns": {f.name: {"nulls": r[f"n{i}"], "approx": r[f"d{i}"],
+    return {"rows": r["__rows"], "columns": {f.name: {"nulls": r[f"n{i}"],
                                                       "min": r[f"lo{i}"], "max": r[f"hi{i}"],
                                                       "type": f.dataType}
                                              for i, f in enumerate(cols)}}
@@ -52,11 +59,13 @@ def _repeated_columns(df: DataFrame, columns: list[str]) -> set[str]:
     """Columns (among ``columns``) holding a repeated value — one grouped job for all of them:
     (column, value) pairs are counted with map-side combining, so a task forwards each distinct
     pair once.  Values are compared in their text form, which is exact for keys (integers,
-    strings, dates, round-trip float text)."""
+    strings, dates, round-trip float text with one zero)."""
     if not columns:
         return set()
+    text = {f.name: (F.col(f.name) + F.lit(0.0) if isinstance(f.dataType, T.FractionalType) and not isinstance(f.dataType, T.DecimalType)
+                     else F.col(f.name)).cast("string") for f in df.schema.fields if f.name in columns}
     pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])).alias("p"))
+        F.struct(F.lit(c).alias("c"), text[c].alias("v")) for c in columns])).alias("p"))
     dup = (pairs.select("p.c", "p.v").groupBy("c", "v").count().where(F.col("count") > 1)
            .select("c").distinct().collect())
     return {r.c for r in dup}
@@ -73,19 +82,26 @@ def discover_keys(spark: SparkSession, tables: dict[str, DataFrame],
                   stats: dict[str, dict] | None = None) -> DataFrame:
     """(table_name, column_name, is_key) for every orderable column."""
     stats = stats or all_column_stats(tables)
-    cands = {}
-    for name in tables:
-        st = stats[name]
-        n = st["rows"]
-        cands[name] = [col for col, s in st["columns"].items()
-                       if n > 0 and s["nulls"] == 0 and s["approx"] >= (1 - 4 * HLL_RSD) * n]
     names = list(tables)
-    repeated = dict(zip(names, run_concurrently(
-        [lambda n=n: _repeated_columns(tables[n], cands[n]) for n in names]), strict=True))
+
+    def open_columns(name: str) -> list[str]:
+        n = stats[name]["rows"]
+        return [c for c, s in stats[name]["columns"].items() if n > 0 and s["nulls"] == 0
+                and not (isinstance(s["type"], INTEGRAL) and s["max"] - s["min"] + 1 < n)]
+
+    def check(name: str) -> set[str]:
+        """Columns that hold each value once."""
+        columns = open_columns(name)
+        if stats[name]["rows"] > PROOF_ROWS and columns:
+            early = _repeated_columns(tables[name].select(*columns).limit(PROOF_ROWS), columns)
+            columns = [c for c in columns if c not in early]
+        return set(columns) - _repeated_columns(tables[name], columns)
+
+    keys = dict(zip(names, run_concurrently([lambda n=n: check(n) for n in names]), strict=True))
     rows = []
     for name in names:
         for col in stats[name]["columns"]:
-            rows.append((name, col, col in cands[name] and col not in repeated[name]))
+            rows.append((name, col, col in keys[name]))
     return spark.createDataFrame(rows, "table_name string, column_name string, is_key boolean")
 
 
@@ -101,7 +117,7 @@ def discover_fks(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame
     keys = [(r.table_name, r.column_name) for r in discover_keys(spark, tables, stats).collect()
             if r.is_key]
     out = None
-    for fam, vtype in (("int", "long"), ("string", "string")):
+    for fam in FAMILIES:
         kcols = [(t, c) for t, c in keys if _family(stats[t]["columns"][c]["type"]) == fam]
         children = [(t, c) for t, st in stats.items() for c, cs in st["columns"].items()
                     if _family(cs["type"]) == fam and cs["nulls"] < st["rows"]
@@ -112,13 +128,13 @@ def discover_fks(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame
         child_vals = None
         for t, c in children:
             part = (tables[t].where(F.col(c).isNotNull())
-                    .groupBy(F.col(c).cast(vtype).alias("__k")).agg(F.count(F.lit(1)).alias("n"))
+                    .groupBy(_value(c, fam).alias("__k")).agg(F.count(F.lit(1)).alias("n"))
                     .select(F.lit(t).alias("child_table"), F.lit(c).alias("child_column"), "__k", "n"))
             child_vals = part if child_vals is None else child_vals.unionByName(part)
         key_vals = None
         for t, c in kcols:
             part = tables[t].select(F.lit(t).alias("parent_table"), F.lit(c).alias("parent_column"),
-                                    F.col(c).cast(vtype).alias("__k"))
+                                    _value(c, fam).alias("__k"))
             key_vals = part if key_vals is None else key_vals.unionByName(part)
         per_child = child_vals.groupBy("child_table", "child_column").agg(
             F.count(F.lit(1)).alias("distinct_values"), F.max("n").alias("max_per_parent"))

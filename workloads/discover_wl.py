@@ -25,6 +25,9 @@ DISCOVER_TABLES = {
     "part": [("p_partkey", "i"), ("p_name", "s"), ("p_brand", "s"), ("p_type", "s"), ("p_size", "i"),
              ("p_retailprice", "o")],
     "supplier": [("s_suppkey", "i"), ("s_name", "s"), ("s_nationkey", "i"), ("s_acctbal", "o")],
+    "lineitem": [("l_orderkey", "i"), ("l_partkey", "i"), ("l_suppkey", "i"), ("l_linenumber", "i"), ("l_quantity", "o"),
+                 ("l_extendedprice", "o"), ("l_discount", "o"), ("l_tax", "o"), ("l_returnflag", "s"), ("l_linestatus", "s"),
+                 ("l_shipdate", "o")],
 }
 
 

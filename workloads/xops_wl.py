@@ -4,6 +4,8 @@ empirical resampling, self-referencing keys, report scores and column profiles."
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -239,12 +241,13 @@ BOUNDARY_SQL = ("SELECT 'p_size' AS column_name, count(*) FILTER (WHERE p_size =
 
 # --- PII scan (X15) and verbatim leakage (X08) ----------------------------------------------
 
-PII_TABLES = {"documents": ["text", "lang", "source"], "conversations": ["role", "text"]}
+PII_TABLES = {"documents": ["text", "lang", "source"], "conversations": ["role", "text"],
+              "pages": ["url", "html"], "benchmark": ["text"], "events": ["event_type", "props"]}
 
 
 def _pii(spark: SparkSession, sf: str) -> DataFrame:
     parts = [pii_scan(table(spark, sf, n), n) for n in PII_TABLES]
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 PII_SQL = " UNION ALL ".join(

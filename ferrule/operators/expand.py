@@ -2,8 +2,10 @@
 
 Both use a two-level prefix sum instead of an unpartitioned window:
 
-1. rows are put into ordered buckets (``bucket = (key - base) div width``; width is chosen so
-   there are at most ``MAX_BUCKETS`` buckets),
+1. rows are put into ordered buckets.  Keys of any values are dealt by ranges that hold about the same
+   number of rows and stored with their partition (``range_start``).  Keys known to be dense (parents
+   numbered 0..n-1) are cut evenly (``bucket = (key - base) div width``, at most ``MAX_BUCKETS``), and keys
+   without an order of their own by hash,
 2. per-bucket totals (a small table, ≤ ``MAX_BUCKETS`` rows) get a running sum — this is the
    only single-task step and its size is bounded by construction, so it is safe to broadcast,
 3. inside each bucket a running sum over ``partitionBy(bucket).orderBy(key)`` gives the local
@@ -15,10 +17,14 @@ recomputed stage numbers rows identically.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+
 # Fixed values of the plan shape.
 MAX_BUCKETS = 100_000
 MIN_BUCKET_ROWS = 4096
@@ -47,6 +53,25 @@ def prefix_start(df: DataFrame, bucket: Column, order_cols: list[str], weight: C
             .drop("__bucket", "__w", "__boff"))
 
 
+def range_start(df: DataFrame, order_cols: list[str], weight: Column, out: str = "__start") -> DataFrame:
+    """As ``prefix_start`` over partitions of the key range that follow the rows, whatever the keys:
+    one far key or keys at both ends of their type leave the others spread, and nothing is subtracted."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"ranges-{uuid.uuid4().hex[:12]}")
+    parts = df.withColumn("__w", weight.cast("long")).repartitionByRange(*order_cols).withColumn(
+        "__part", F.spark_partition_id())
+    parts.write.parquet(path)
+    parts = spark.read.schema(parts.schema).parquet(path)
+    start, offsets = 0, []
+    for r in parts.groupBy("__part").agg(F.sum("__w").alias("n")).orderBy("__part").collect():  # a row a partition
+        offsets.append((r["__part"], start))
+        start += r.n
+    inside = Window.partitionBy("__part").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.join(F.broadcast(spark.createDataFrame(offsets, "__part int, __boff long")), "__part")
+    return (parts.withColumn(out, F.col("__boff") + F.sum("__w").over(inside) - F.col("__w"))
+            .drop("__part", "__w", "__boff"))
+
+
 def explode_counts(df: DataFrame, start_col: str, count_col: str, row_col: str,
                    order_col: str, max_count: int | None = None) -> DataFrame:
     """Repeat each row ``count`` times with ``row_col`` = start .. start+count-1 and ``__pos``
@@ -71,7 +96,7 @@ def explode_counts(df: DataFrame, start_col: str, count_col: str, row_col: str,
 
 def expand_by_counts(parents: DataFrame, order_col: str, count_col: str, key_range: int,
                      base: int = 0, max_count: int | None = None, row_col: str = "__row") -> DataFrame:
-    """Repeat each parent row ``count`` times in ``order_col`` order; the child rows get a dense
+    """Repeat each parent row ``count`` times in ``order_col`` order (dense: base..base+key_range-1); the child rows get a dense
     index ``row_col`` = 0..Σcount-1 (children of parent j follow those of parent j-1)."""
     width = bucket_width(key_range)
     cnt = F.col(count_col)
@@ -83,7 +108,7 @@ def expand_by_counts(parents: DataFrame, order_col: str, count_col: str, key_ran
 
 def dense_index(df: DataFrame, key: str, out: str = "__row", distinct: bool = True) -> tuple[DataFrame, int]:
     """(keys with a dense index 0..m-1 in key order, m).  Nulls are dropped; ``distinct``
-    removes repeated keys first.  Integral keys use range buckets (index = rank by key);
+    removes repeated keys first.  Integral keys use ranges that follow the rows (index = rank by key);
     other keys use hash buckets and the index follows (bucket, key)."""
     keys = df.select(key).where(F.col(key).isNotNull())
     if distinct:
@@ -91,15 +116,9 @@ def dense_index(df: DataFrame, key: str, out: str = "__row", distinct: bool = Tr
     dtype = keys.schema[key].dataType
     integral = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     if integral:
-        st = keys.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-        if st["n"] == 0:
-            return keys.withColumn(out, F.lit(0).cast("long")).limit(0), 0
-        width = bucket_width(int(st["hi"]) - int(st["lo"]) + 1)
-        bucket = range_bucket(key, int(st["lo"]), width)
-        m = st["n"]
-    else:
-        m = keys.count()
-        nb = max(1, min(MAX_BUCKETS, -(-m // MIN_BUCKET_ROWS)))
-        bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(nb))
-    idx = prefix_start(keys, bucket, [key], F.lit(1), out)
-    return idx, m
+        idx = range_start(keys, [key], F.lit(1), out)
+        return idx, idx.count()
+    m = keys.count()
+    nb = max(1, min(MAX_BUCKETS, -(-m // MIN_BUCKET_ROWS)))
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(nb))
+    return prefix_start(keys, bucket, [key], F.lit(1), out), m

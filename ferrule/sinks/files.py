@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import render as R
-from ..operators.expand import (MAX_BUCKETS, MIN_BUCKET_ROWS, bucket_width, explode_counts,
-                                prefix_start, range_bucket)
+from ..operators.expand import (MAX_BUCKETS, MIN_BUCKET_ROWS, explode_counts, prefix_start,
+                                range_start)
 from ..session import spread
 from ..sources.tables import table_path, validate_relname
 
@@ -58,18 +58,15 @@ def row_numbers(df: DataFrame, order_by: list[str], out: str = "__idx",
                 unique_key: bool = False) -> DataFrame:
     """Dense 0-based row numbers (two-level prefix sum, no single-task window).
 
-    ``unique_key``: ``order_by`` is one unique integral key → numbers follow key order and range
-    buckets hold at most ``width`` rows each.  Otherwise rows are first collapsed map-side into
+    ``unique_key``: ``order_by`` is one unique integral key → numbers follow key order and the
+    ranges follow the rows, whatever the keys.  Otherwise rows are first collapsed map-side into
     (row, copies) — a group of identical rows becomes one row — numbered in (hash bucket,
     order_by, other columns) order weighted by copies, and the copies are exploded back in
     chunks; no key or group of copies can concentrate in one task."""
     dtype = df.schema[order_by[0]].dataType
     integral = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     if unique_key and len(order_by) == 1 and integral:
-        st = df.agg(F.min(order_by[0]), F.max(order_by[0])).first()
-        lo, hi = (st[0] or 0), (st[1] or 0)
-        bucket = range_bucket(order_by[0], int(lo), bucket_width(int(hi) - int(lo) + 1))
-        return prefix_start(df, bucket, order_by, F.lit(1), out)
+        return range_start(df, order_by, F.lit(1), out)
     rest = [c for c in df.columns if c not in order_by]
     ordered = order_by + rest
     distinct = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))

@@ -7,8 +7,10 @@ into its place in the whole order.  The whole order is cut into shards of near-e
 
 Equal texts are neighbours in the order.  A group of equal texts smaller than a range goes to one
 shard whole; a heavier one fills several boundaries of the sample, is subdivided by doc_id along
-them, and its rows are dealt one by one.  So neither a range nor a window task depends on the size
-of a group.  Texts are read once; only ids, hashes and sizes are shuffled.
+them, and its rows are dealt one by one.  Ranges that the exact counts show overfull, in
+bytes or in records, are cut again by finer boundaries until none is; a group cut there that is lighter
+than a range still goes to one shard.  Records with many copies are unfolded in chunks spread over tasks.
+So no task depends on the size of a group.  Texts are read once; only ids, hashes and sizes are shuffled.
 
 Cases: a null text has size 1 and counts as empty; null ids come first within their group;
 repeated rows are separate records (rows that agree in id and text are counted before the sort and
@@ -25,6 +27,9 @@ from ferrule.llm.common import stored, text_or_empty
 
 RANGES = 1024         # ranges that the order is dealt into
 PER_RANGE = 32        # sampled records a range (so at most about RANGES * PER_RANGE reach the driver)
+OVERFULL = 4.0        # loads, of two a range on average (one in bytes, one in records), from which a range is cut again
+LEAST_CUT = 1000      # records that a range may hold whatever its load
+UNFOLD = 1 << 12      # copies of a record unfolded in one place
 LEAST = -(1 << 63)
 
 
@@ -57,6 +62,39 @@ def splitters(rows: DataFrame, total: int, ranges: int = RANGES, per_range: int
     return sorted({(h, d if h in heavy else LEAST) for h, d in cuts})
 
 
+def _counted(rows: DataFrame, cuts: list[tuple[int, int]]) -> list:
+    """Bytes, rows and records of each range (a row a range)."""
+    sums = rows.withColumn("rng", _range_of(cuts)).groupBy("rng").agg(
+        F.sum("w").alias("b"), F.sum("n").alias("c"), F.count(F.lit(1)).alias("k")).collect()
+    return sorted(sums, key=lambda r: r.rng)
+
+
+def _cut_again(rows: DataFrame, cuts: list[tuple[int, int]], sums: list, ranges: int) -> list[tuple[int, int]]:
+    """``cuts`` and finer ones inside the ranges that are overfull."""
+    total, records = sum(r.b for r in sums), sum(r.k for r in sums)
+    full = {r.rng: r.b * ranges / total + r.k * ranges / records for r in sums}
+    full = {r.rng: full[r.rng] for r in sums if r.k > LEAST_CUT and full[r.rng] > OVERFULL}
+    if not full:
+        return cuts
+    load = F.col("w") * F.lit(ranges / total) + F.lit(ranges / records)
+    u = F.pmod(F.xxhash64("h", "doc_id", F.lit(len(cuts))), F.lit(1 << 40)) / float(1 << 40)
+    drawn: dict[int, list] = {}
+    inside = rows.withColumn("rng", _range_of(cuts)).where(F.col("rng").isin(list(full)))
+    for r in inside.where(u < load * PER_RANGE).select("rng", "h", F.coalesce("doc_id", F.lit(LEAST)).alias("d"),
+                                                       F.greatest(load * PER_RANGE, F.lit(1.0)).alias("x")).collect():
+        drawn.setdefault(r.rng, []).append((r.h, r.d, r.x))
+    new = set(cuts)
+    for rng, keys in drawn.items():
+        keys.sort()
+        pieces, whole, seen, k = int(full[rng]) + 1, sum(x for *_, x in keys), 0.0, 1
+        for h, d, x in keys:
+            seen += x
+            while k < pieces and seen >= whole * k / pieces:
+                new.add((h, d))
+                k += 1
+    return sorted(new)
+
+
 def _range_of(cuts: list[tuple[int, int]]):
     """Native binary search: how many boundaries are at or below the record's key."""
     if not cuts:
@@ -83,26 +121,42 @@ def shards(docs: DataFrame, n_shards: int = 8, ranges: int = RANGES) -> DataFram
     total = rows.agg(F.sum("w")).first()[0] or 0
     cuts = splitters(rows, total, ranges) if total else []
     heavy = sorted({h for h, d in cuts if d != LEAST})  # at most one hash a boundary
+    sums = _counted(rows, cuts)
+    while sums and (finer := _cut_again(rows, cuts, sums, ranges)) != cuts:
+        cuts = finer
+        sums = _counted(rows, cuts)
+    cut = sorted({h for h, d in cuts if d != LEAST} - set(heavy))  # groups over several ranges that are not heavy
     dealt = rows.withColumn("rng", _range_of(cuts))
-
-    sums = dealt.groupBy("rng").agg(F.sum("w").alias("b"), F.sum("n").alias("c")).collect()  # a row a range
     starts, b, c = [], 0, 0
-    for r in sorted(sums, key=lambda r: r.rng):
+    for r in sums:
         starts.append((r.rng, b, c))
         b, c = b + r.b, c + r.c
     offsets = spark.createDataFrame(starts, "rng int, b0 long, c0 long")
 
     order = Window.partitionBy("rng").orderBy("h", "doc_id", "size")
     group = Window.partitionBy("rng", "h")
-    placed = (dealt.join(F.broadcast(offsets), "rng")  # one row a range, at most RANGES
+    placed = (dealt.join(F.broadcast(offsets), "rng")  # one row a range
               .withColumn("b1", F.sum("w").over(order) + F.col("b0"))
               .withColumn("c1", F.sum("n").over(order) + F.col("c0"))
               .withColumn("gw", F.sum("w").over(group))
               .withColumn("g0", F.min(F.col("b1") - F.col("w")).over(group)))
+    placed = stored(placed, "shard-order")
+    if cut:
+        of_cut = placed.where(F.col("h").isin(cut)).groupBy("h").agg(
+            F.sum("w").alias("gw_all"), F.min(F.col("b1") - F.col("w")).alias("g0_all"))
+        placed = (placed.join(F.broadcast(of_cut), "h", "left")  # at most a row a boundary
+                  .withColumn("gw", F.coalesce("gw_all", "gw")).withColumn("g0", F.coalesce("g0_all", "g0")))
     one_by_one = F.col("h").isin(heavy) | (F.col("n") * F.col("size") > F.lit(total // ranges)) if heavy else \
         F.col("w") > F.lit(total // ranges)
     # unfold; then the middle of a record (or of its whole group) says which shard it is in
-    placed = (placed.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    one = F.lit(1).cast("long")
+    few = placed.where(F.col("n") <= UNFOLD).withColumn("i", F.explode(F.sequence(one, F.col("n"))))
+    many = (placed.where(F.col("n") > UNFOLD)
+            .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {UNFOLD}"))))
+            .repartition("h", "doc_id", "chunk")
+            .withColumn("i", F.explode(F.sequence(F.col("chunk") * UNFOLD + 1, F.least("n", (F.col("chunk") + 1) * UNFOLD))))
+            .drop("chunk"))
+    placed = (few.unionByName(many)
               .withColumn("rank", F.col("c1") - F.col("n") + F.col("i") - 1)
               .withColumn("twice", F.when(one_by_one, 2 * (F.col("b1") - F.col("w")) + (2 * F.col("i") - 1) * F.col("size"))
                           .otherwise(2 * F.col("g0") + F.col("gw")))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import (exact_dedup, html_blocks, jaccard_regions, latent_decontamination, pitman_yor, ppm_language,
-                         prefix_bpe, pu_toxicity, sharding, token_counts)
+from ferrule.llm import (exact_dedup, filter_audit, html_blocks, jaccard_regions, latent_decontamination, odd_sketches,
+                         periodic_runs, pitman_yor, ppm_language, prefix_bpe, pu_toxicity, sharding, token_counts)
 from ferrule.llm.common import table
 
 
@@ -61,6 +61,21 @@ def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_regions.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters does at every step of all 120 orders, per language."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of words of every whole text, some of which are made periodic first."""
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate component at 0.85."""
+    return odd_sketches.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_blocks": op1_html_blocks,
     "op2_pu_toxicity": op2_pu_toxicity,
@@ -72,8 +87,12 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_jaccard_regions": op10_jaccard_regions,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_odd_sketches": op13_odd_sketches,
 }
 
 ORACLE = {
     "op8_exact_dedup": exact_dedup.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }

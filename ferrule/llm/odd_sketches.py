@@ -9,11 +9,12 @@
 3. Nodes that share a band are candidates.  What the sketches put clearly under the threshold goes;
    what is left is confirmed on the full sets: 100 * intersection >= ``PERCENT`` * union.
 
-Nobody compares all pairs of a band: a band's first node by a hash is its star; first every node
-is confirmed with its nearest star, then with its other stars.  Confirmed links give components,
-and a band whose nodes all lie in one component is finished.  In the others, every node outside
-the band's largest component meets the nodes of other components, so any link that still
-matters is confirmed.  Links inside a component are not listed; no component lacks one.
+Nobody compares all pairs of a band: a band's first node by a hash is its star, and first every node
+is confirmed with its nearest star.  Confirmed links give components, and a band whose nodes all
+lie in one component is finished.  The nodes of the others meet those of other components again, by
+the rarest of their shingles, which leaves out no linked pair (``_first_keys``): first with the most
+central nodes, then, in the bands that are open after that, all that may be linked.  Links inside
+a component are not listed; no component lacks one.
 
 What may be lost: two sets at the very threshold share no band with probability
 (1 - 0.85^4)^32 < 1e-10, and more of their MinHash values differ than the sketch lets through with
@@ -35,7 +36,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import ship, stored, text_or_empty
@@ -103,9 +104,9 @@ def _slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.slice(at, ROWS_A_SLICE)
 
 
-def _lists(rows: np.ndarray) -> pa.Array:
-    flat = np.ascontiguousarray(rows).view(np.int64).ravel()
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(flat))
+def _lists(rows: list[np.ndarray] | np.ndarray) -> pa.Array:
+    ends = np.cumsum([0] + [len(r) for r in rows]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]).view(np.int64)))
 
 
 def points(rows: DataFrame, seed: int) -> DataFrame:
@@ -122,7 +123,7 @@ def points(rows: DataFrame, seed: int) -> DataFrame:
             name = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(np.array(list(map(len, sets)), np.int64)), pa.array(name[:, 0].copy()),
-                 pa.array(name[:, 1].copy()), _lists(band), _lists(sketch)],
+                 pa.array(name[:, 1].copy()), _lists(band.view(np.int64)), _lists(sketch.view(np.int64))],
                 names=["doc_id", "h", "size", "node", "other", "bands", "sketch"])
 
     return rows.select("doc_id", "h", "text").mapInArrow(
@@ -184,18 +185,18 @@ def _sets(rows: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
             if sets:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([digest(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "size", "keys"])
+                     _lists(sets)], names=["node", "size", "keys"])
 
     chosen = rows.select(_row(F.col("doc_id"), F.col("h")).alias("row"), "text")
-    return chosen.mapInArrow(batches, "node long, size long, keys binary").dropDuplicates(["node"])
+    return chosen.mapInArrow(batches, "node long, size long, keys array<long>").dropDuplicates(["node"])
 
 
 def _linked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        kx, ky = part.column(2), part.column(3)
+        (ex, kx), (ey, ky) = ((part.column(c).offsets.to_numpy(), part.column(c).values.to_numpy()) for c in (2, 3))
         ok = np.zeros(part.num_rows, bool)
         for i in range(part.num_rows):
-            x, y = np.frombuffer(kx[i].as_buffer(), np.int64), np.frombuffer(ky[i].as_buffer(), np.int64)
+            x, y = kx[ex[i]:ex[i + 1]], ky[ey[i]:ey[i + 1]]
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             shared = int((y[at] == x).sum())
             ok[i] = 100 * shared >= PERCENT * (len(x) + len(y) - shared)
@@ -215,26 +216,49 @@ def _labels(links: DataFrame) -> DataFrame:
     return stored(components(links), "band-labels")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs x, y whose ends are not in one component yet."""
-    out = pairs
-    for c in "xy":
-        out = out.join(labels.select(F.col("node").alias(c), F.col("root").alias("r" + c)), c, "left")
-    return out.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).drop("rx", "ry")
+def _first_keys(held: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, node, root, size, met: of every node of a band of several components, the shingles by which
+    it still meets what it may be linked with across components.
 
+    ``met`` shingles of a node are held by another component too.  A linked set of n shingles shares
+    all but 15 % of them.  With those that no other component holds first, then those that few nodes
+    hold, two linked sets share one among the first n - ceil(0.85 n) + 1 of each; a set whose first
+    ones nobody else holds is linked with nothing more."""
+    labels = _labels(links)
+    tagged = stored(held.join(labels, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "band-tags")
+    several = tagged.groupBy("band").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l <> h").select("band")
+    nodes = stored(tagged.join(stored(several, "open-bands"), "band").select("node", "root").distinct(), "open-nodes")
+    keys = stored(nodes.join(sets, "node").select("node", "root", "size", F.explode("keys").alias("key")), "open-keys")
+    meeting = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("l"), F.max("root").alias("h"))
+    met = keys.join(stored(meeting.where("l <> h").select("key", "n"), "meeting-keys"), "key")
+    own = Window.partitionBy("node")  # a document's shingles
+    met = met.withColumn("place", F.row_number().over(own.orderBy("n", "key"))).withColumn("met", F.count(F.lit(1)).over(own))
+    first = met.where(F.col("place") <= F.col("met") - F.expr(f"({PERCENT} * size + 99) div 100") + 1)
+    return stored(first.select("key", "node", "root", "size", "met"), "first-keys")
 
-def _open_pairs(held: DataFrame, labels: DataFrame) -> DataFrame:
-    """x, y: in bands of several components, the nodes outside the largest with those of others."""
-    tagged = stored(held.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "band-tags")
-    per_root = tagged.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    open_bands = stored(per_root.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots"))
-                        .where("roots > 1").select("band", F.col("m.root").alias("largest")), "open-bands")
-    rows = stored(tagged.join(open_bands, "band"), "open-rows")
-    outside = rows.where("root <> largest").select("band", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("nx"))
-    every = rows.select("band", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("ny"), "largest")
-    once = (F.col("ry") == F.col("largest")) | (F.col("x") < F.col("y"))  # two outsiders meet once
-    pairs = outside.join(every, "band").where((F.col("rx") != F.col("ry")) & once & _compatible("nx", "ny"))
-    return pairs.select("x", "y").distinct()
+
+def _possible(x: str, y: str) -> Column:
+    """Whether two nodes (their columns end in x and y) of different components can be linked: they share
+    no more than the fewer of their ``met`` shingles."""
+    most = F.least("met" + x, "met" + y)
+    return (F.col("root" + x) != F.col("root" + y)) & (100 * most >= PERCENT * (F.col("size" + x) + F.col("size" + y) - most))
+
+
+def _ends(first: DataFrame, c: str) -> DataFrame:
+    return first.select("key", *[F.col(n).alias(n + c) for n in ("node", "root", "size", "met")])
+
+
+def _central_pairs(first: DataFrame) -> DataFrame:
+    """x, y: every node with the nodes of which others hold the largest share, one a shingle."""
+    star = first.groupBy("key").agg(F.max(F.struct((F.col("met") / F.col("size")).alias("share"), "node", "root", "size", "met")).alias("s"))
+    star = stored(star.select("key", *[F.col("s." + n).alias(n + "y") for n in ("node", "root", "size", "met")]), "central-stars")
+    return _ends(first, "x").join(star, "key").where(_possible("x", "y")).select(F.col("nodex").alias("x"), F.col("nodey").alias("y")).distinct()
+
+
+def _all_pairs(first: DataFrame) -> DataFrame:
+    """x, y: all that may still be linked."""
+    met = _ends(first, "x").join(_ends(first, "y"), "key").where(_possible("x", "y") & (F.col("nodex") < F.col("nodey")))
+    return met.select(F.col("nodex").alias("x"), F.col("nodey").alias("y")).distinct()
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -262,12 +286,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = stored(_sets(rows, wanted, seed), "odd-sets")
     nearest = pairs.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
     confirmed = stored(confirm(nearest, sets), "odd-links")
-    labels = _labels(confirmed)
-    more = stored(confirm(_apart(pairs, labels), sets), "odd-links")
-    confirmed = confirmed.unionByName(more)
-    labels = _labels(confirmed)
-    last = stored(_with_sketches(_open_pairs(held.select("band", "node", "size"), labels), sketches), "open-pairs")
-    return found, confirmed.unionByName(stored(confirm(last, sets), "odd-links"))
+    held = held.select("band", "node")
+    for more in (_central_pairs, _all_pairs):
+        near = stored(_with_sketches(more(_first_keys(held, confirmed, sets)), sketches), "open-pairs")
+        confirmed = confirmed.unionByName(stored(confirm(near, sets), "odd-links"))
+    return found, confirmed
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

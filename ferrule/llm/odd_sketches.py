@@ -232,9 +232,11 @@ def _first_keys(held: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame
     meeting = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("l"), F.max("root").alias("h"))
     met = keys.join(stored(meeting.where("l <> h").select("key", "n"), "meeting-keys"), "key")
     own = Window.partitionBy("node")  # a document's shingles
-    met = met.withColumn("place", F.row_number().over(own.orderBy("n", "key"))).withColumn("met", F.count(F.lit(1)).over(own))
+    name = [F.bit_xor(F.xxhash64("key", F.lit(k))).over(own).alias(f"name{k}") for k in (1, 2)]
+    met = met.select("*", F.row_number().over(own.orderBy("n", "key")).alias("place"), F.count(F.lit(1)).over(own).alias("met"), *name)
     first = met.where(F.col("place") <= F.col("met") - F.expr(f"({PERCENT} * size + 99) div 100") + 1)
-    return stored(first.select("key", "node", "root", "size", "met"), "first-keys")
+    alike = first.groupBy("key", "root", "size", "met", "name1", "name2").agg(F.min("node").alias("node"))
+    return stored(alike.select("key", "node", "root", "size", "met"), "first-keys")
 
 
 def _possible(x: str, y: str) -> Column:

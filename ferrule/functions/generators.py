@@ -7,6 +7,7 @@ them are plain Catalyst expressions, so generation stays inside whole-stage code
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime
@@ -261,6 +262,21 @@ def _faker(p: dict[str, Any], ctx: GenContext) -> Column:
     return FAKER_METHODS[_method(p)][1](ctx.draws)
 
 
+def _normal(p: dict[str, Any], ctx: GenContext) -> Column:
+    """Box-Muller on two draws: sqrt(-2 ln u) cos(2 pi v), u in (0, 1), rounded half up to the column's
+    scale (whole numbers: 0), so that engines whose logarithm or cosine differ in the last bit agree.
+    ``low`` and ``high`` move what lies outside onto the bound."""
+    u, v = (ctx.draws[0] + F.lit(0.5)) / float(TWO32), ctx.draws[1] / float(TWO32)
+    z = F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2 * math.pi) * v)
+    scale = _decimal_scale(p, ctx) if ctx.ctype.kind == "DECIMAL" else 0
+    units = F.floor((F.lit(float(p["mean"])) + F.lit(float(p["std"])) * z) * float(10 ** scale) + 0.5).cast("long")
+    if p.get("low") is not None or p.get("high") is not None:
+        low, high = (None if p.get(k) is None else int(Decimal(str(p[k])).scaleb(scale)) for k in ("low", "high"))
+        units = units if low is None else F.greatest(units, F.lit(low).cast("long"))
+        units = units if high is None else F.least(units, F.lit(high).cast("long"))
+    return units if scale == 0 else (units.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-scale)))
+
+
 REGISTRY: dict[str, Generator] = {
     "serial": Generator("serial", lambda p: 0, _serial),
     "int_range": Generator("int_range", lambda p: _span_draws(_int_span(p)), _int_range),
@@ -270,6 +286,7 @@ REGISTRY: dict[str, Generator] = {
     "timestamp_range": Generator("timestamp_range", lambda p: _span_draws(_ts_span(p)),
                                  _timestamp_range),
     "faker": Generator("faker", _faker_draws, _faker),
+    "normal": Generator("normal", lambda p: 2, _normal),
 }
 
 

@@ -7,10 +7,13 @@ would overflow under ANSI mode, hence the decimal sum.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .distribution import running_totals
+from .expand import explode_counts
+
 
 def row_hash(df: DataFrame, columns: list[str] | None = None) -> F.Column:
     cols = columns or df.columns
@@ -84,29 +87,39 @@ def assert_reproducible(first: dict[str, DataFrame], second: dict[str, DataFrame
 # --- dataset diff ---------------------------------------------------------------------------
 
 def dataset_diff(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
-    """Per-column change counts between two versions of a keyed table: one full outer join on
-    the key (null-safe; one shuffle of each side), then one aggregate.
+    """Per-column change counts between two versions of a table; keys may be NULL and may repeat.
+
+    Rows that both sides hold equally often differ nowhere: both are counted by all their columns in
+    one union (map-side combined), and only surplus rows go on.  Those of one key are paired across
+    the sides in the order of their columns, the pairs are changed rows, and what finds no partner
+    is added or removed.  A key with many surplus rows is spread over ranges (``running_totals``).
 
     Returns one row per column plus the ``__rows__`` row carrying added/removed/changed rows."""
     cols = [c for c in first.columns if c not in key and c in second.columns]
-    a = first.select(*[F.col(k).alias(f"a__{k}") for k in key], *[F.col(c).alias(f"a_{c}") for c in cols], F.lit(True).alias("__in_a"))
-    b = second.select(*[F.col(k).alias(f"b__{k}") for k in key], *[F.col(c).alias(f"b_{c}") for c in cols], F.lit(True).alias("__in_b"))
-    # NULL keys are keys as well: two identical tables have no difference
-    j = a.join(b, [F.col(f"a__{k}").eqNullSafe(F.col(f"b__{k}")) for k in key], "full_outer")
-    both = F.col("__in_a").isNotNull() & F.col("__in_b").isNotNull()
-    changed_cols = [both & ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in cols]
-    any_change = F.lit(False)
-    for ch in changed_cols:
-        any_change = any_change | ch
-    aggs = [F.count_if(F.col("__in_b").isNull()).alias("removed"),
-            F.count_if(F.col("__in_a").isNull()).alias("added"),
-            F.count_if(any_change).alias("changed")]
-    aggs += [F.count_if(ch).alias(f"c{i}") for i, ch in enumerate(changed_cols)]
-    one = j.agg(*aggs)
-    rows = [F.struct(F.lit("__rows__").alias("column_name"), F.col("added"), F.col("removed"),
-                     F.col("changed"))]
-    rows += [F.struct(F.lit(c).alias("column_name"), F.lit(0).cast("long").alias("added"),
-                      F.lit(0).cast("long").alias("removed"), F.col(f"c{i}").alias("changed"))
+    keys = [f"k{i}" for i in range(len(key))]
+    values = [f"v{i}" for i in range(len(cols))]
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(*[F.col(k).alias(n) for k, n in zip(key, keys)], *[F.col(c).alias(n) for c, n in zip(cols, values)],
+                         F.lit(sign).cast("long").alias("sign"))
+
+    surplus = side(first, 1).unionByName(side(second, -1)).groupBy(*keys, *values).agg(F.sum("sign").alias("d")).where("d <> 0")
+    surplus = surplus.select(*keys, *values, (F.col("d") > 0).alias("in_first"), F.abs("d").alias("n"))
+    placed = running_totals(surplus, [*keys, "in_first"], values, {"start": "n"})
+    # a row of n copies takes the places start .. start + n - 1 of its key and side
+    placed = placed.withColumn("h", F.xxhash64(*keys, "start"))
+    copies = explode_counts(placed, "start", "n", "place", "h")
+    a, b = (copies.where("in_first" if first_side else "NOT in_first").select(
+        *[F.col(c).alias(f"{x}_{c}") for c in (*keys, *values, "place")], F.lit(True).alias(f"in_{x}"))
+        for x, first_side in (("a", True), ("b", False)))
+    j = a.join(b, [F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in [*keys, "place"]], "full_outer")
+    both = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
+    changed = [both & ~F.col(f"a_{v}").eqNullSafe(F.col(f"b_{v}")) for v in values]
+    one = j.agg(F.count_if(F.col("in_b").isNull()).alias("removed"), F.count_if(F.col("in_a").isNull()).alias("added"),
+                F.count_if(both).alias("changed"), *[F.count_if(ch).alias(f"c{i}") for i, ch in enumerate(changed)])
+    none = F.lit(0).cast("long")
+    rows = [F.struct(F.lit("__rows__").alias("column_name"), F.col("added"), F.col("removed"), F.col("changed"))]
+    rows += [F.struct(F.lit(c).alias("column_name"), none.alias("added"), none.alias("removed"), F.col(f"c{i}").alias("changed"))
              for i, c in enumerate(cols)]
     return one.select(F.inline(F.array(*rows)))
 
@@ -144,7 +157,8 @@ def schema_drift(first: DataFrame, second: DataFrame) -> DataFrame:
 def category_fidelity(source: DataFrame, other: DataFrame, column: str) -> DataFrame:
     """Distribution distance of a categorical column: total variation (½·Σ|p−q|) over the union
     of observed values, plus the share of source values never seen in ``other``.  Value counts
-    are aggregated map-side on both sides, then outer-joined (one row per distinct value)."""
+    are aggregated map-side on both sides, then outer-joined (one row per distinct value).
+    A side without values is at distance 1 from any other, and two such sides at 0."""
     p = source.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(
         F.count(F.lit(1)).alias("np"))
     q = other.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(
@@ -152,21 +166,30 @@ def category_fidelity(source: DataFrame, other: DataFrame, column: str) -> DataF
     tp = source.where(F.col(column).isNotNull()).agg(F.count(F.lit(1))).scalar()
     tq = other.where(F.col(column).isNotNull()).agg(F.count(F.lit(1))).scalar()
     j = p.join(q, "v", "full_outer")
-    pp = F.coalesce(F.col("np"), F.lit(0)) / tp
-    qq = F.coalesce(F.col("nq"), F.lit(0)) / tq
+    pp = F.coalesce(F.try_divide(F.col("np"), tp), F.lit(0.0))
+    qq = F.coalesce(F.try_divide(F.col("nq"), tq), F.lit(0.0))
     return j.agg(
-        F.lit(column).alias("column_name"),
-        (F.sum(F.abs(pp - qq)) / 2).alias("tvd"),
+        F.lit(column).alias("column_name"), _unless_empty(F.sum(F.abs(pp - qq)) / 2, "np", "nq").alias("tvd"),
         F.coalesce(F.sum(F.when(F.col("nq").isNull(), pp)), F.lit(0.0)).alias("unseen_share"))
 
 
+def _unless_empty(distance: Column, np: str, nq: str) -> Column:
+    """An aggregate of two columns of counts: 1 if only one side has values, 0 if none has."""
+    p, q = (F.coalesce(F.sum(c), F.lit(0)) > 0 for c in (np, nq))
+    return F.when(p & q, distance).otherwise(F.when(p | q, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
 def numeric_fidelity(source: DataFrame, other: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Histogram distances of a numeric column over ``bins`` equal-width bins of the source's
     [min, max] (values outside fall into the end bins): total variation, KS (largest gap of
-    the cumulative shares) and PSI with a 1e-6 floor per bin."""
-    st = source.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).first()
-    lo, hi = st["lo"], st["hi"]
-    width = (hi - lo) / bins if hi is not None and hi > lo else 1.0
+    the cumulative shares) and PSI with a 1e-6 floor per bin.  A side without values is at
+    distance 1 from any other, and two such sides at 0; ``two_sample_distance`` needs no bins."""
+    ends = [F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")]
+    st = source.agg(*ends).first()
+    if st["lo"] is None:
+        st = other.agg(*ends).first()
+    lo, hi = (0.0, 0.0) if st["lo"] is None else (st["lo"], st["hi"])
+    width = (hi - lo) / bins if hi > lo else 1.0
 
     def hist(df: DataFrame, name: str) -> DataFrame:
         b = F.least(F.greatest(F.floor((F.col(column).cast("double") - F.lit(lo)) / F.lit(width)),
@@ -181,14 +204,14 @@ def numeric_fidelity(source: DataFrame, other: DataFrame, column: str, bins: int
     w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tot = Window.partitionBy(F.lit(1))
     # the bin table has ``bins`` rows: windows over it run on one task by design
-    h = h.select("bin", (F.col("np") / F.sum("np").over(tot)).alias("p"),
-                 (F.col("nq") / F.sum("nq").over(tot)).alias("q"))
+    h = h.select("bin", "np", "nq", F.coalesce(F.try_divide(F.col("np"), F.sum("np").over(tot)), F.lit(0.0)).alias("p"),
+                 F.coalesce(F.try_divide(F.col("nq"), F.sum("nq").over(tot)), F.lit(0.0)).alias("q"))
     h = h.select("*", F.sum("p").over(w).alias("cp"), F.sum("q").over(w).alias("cq"))
     eps = F.lit(1e-6)
     return h.agg(
         F.lit(column).alias("column_name"),
-        (F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("tvd"),
-        F.max(F.abs(F.col("cp") - F.col("cq"))).alias("ks"),
+        _unless_empty(F.sum(F.abs(F.col("p") - F.col("q"))) / 2, "np", "nq").alias("tvd"),
+        _unless_empty(F.max(F.abs(F.col("cp") - F.col("cq"))), "np", "nq").alias("ks"),
         F.sum((F.greatest(F.col("q"), eps) - F.greatest(F.col("p"), eps))
               * F.log(F.greatest(F.col("q"), eps) / F.greatest(F.col("p"), eps))).alias("psi"))
 

@@ -24,7 +24,8 @@ def apply_edits(df: DataFrame, key: list[str], edits: DataFrame) -> DataFrame:
         F.raise_error(F.concat(F.lit("two last edits of column "), F.col("column"))).cast("string")).alias("value"))
     per_key = latest.groupBy(*key).agg(F.map_from_entries(F.collect_list(
         F.struct("column", "value"))).alias("__edits"))
-    j = df.join(per_key, key, "left")
+    renamed = per_key.select(*[F.col(k).alias(f"__{k}") for k in key], "__edits")
+    j = df.join(renamed, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key], "left")  # NULL is a key as well
     out = []
     for f in df.schema.fields:
         if f.name in key:

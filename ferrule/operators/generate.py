@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.draw import derive_seed, with_draws
 from ..functions.generators import REGISTRY, GenContext, _draw63, _span_draws, null_mask, uniform_below
 from ..session import spread
-from ..plans.spec import DatasetSpec, SpecError, TableSpec, build_order, driving_fk
+from ..plans.spec import DatasetSpec, ForeignKeySpec, SpecError, TableSpec, build_order, driving_fk
 from .expand import dense_index, expand_by_counts
 
 ROW = "__row"
@@ -212,10 +212,44 @@ def _child_counts(prow: DataFrame, seed: int, child: str, column: str, lo: int,
                        + uniform_below([F.col(k) for k in kdraws], span)).alias("__k"))
 
 
-def _expand(prow: DataFrame, size: int, seed: int, child: str, column: str,
-            lo: int, hi: int) -> DataFrame:
+def _observed_counts(prow: DataFrame, seed: int, child: str, fk: ForeignKeySpec, size: int) -> DataFrame:
+    """(``__prow``, ``__pkey``, ``__k``) after a histogram of children per parent.
+
+    The ``size`` parents are put into another order (i -> (a i + b) mod size, a coprime to size), and
+    the place of a parent among them, scaled to the observed number of parents, lies between two cut
+    points of the histogram.  So as many parents have k children as were observed (in proportion, if
+    there are more or fewer parents), and a hot parent comes exactly as often as in the source."""
+    spark, observed = prow.sparkSession, sum(n for _, n in fk.child_counts)
+    a = derive_seed(seed, child, "__cardinality__", fk.column) % max(1, size) or 1
+    while math.gcd(a, size) != 1:
+        a += 1
+    b = derive_seed(seed, child, "__cardinality__", fk.column, "__shift__") % max(1, size)
+    whole = "long" if size < 1 << 31 and observed < 1 << 31 else "decimal(19,0)"
+    place = (F.lit(a).cast(whole) * F.col("__prow").cast(whole) + F.lit(b).cast(whole)) % F.lit(max(1, size)).cast(whole)
+    rank = place.cast("long")
+    if size != observed:
+        rank = F.floor(rank.cast(whole) * F.lit(observed).cast(whole) / F.lit(size).cast("decimal(19,0)")).cast("long")
+    cuts, at = [], 0
+    for k, n in sorted(fk.child_counts):
+        cuts.append((k, at, at + n))
+        at += n
+    step = max(1, -(-observed // (1 << 16)))
+    table = spark.createDataFrame(cuts, "__k long, __lo long, __hi long").withColumn(
+        "__b", F.explode(F.sequence(F.expr(f"__lo div {step}"), F.expr(f"(__hi - 1) div {step}"))))
+    rows = prow.withColumn("__rank", rank).withColumn("__b", F.expr(f"__rank div {step}"))
+    return rows.join(table, "__b").where("__rank >= __lo AND __rank < __hi").select("__prow", "__pkey", "__k")
+
+
+def _counts_of(prow: DataFrame, seed: int, child: str, fk: ForeignKeySpec, size: int) -> DataFrame:
+    if fk.child_counts:
+        return _observed_counts(prow, seed, child, fk, size)
+    return _child_counts(prow, seed, child, fk.column, fk.min_per_parent, fk.max_per_parent)
+
+
+def _expand(prow: DataFrame, size: int, seed: int, child: str, column: str, lo: int, hi: int,
+            child_counts: tuple[tuple[int, int], ...] = ()) -> DataFrame:
     """Children of (``__prow``, ``__pkey``) parents, dense child row numbers in parent order."""
-    counts = _child_counts(prow, seed, child, column, lo, hi)
+    counts = _counts_of(prow, seed, child, ForeignKeySpec(column, "", "", lo, hi, child_counts), size)
     return expand_by_counts(counts, "__prow", "__k", key_range=max(1, size), max_count=hi)
 
 
@@ -298,7 +332,7 @@ def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[st
             if parent is None:
                 raise SpecError("FK_UNRESOLVED", f"{name}.{drv.column}: parent has no key pool")
             base = _expand(_parent_rows(parent, spark), parent.size, seed, name, drv.column,
-                           drv.min_per_parent, drv.max_per_parent)
+                           drv.min_per_parent, drv.max_per_parent, drv.child_counts)
             base = base.select(ROW, F.col("__pkey").alias(f"__fk_{drv.column}"))
             fk_values[drv.column] = F.col(f"__fk_{drv.column}")
             n = None
@@ -332,9 +366,8 @@ def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[st
             check_unique(df, t)
         if t.primary_key and name in referenced:
             # a driven child's size is Σk over its parents: a parent-level sum, no explode
-            size = n if n is not None else _child_counts(
-                _parent_rows(pools[drv.ref_table], spark), seed, name, drv.column,
-                drv.min_per_parent, drv.max_per_parent).agg(F.sum("__k")).first()[0] or 0
+            size = n if n is not None else _counts_of(
+                _parent_rows(pools[drv.ref_table], spark), seed, name, drv, pools[drv.ref_table].size).agg(F.sum("__k")).first()[0] or 0
             pool = _table_pool(df, t, size)
             if pool is not None:
                 pools[name] = pool

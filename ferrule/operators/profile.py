@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import run_concurrently
+from .distribution import exact_profile
 
 # Fixed values of the suggestion rules.
 ENUM_MAX_DISTINCT = 12
@@ -64,11 +65,13 @@ def column_pass(df: DataFrame, columns: list[str]) -> dict[str, Any]:
         dtype = df.schema[name].dataType
         aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
         if _orderable(dtype):
-            aggs += [F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}"),
-                     (F.min(c) < F.max(c)).alias(f"spread{i}")]
+            v = F.when(~F.isnan(c), c) if isinstance(dtype, (T.FloatType, T.DoubleType)) else c  # NaN is no bound
+            aggs += [F.min(v).cast("string").alias(f"lo{i}"), F.max(v).cast("string").alias(f"hi{i}"),
+                     (F.min(v) < F.max(v)).alias(f"spread{i}")]
         else:
             aggs += [F.lit(None).cast("string").alias(f"lo{i}"),
                      F.lit(None).cast("string").alias(f"hi{i}"), F.lit(None).alias(f"spread{i}")]
+        aggs.append((F.count_if(F.isnan(c)) if isinstance(dtype, (T.FloatType, T.DoubleType)) else F.lit(0)).alias(f"nan{i}"))
         if isinstance(dtype, T.StringType):
             aggs.append(F.approx_count_distinct(c).alias(f"hll{i}"))
         else:
@@ -77,7 +80,7 @@ def column_pass(df: DataFrame, columns: list[str]) -> dict[str, Any]:
     out = {"rows": row["__rows"], "columns": {}}
     for i, name in enumerate(columns):
         out["columns"][name] = {"nulls": row[f"n{i}"], "min": row[f"lo{i}"], "max": row[f"hi{i}"],
-                                "spread": row[f"spread{i}"], "hll": row[f"hll{i}"]}
+                                "spread": row[f"spread{i}"], "hll": row[f"hll{i}"], "nan": row[f"nan{i}"]}
     return out
 
 
@@ -126,7 +129,8 @@ def suggest_rules(spark: SparkSession, tables: dict[str, DataFrame],
                     shortlist.append(name)
             elif (isinstance(dtype, NUMERIC_TYPES) or (temporal_ranges and isinstance(
                     dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)))) and s["spread"]:
-                small_rows.append((tname, name, "value_range", f"observed {s['min']}..{s['max']}",
+                nan = f", {s['nan']} NaN" if s["nan"] else ""
+                small_rows.append((tname, name, "value_range", f"observed {s['min']}..{s['max']}{nan}",
                                    None, None, s["min"], s["max"]))
         if shortlist:
             enum_parts.append(_enum_candidates(df, tname, shortlist, rows,
@@ -157,49 +161,7 @@ def _enum_candidates(df: DataFrame, tname: str, columns: list[str], rows: int,
         F.lit(None).cast("string").alias("min_value"), F.lit(None).cast("string").alias("max_value"))
 
 
-def profile_columns(df: DataFrame, top_k: int = 10, accuracy: int = 10000) -> DataFrame:
-    """Column distillation (one row per column): type, rows, nulls, null rate, approximate
-    distinct count, min, max, quartiles of numeric columns and the ``top_k`` most frequent
-    values with counts (one grouped shuffle per column; partial aggregates combine hot values
-    map-side).  ``top_k`` is the size of the frequent-value report, not a cap on rows read."""
-    names = [f.name for f in df.schema.fields]
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, f in enumerate(df.schema.fields):
-        c = F.col(f.name)
-        aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
-        aggs.append(F.approx_count_distinct(c).alias(f"d{i}") if _orderable(f.dataType)
-                    else F.lit(None).cast("long").alias(f"d{i}"))
-        if _orderable(f.dataType):
-            aggs += [F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
-        else:
-            aggs += [F.lit(None).cast("string").alias(f"lo{i}"), F.lit(None).cast("string").alias(f"hi{i}")]
-        if isinstance(f.dataType, NUMERIC_TYPES):
-            aggs.append(F.percentile_approx(c.cast("double"), [0.25, 0.5, 0.75], accuracy)
-                        .alias(f"q{i}"))
-        else:
-            aggs.append(F.lit(None).cast("array<double>").alias(f"q{i}"))
-    one = df.agg(*aggs)
-    rows = F.col("__rows")
-    structs = [F.struct(
-        F.lit(n).alias("column_name"), F.lit(df.schema[n].dataType.simpleString()).alias("data_type"),
-        rows.alias("rows"), F.col(f"n{i}").alias("nulls"),
-        F.when(rows > 0, F.col(f"n{i}") / rows).alias("null_rate"),
-        F.col(f"d{i}").alias("approx_distinct"), F.col(f"lo{i}").alias("min_value"),
-        F.col(f"hi{i}").alias("max_value"), F.col(f"q{i}").alias("quartiles"))
-        for i, n in enumerate(names)]
-    stats = one.select(F.inline(F.array(*structs)))
-    tops = []
-    for n in names:
-        if not _orderable(df.schema[n].dataType):
-            continue
-        t = (df.where(F.col(n).isNotNull()).groupBy(F.col(n).cast("string").alias("v")).count()
-             .orderBy(F.desc("count"), "v").limit(top_k)
-             .agg(F.collect_list(F.struct("v", "count")).alias("top_values"))
-             .select(F.lit(n).alias("column_name"), "top_values"))
-        tops.append(t)
-    if not tops:
-        return stats.withColumn("top_values", F.lit(None))
-    top = tops[0]
-    for t in tops[1:]:
-        top = top.unionByName(t)
-    return stats.join(F.broadcast(top), "column_name", "left")
+def profile_columns(df: DataFrame, top_k: int = 10) -> DataFrame:
+    """Column distillation, one row per column: type, rows, nulls, exact distinct count, min, max, exact
+    quartiles and the ``top_k`` most frequent values (see ``distribution.exact_profile``)."""
+    return exact_profile(df, top_k)

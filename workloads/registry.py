@@ -16,6 +16,7 @@ _MODULES = [
     "workloads.discover_wl",
     "workloads.xops_wl",
     "workloads.mended_wl",
+    "workloads.distribution_wl",
 ]
 
 

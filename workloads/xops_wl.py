@@ -18,7 +18,6 @@ from ferrule.operators.edits import apply_edits
 from ferrule.operators.empirical import empirical_column
 from ferrule.operators.generate import ROW, generate_dataset
 from ferrule.operators.pii import PII_PATTERNS, pii_scan
-from ferrule.operators.profile import profile_columns
 from ferrule.operators.subset import consistent_subset
 from ferrule.plans.spec import parse_spec
 
@@ -344,10 +343,6 @@ def _score_sql() -> str:
             f"sum(CASE category {w} ELSE 1.0 END), 1.0), 9) AS score FROM ({suite_sql(T_SUITE)})")
 
 
-def _profile(spark: SparkSession, sf: str) -> DataFrame:
-    return profile_columns(table(spark, sf, "orders"))
-
-
 QUERIES = {
     "cross_field": _rules,
     "subset_ri": _subset,
@@ -363,7 +358,6 @@ QUERIES = {
     "gen_empirical": _empirical,
     "self_fk": _self_fk,
     "report_score": _score,
-    "profile_columns": _profile,
 }
 ORACLE = {
     "cross_field": _rules_sql(),

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.draw import derive_seed, with_draws
 from ..functions.generators import REGISTRY, GenContext, _draw63, _span_draws, null_mask, uniform_below
 from ..session import spread
-from ..plans.spec import DatasetSpec, ForeignKeySpec, SpecError, TableSpec, build_order, driving_fk
+from ..plans.spec import DatasetSpec, ForeignKeySpec, SpecError, TableSpec, build_order, driving_fk, filled_later
 from .expand import dense_index, expand_by_counts
 
 ROW = "__row"
@@ -322,10 +322,11 @@ def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[st
     for name, p in (reference_pools or {}).items():
         pools[name] = p if isinstance(p, KeyPool) else reference_pool(p)
     referenced = {fk.ref_table for t in spec.generated for fk in t.foreign_keys}
+    later = filled_later(spec)
     out: dict[str, DataFrame] = {}
     for name in build_order(spec):
         t = spec.table(name)
-        drv = driving_fk(t, generated)
+        drv = driving_fk(t, generated, later)
         fk_values: dict[str, Column] = {}
         if drv is not None:
             parent = pools.get(drv.ref_table)
@@ -344,6 +345,9 @@ def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[st
         for fk in t.foreign_keys:
             if fk is drv:
                 continue
+            if (name, fk.column) in later:  # filled when its parent is there
+                fk_values[fk.column] = F.lit(None)
+                continue
             if fk.ref_table == name:
                 base = self_reference(base, t, seed, fk.column, f"__fk_{fk.column}")
                 fk_values[fk.column] = F.col(f"__fk_{fk.column}")
@@ -360,8 +364,9 @@ def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[st
         # bases here are spines or shuffle outputs: already split, no partition probe needed
         df = generate_columns(base, t, seed, fk_values, keep=[ROW], partitioned=True,
                               barrier=barrier and not materialize_dir)
+        open_keys = any(table == name for table, _ in later)
         if materialize_dir:
-            df = materialize(spark, df, f"{materialize_dir}/{name}")
+            df = materialize(spark, df, f"{materialize_dir}/{name}{'__first' if open_keys else ''}")
         if unique:
             check_unique(df, t)
         if t.primary_key and name in referenced:
@@ -371,6 +376,18 @@ def generate_dataset(spark: SparkSession, spec: DatasetSpec, row_counts: dict[st
             pool = _table_pool(df, t, size)
             if pool is not None:
                 pools[name] = pool
+        out[name] = df if keep_row or open_keys else df.drop(ROW)
+    for name in dict.fromkeys(table for table, _ in sorted(later)):
+        t, df = spec.table(name), out[name]
+        for fk in t.foreign_keys:
+            if (name, fk.column) in later:
+                if fk.ref_table not in pools or pools[fk.ref_table].size == 0:
+                    raise SpecError("FK_UNRESOLVED", f"{name}.{fk.column}: {fk.ref_table!r} has no keys")
+                filled = sample_keys(df.drop(fk.column), ROW, pools[fk.ref_table], seed, name, fk.column, "__later")
+                df = filled.withColumn(fk.column, F.col("__later").cast(t.column(fk.column).type.spark_type()))
+        df = df.select(ROW, *[c.name for c in t.columns])
+        if materialize_dir:
+            df = materialize(spark, df, f"{materialize_dir}/{name}")
         out[name] = df if keep_row else df.drop(ROW)
     return out
 
@@ -381,7 +398,8 @@ def sample_dataset(spark: SparkSession, spec: DatasetSpec, sample_rows: int = 20
     """Small run: tables without a driving FK cut to ``sample_rows``; children derived.
     Because draws are counter-based, a root table of the sample is a prefix of the full run."""
     generated = {t.name for t in spec.generated}
-    counts = {t.name: sample_rows for t in spec.generated if driving_fk(t, generated) is None}
+    later = filled_later(spec)
+    counts = {t.name: sample_rows for t in spec.generated if driving_fk(t, generated, later) is None}
     return generate_dataset(spark, spec, row_counts=counts, reference_pools=reference_pools,
                             materialize_dir=materialize_dir)
 

@@ -8,6 +8,7 @@ concatenated in name order are the table in key order and a re-run writes the sa
 from __future__ import annotations
 
 import os
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -15,12 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import render as R
-from ..operators.expand import (MAX_BUCKETS, MIN_BUCKET_ROWS, explode_counts, prefix_start,
-                                range_start)
-from ..session import spread
+from ..operators.distribution import running_totals
+from ..operators.expand import explode_counts, range_start
+from ..session import scratch_path, spread
 from ..sources.tables import table_path, validate_relname
 
-FORMATS = ("csv", "jsonl", "sql", "copy")
 # Fixed values of the formats.
 SQL_BATCH_ROWS = 500
 PARQUET_ROW_GROUP_ROWS = 64_000
@@ -56,26 +56,28 @@ def copy_lines(df: DataFrame) -> DataFrame:
 
 def row_numbers(df: DataFrame, order_by: list[str], out: str = "__idx",
                 unique_key: bool = False) -> DataFrame:
-    """Dense 0-based row numbers (two-level prefix sum, no single-task window).
+    """Dense 0-based row numbers in the order of ``order_by`` (any keys: text, NULL, repeated), ties by the
+    remaining columns; no single-task window.
 
-    ``unique_key``: ``order_by`` is one unique integral key → numbers follow key order and the
-    ranges follow the rows, whatever the keys.  Otherwise rows are first collapsed map-side into
-    (row, copies) — a group of identical rows becomes one row — numbered in (hash bucket,
-    order_by, other columns) order weighted by copies, and the copies are exploded back in
-    chunks; no key or group of copies can concentrate in one task."""
+    ``unique_key``: ``order_by`` is one unique integral key.  Otherwise rows are first collapsed
+    map-side into (row, copies) — a group of identical rows becomes one row, and -0.0 stays apart from
+    0.0 — then numbered over ranges of their order, and the copies are exploded back in chunks; no
+    key and no group of copies can concentrate in one task."""
     dtype = df.schema[order_by[0]].dataType
     integral = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     if unique_key and len(order_by) == 1 and integral:
         return range_start(df, order_by, F.lit(1), out)
-    rest = [c for c in df.columns if c not in order_by]
-    ordered = order_by + rest
-    distinct = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
-    n = distinct.count()
-    nb = max(1, min(MAX_BUCKETS, -(-n // MIN_BUCKET_ROWS)))
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in ordered]), F.lit(nb))
-    with_start = prefix_start(distinct, bucket, ordered, F.col("__copies"))
-    return (explode_counts(with_start, "__start", "__copies", out, order_by[0])
-            .drop("__start", "__copies", "__pos"))
+    columns = df.columns
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    # grouping makes -0.0 equal to 0.0, so its sign is a column of its own
+    below = [((F.col(c) == 0) & F.col(c).cast("string").startswith("-")).alias(f"__below{i}") for i, c in enumerate(floats)]
+    signs = [f"__below{i}" for i in range(len(floats))]
+    rows = df.select(*columns, *below).groupBy(*columns, *signs).agg(F.count(F.lit(1)).alias("__copies"))
+    order = [*order_by, *[c for c in columns if c not in order_by], *signs]
+    placed = running_totals(rows, [], order, {"__start": "__copies"}).withColumn("__h", F.xxhash64("__start"))
+    exploded = explode_counts(placed, "__start", "__copies", out, "__h")
+    exact = {c: F.when(F.col(s), F.lit(-0.0).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c, s in zip(floats, signs)}
+    return exploded.select(*[exact.get(c, F.col(c)) for c in columns], out)
 
 
 def sql_statements(df: DataFrame, table: str, order_by: list[str],
@@ -138,33 +140,40 @@ def write_sql(df: DataFrame, path: str, table: str, order_by: list[str], parts:
     _write_text(st.select("stmt_no", F.col("statement").alias("line")), path, ["stmt_no"], parts)
 
 
+#: What writes a table in each format: (rows, path, table name, keys).
+WRITERS = {
+    "csv": lambda df, path, name, keys: write_csv(df, path, keys),
+    "jsonl": lambda df, path, name, keys: write_jsonl(df, path, keys),
+    "sql": lambda df, path, name, keys: write_sql(df, path, name, keys),
+    "copy": lambda df, path, name, keys: write_copy(df, path, keys),
+}
+FORMATS = tuple(WRITERS)
+
+
 def export_tables(tables: dict[str, DataFrame], out_dir: str, formats: list[str],
                   order_by: dict[str, list[str]]) -> dict[str, Any]:
-    """Write every table in each requested format → {out_dir, files, total_rows}.
-
-    Unknown formats and unsafe table names are rejected before anything is written."""
-    unknown = [f for f in formats if f not in FORMATS]
-    if unknown:
-        raise ValueError(f"unknown export format(s) {unknown}; supported: {list(FORMATS)}")
-    for name in tables:
-        validate_relname(name)
-    files: dict[str, list[str]] = {f: [] for f in formats}
-    total = 0
+    """Every table as text in every one of ``formats``, rows in the order of ``order_by`` (default: the first
+    column): {out_dir, files: paths by format, total_rows}.  A table that is not a plain scan is stored
+    once and read by all its writers; names and formats are checked before anything is written."""
+    if not set(formats) <= WRITERS.keys():
+        raise ValueError(f"no writer for {', '.join(sorted(set(formats) - WRITERS.keys()))}; there are {', '.join(WRITERS)}")
+    targets = {name: {fmt: table_path(out_dir, validate_relname(name), f".{fmt}") for fmt in formats} for name in tables}
+    rows = 0
     for name, df in tables.items():
-        keys = order_by.get(name) or df.columns[:1]
-        total += df.count()
-        for fmt in formats:
-            path = table_path(out_dir, name, f".{fmt}")
-            if fmt == "csv":
-                write_csv(df, path, keys)
-            elif fmt == "jsonl":
-                write_jsonl(df, path, keys)
-            elif fmt == "sql":
-                write_sql(df, path, name, keys)
-            else:
-                write_copy(df, path, keys)
-            files[fmt].append(path)
-    return {"out_dir": out_dir, "files": files, "total_rows": total}
+        once = _stored_once(df) if len(formats) > 1 else df
+        rows += once.count()
+        for fmt, path in targets[name].items():
+            WRITERS[fmt](once, path, name, order_by.get(name) or df.columns[:1])
+    return {"out_dir": out_dir, "files": {fmt: [paths[fmt] for paths in targets.values()] for fmt in formats}, "total_rows": rows}
+
+
+def _stored_once(df: DataFrame) -> DataFrame:
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if not plan.children().nonEmpty() and "Relation" in plan.nodeName():
+        return df
+    path = scratch_path(df.sparkSession, f"export-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_lines(path: str) -> list[str]:

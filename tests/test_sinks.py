@@ -45,14 +45,14 @@ def test_sql_statements_batches(spark, f6):
 
 def test_copy_text(spark):
     df = spark.createDataFrame(
-        [(1, "ann", True, Decimal("0.10"), float("inf"), date(2026, 7, 1),
-          datetime(2026, 7, 1, 13, 5, 9), bytearray(b"Hi"), "a\tb\nc\\"),
-         (2, None, False, Decimal("100.00"), float("nan"), None, None, None, "")],
+        [(7, "mira", False, Decimal("12.50"), float("-inf"), date(1999, 12, 31),
+          datetime(2031, 2, 3, 4, 5, 6), bytearray(b"\x00\xff"), "one\\two\tthree\r"),
+         (8, None, True, Decimal("-3.00"), float("nan"), None, None, None, "")],
         "id long, name string, ok boolean, amt decimal(10,2), f double, d date, ts timestamp_ntz, "
         "b binary, t string")
     lines = [r.line for r in copy_lines(df).orderBy("id").collect()]
-    assert lines[0] == "1\tann\tt\t0.10\tInfinity\t2026-07-01\t2026-07-01 13:05:09\t\\\\x4869\ta\\tb\\nc\\\\"
-    assert lines[1] == "2\t\\N\tf\t100.00\tNaN\t\\N\t\\N\t\\N\t"
+    assert lines[0] == "7\tmira\tf\t12.50\t-Infinity\t1999-12-31\t2031-02-03 04:05:06\t\\\\x00ff\tone\\\\two\\tthree\\r"
+    assert lines[1] == "8\t\\N\tt\t-3.00\tNaN\t\\N\t\\N\t\\N\t"
     tz = spark.createDataFrame([(datetime(2026, 7, 1, 13, 5, 9, tzinfo=timezone.utc),)], "ts timestamp")
     assert copy_lines(tz).first().line == "2026-07-01 13:05:09+00:00"
     nul = spark.createDataFrame([("a\x00b",)], "t string")

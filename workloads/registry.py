@@ -17,6 +17,7 @@ _MODULES = [
     "workloads.xops_wl",
     "workloads.mended_wl",
     "workloads.distribution_wl",
+    "workloads.coverage_wl",
 ]
 
 

@@ -118,3 +118,25 @@ def test_checks_of_numbers_and_classes(spark):
     assert rows["mail", "iban"].decision == "no"
     empty = classify_columns(t.where("note = ''"), "t").first()
     assert empty.rate is None and empty.decision == "no" and classify_columns(spark.range(2), "t").count() == 0
+
+
+def test_reject_rows_and_times(spark, tmp_path):
+    from ferrule.sources.readers import cast_to_schema, read_jsonl, reject_rows
+    df = spark.createDataFrame([(1, "5", "23:59"), (2, "x", "24:00"), (3, None, "12:30:61"), (4, "7.5", None), (5, "99999999999", "07:05:09.25")], "k int, n string, t string")
+    declared = {"n": "integer", "t": "time"}
+    got = {(r.k, r.column_name): (r.value, r.declared_type, r.reason) for r in reject_rows(df, declared, ["k"]).collect()}
+    assert set(got) == {(2, "n"), (2, "t"), (3, "t"), (4, "n"), (5, "n")} and got[2, "t"] == ("24:00", "time", "cannot be read as TIME")
+    cast, counts = cast_to_schema(df, declared)
+    assert {r.column_name: r.rejected for r in counts.collect()} == {"n": 3, "t": 2}
+    assert [r.t for r in cast.orderBy("k").collect()] == ["23:59", None, None, None, "07:05:09.25"]
+    (tmp_path / "x.jsonl").write_text('{"t": "99:99"}\n')
+    assert read_jsonl(spark, str(tmp_path), {"t": "time"}, strict=False).first().t is None
+    with pytest.raises(Exception, match="not a time of day"):
+        read_jsonl(spark, str(tmp_path), {"t": "time"}).collect()
+
+
+def test_text_generators_refuse_what_they_ignore():
+    for more in ({"locale": "de_DE"}, {"kwargs": {"nb": 3}}):
+        with pytest.raises(SpecError, match="not supported"):
+            parse_spec({"seed": 1, "tables": [{"name": "t", "row_count": 1, "columns": [
+                {"name": "c", "type": "text", "generator": {"kind": "faker", "params": {"method": "name", **more}}}]}]})

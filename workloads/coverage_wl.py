@@ -16,7 +16,9 @@ from ferrule.operators.paging import build_page_index, page_after, page_at
 from ferrule.operators.pii import classify_columns
 from ferrule.plans.spec import parse_spec
 from ferrule.session import scratch_path
+from ferrule.sinks.catalog import LoadVerificationError, load_namespace, namespace_for, teardown
 from ferrule.sinks.files import sql_statements
+from ferrule.sources.readers import reject_rows
 
 from .common import table
 from .distribution_wl import SEED, _draws, _seed_of
@@ -175,12 +177,73 @@ def _pii_classes_sql() -> str:
             f"WHEN valid >= 0.01 * values AND values > 0 THEN 'holds' ELSE 'no' END AS decision FROM ({' UNION ALL '.join(parts)})")
 
 
+# --- typed columns and their rejects (G29) ------------------------------------------------------
+
+DECLARED = {"customer": "integer", "day": "date", "at": "time", "price": "numeric(12,2)"}
+
+
+def _reject_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as text, some of which is no integer, no date or no time of day: every rejected value."""
+    k = F.col("o_orderkey")
+    text = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(k % 13 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("customer"),
+        F.when(k % 17 == 0, "2024-02-30").when(k % 5 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"),
+        F.concat(F.lpad((k % 26).cast("string"), 2, "0"), F.lit(":"), F.lpad((k % 63).cast("string"), 2, "0")).alias("at"),
+        F.round("o_totalprice", 2).cast("decimal(12,2)").cast("string").alias("price"))
+    return reject_rows(text, DECLARED, ["o_orderkey"])
+
+
+REJECT_ROWS_SQL = """
+WITH t AS (SELECT o_orderkey, lpad(CAST(o_orderkey % 26 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey % 63 AS VARCHAR), 2, '0') AS tod FROM orders)
+SELECT o_orderkey, 'customer' AS column_name, 'integer' AS declared_type, 'n/a' AS value, 'cannot be read as INT32' AS reason FROM t WHERE o_orderkey % 13 = 0
+UNION ALL SELECT o_orderkey, 'day', 'date', '2024-02-30', 'cannot be read as DATE' FROM t WHERE o_orderkey % 17 = 0
+UNION ALL SELECT o_orderkey, 'at', 'time', tod, 'cannot be read as TIME' FROM t WHERE o_orderkey % 26 > 23 OR o_orderkey % 63 > 59"""
+
+
+# --- namespaces (S08, S09, S10) -----------------------------------------------------------------
+
+def _namespace(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows a namespace holds after a load, after a replacement that must fail and leaves it alone, after one that
+    succeeds, and whether it is gone at the end."""
+    name = namespace_for(f"query {uuid.uuid4().hex[:12]}")
+    customers, nations = table(spark, sf, "customer"), table(spark, sf, "nation")
+    seen: list[tuple[str, str, int]] = []
+
+    def look(step: str) -> None:
+        for t in sorted(x.name for x in spark.catalog.listTables(name)):
+            seen.append((step, t, spark.table(f"`{name}`.`{t}`").count()))
+
+    try:
+        load_namespace(spark, name, {"customer": customers, "nation": nations})
+        look("loaded")
+        try:
+            load_namespace(spark, name, {"customer": customers}, mode="replace", expected={"customer": -1})
+        except LoadVerificationError:
+            look("refused")
+        load_namespace(spark, name, {"customer": customers.where("c_custkey % 3 = 0"), "part": table(spark, sf, "part")}, mode="replace")
+        look("replaced")
+    finally:
+        teardown(spark, name)
+    seen.append(("gone", "", int(not spark.catalog.databaseExists(name))))
+    return spark.createDataFrame(seen, "step string, table_name string, rows long")
+
+
+NAMESPACE_SQL = """
+WITH c AS (SELECT count(*) AS n, count(*) FILTER (c_custkey % 3 = 0) AS k FROM customer), t AS (SELECT count(*) AS n FROM nation),
+p AS (SELECT count(*) AS n FROM part)
+SELECT step, 'customer' AS table_name, n AS rows FROM c, (SELECT unnest(['loaded', 'refused']) AS step)
+UNION ALL SELECT step, 'nation', n FROM t, (SELECT unnest(['loaded', 'refused']) AS step)
+UNION ALL SELECT 'replaced', 'customer', k FROM c UNION ALL SELECT 'replaced', 'part', n FROM p UNION ALL SELECT 'gone', '', 1"""
+
+
 QUERIES = {
     "gen_coverage": _coverage,
     "gen_cycle": _cycle,
     "render_sql_text_key": _sql_text_key,
     "page_after": _page_after,
     "pii_classes": _pii_classes,
+    "cast_reject_rows": _reject_rows,
+    "namespace_load": _namespace,
 }
 ORACLE = {
     "gen_coverage": _coverage_sql(),
@@ -188,4 +251,6 @@ ORACLE = {
     "render_sql_text_key": SQL_TEXT_KEY_SQL,
     "page_after": PAGE_AFTER_SQL,
     "pii_classes": _pii_classes_sql(),
+    "cast_reject_rows": REJECT_ROWS_SQL,
+    "namespace_load": NAMESPACE_SQL,
 }

@@ -12,17 +12,21 @@ A bucket is a share of the digest space, so buckets are even whatever the texts
 a third of all rows is one digest, aggregated on the map side.
 
 Cases: a null text counts as empty; empty texts are all equal to each other; a null doc_id loses
-ties against any other id; repeated rows each get a result row (``kept_documents`` keeps one); an empty table gives no rows.
+ties against any other id; of rows of a group that agree in id and length the one whose text has the least hash
+stays, and one of equal rows; repeated rows each get a result row; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import keep_once, ship, stored, text_or_empty
+from ferrule.operators.expand import explode_counts
 
 #: The characters [\x20\x09-\x0D] that do not count.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -183,7 +187,8 @@ def bucket_count(n: int, per_bucket: int = 20_000, least: int = 64) -> int:
 
 
 def resolve(docs: DataFrame, historical=None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, h (hash of the text).
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, h (hash of the text), and alike: it has
+    the id and the text of the row that stays.
 
     ``historical``: condition on doc_id that says which rows are the indexed history; the others
     are the new batch.  The result does not depend on it.  Default: half of the ids by hash."""
@@ -196,19 +201,40 @@ def resolve(docs: DataFrame, historical=None) -> DataFrame:
     index = stored(build_index(history, buckets), "digest-index")
     final = stored(merge(new, index, buckets), "digest-groups")
     out = rows.join(final.select("digest", "keep_id", F.col("n").alias("group_size"), F.col("n_cp").alias("keep_cp")), "digest")
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp"))
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"),
-                      F.lower(F.hex("digest")).alias("text_sha256"), "h")
+    best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp"))
+    out = out.select("digest", "doc_id", "keep_id", "group_size", best.alias("best"), "h")
+    # an id that repeats can give a group several best rows: the least hash of a text stays, of equal rows one
+    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
+    repeated = stored(repeated, "repeated-ids")
+    if repeated.isEmpty():
+        return _shown(out.select("*", F.col("best").alias("kept"), F.col("best").alias("alike")))
+    several = final.join(repeated, F.col("keep_id").eqNullSafe(F.col("__id")), "left_semi").select("digest")
+    tied = out.join(several, "digest", "left_semi")
+    least = tied.where("best").groupBy("digest").agg(F.min("h").alias("least"))
+    tied = tied.join(least, "digest").withColumn("alike", F.col("best") & (F.col("h") == F.col("least")))
+    equal = tied.where("alike").groupBy("digest", "doc_id", "keep_id", "group_size", "h").agg(F.count(F.lit(1)).alias("n"))
+    one = equal.select("digest", "doc_id", "keep_id", "group_size", F.lit(True).alias("best"), "h", F.lit(True).alias("kept"), F.lit(True).alias("alike"))
+    more = equal.where("n > 1").withColumn("m", F.col("n") - 1).withColumn("start", F.lit(0).cast("long"))
+    more = explode_counts(more, "start", "m", "copy", "digest")  # in chunks over tasks
+    no, yes = F.lit(False), F.lit(True)
+    parts = [out.join(several, "digest", "left_anti").select("*", F.col("best").alias("kept"), F.col("best").alias("alike")),
+             tied.where("NOT alike").select(*out.columns, no.alias("kept"), "alike"), one,
+             more.select("digest", "doc_id", "keep_id", "group_size", yes.alias("best"), "h", no.alias("kept"), yes.alias("alike"))]
+    return _shown(reduce(DataFrame.unionByName, parts))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "h", "alike")
 
 
 def exact_dedup(docs: DataFrame, historical=None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    return resolve(docs, historical).drop("h")
+    """One row per document: doc_id, keep_id, group_size, kept (one row a group), text_sha256."""
+    return resolve(docs, historical).drop("h", "alike")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of rows with the same id and text one."""
-    return keep_once(docs, resolve(docs).where("kept").select("doc_id", "h"))
+    """The documents that stay, with all their columns: one row a group."""
+    return keep_once(docs, resolve(docs).where("alike").select("doc_id", "h"))
 
 
 SQL = """
@@ -218,7 +244,7 @@ WITH n AS (
   FROM documents),
 w AS (
   SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY n_cp DESC, doc_id NULLS LAST) AS keep_id,
-         max(n_cp) OVER (PARTITION BY h) AS keep_cp,
+         row_number() OVER (PARTITION BY h ORDER BY n_cp DESC, doc_id NULLS LAST) AS place,
          count(*) OVER (PARTITION BY h) AS group_size FROM n)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND n_cp = keep_cp AS kept, h AS text_sha256 FROM w
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, h AS text_sha256 FROM w
 """

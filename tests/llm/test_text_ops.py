@@ -23,12 +23,13 @@ def dedup_by_hand(rows):
     groups = {}
     for d, t, _ in rows:
         groups.setdefault(SPACE.sub("", t or ""), []).append((-len(t or ""), d is None, d or 0, d))
-    out = []
+    out, kept = [], set()
     for d, t, _ in rows:
         key = SPACE.sub("", t or "")
         best = min(groups[key])
-        out.append((d, best[3], len(groups[key]), d == best[3] and -len(t or "") == best[0],
-                    hashlib.sha256(key.encode()).hexdigest()))
+        stays = d == best[3] and -len(t or "") == best[0] and key not in kept  # one row a group
+        kept |= {key} if stays else set()
+        out.append((d, best[3], len(groups[key]), stays, hashlib.sha256(key.encode()).hexdigest()))
     return sorted(out, key=str)
 
 
@@ -45,6 +46,18 @@ def test_exact_dedup_same_for_any_history(spark):
         assert sorted((tuple(r) for r in got), key=str) == dedup_by_hand(rows)
 
 
+def test_exact_dedup_keeps_one_of_repeated_ids(spark):
+    rows = [(5, "a b", "en"), (5, "a\tb", "en"), (5, "a b", "en"), (6, "ab", "en"), (None, "z", "en"), (None, "z ", "en"), (None, " z", "en"), (7, "a  b", "en"), (8, "q", "en")]
+    rows += [(5, "a b", "en")] * 40
+    for given in (rows, [r for r in rows if r[0] != 7]):
+        docs = documents(spark, given)
+        got = exact_dedup.exact_dedup(docs).collect()
+        assert sorted((tuple(r) for r in got), key=str) == dedup_by_hand(given)
+        kept = exact_dedup.kept_documents(docs).collect()
+        assert len(kept) == 3 and len({SPACE.sub("", r.text) for r in kept}) == 3
+        assert (5, "a b") in {(r.doc_id, r.text) for r in kept} or (5, "a\tb") in {(r.doc_id, r.text) for r in kept} or given is rows
+
+
 def test_exact_dedup_empty_and_kept(spark):
     assert exact_dedup.exact_dedup(documents(spark, [])).count() == 0
     docs = documents(spark, EDGE)

@@ -217,7 +217,7 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def _first_keys(held: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """key, node, root, size, met: of every node of a band of several components, the shingles by which
+    """key, node, root, size, met, at (its place among the node's shingles): of every node of a band of several components, the shingles by which
     it still meets what it may be linked with across components.
 
     ``met`` shingles of a node are held by another component too.  A linked set of n shingles shares
@@ -235,8 +235,9 @@ def _first_keys(held: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame
     name = [F.bit_xor(F.xxhash64("key", F.lit(k))).over(own).alias(f"name{k}") for k in (1, 2)]
     met = met.select("*", F.row_number().over(own.orderBy("n", "key")).alias("place"), F.count(F.lit(1)).over(own).alias("met"), *name)
     first = met.where(F.col("place") <= F.col("met") - F.expr(f"({PERCENT} * size + 99) div 100") + 1)
-    alike = first.groupBy("key", "root", "size", "met", "name1", "name2").agg(F.min("node").alias("node"))
-    return stored(alike.select("key", "node", "root", "size", "met"), "first-keys")
+    first = first.withColumn("at", F.col("size") - F.col("met") + F.col("place"))
+    alike = first.groupBy("key", "root", "size", "met", "at", "name1", "name2").agg(F.min("node").alias("node"))
+    return stored(alike.select("key", "node", "root", "size", "met", "at"), "first-keys")
 
 
 def _possible(x: str, y: str) -> Column:
@@ -246,8 +247,16 @@ def _possible(x: str, y: str) -> Column:
     return (F.col("root" + x) != F.col("root" + y)) & (100 * most >= PERCENT * (F.col("size" + x) + F.col("size" + y) - most))
 
 
+def _early(x: str, y: str) -> Column:
+    """Whether a common shingle is early enough in both: sets that share ``need`` shingles, as linked ones of
+    these sizes do, share one among the first size - need + 1 of each."""
+    both = F.col("size" + x) + F.col("size" + y)
+    need = F.floor((PERCENT * both + 99 + PERCENT) / (100 + PERCENT)).cast("long")
+    return (F.col("at" + x) <= F.col("size" + x) - need + 1) & (F.col("at" + y) <= F.col("size" + y) - need + 1)
+
+
 def _ends(first: DataFrame, c: str) -> DataFrame:
-    return first.select("key", *[F.col(n).alias(n + c) for n in ("node", "root", "size", "met")])
+    return first.select("key", *[F.col(n).alias(n + c) for n in ("node", "root", "size", "met", "at")])
 
 
 def _central_pairs(first: DataFrame) -> DataFrame:
@@ -259,7 +268,7 @@ def _central_pairs(first: DataFrame) -> DataFrame:
 
 def _all_pairs(first: DataFrame) -> DataFrame:
     """x, y: all that may still be linked."""
-    met = _ends(first, "x").join(_ends(first, "y"), "key").where(_possible("x", "y") & (F.col("nodex") < F.col("nodey")))
+    met = _ends(first, "x").join(_ends(first, "y"), "key").where(_possible("x", "y") & _early("x", "y") & (F.col("nodex") < F.col("nodey")))
     return met.select(F.col("nodex").alias("x"), F.col("nodey").alias("y")).distinct()
 
 

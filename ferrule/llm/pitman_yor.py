@@ -8,20 +8,22 @@ mass of new tables is the probability of an unknown word.
 
 Every (word, context) cell starts with one table.  A Gibbs sweep draws the number of tables of every
 cell from its exact conditional law over all its customers (``tables.draw_tables``), given the tables of
-its context, the customers of its word in the parent and the parent's total, each summed over all
-cells before the sweep.  Cells of one customer always have one table and only add to the sums.  The
-states after each of the last ``SAMPLES`` sweeps give the predictive probability
+its context, the customers of its word in the parent and the parent's total as they were before the
+sweep: all cells are drawn at once (a synchronous sampler).  Cells of one customer always have one table
+and only add to the sums.  The states after each of the last ``SAMPLES`` sweeps give the predictive
+probability
 
     (c_gw - d t_gw + (theta + d T_g) P(w)) / (theta + c_g),   P(w) = (t_w - d1) / (theta1 + t)
 
 averaged over the states; a text's score is the sum of log10 of it over its tokens.  The random number
 of a cell and sweep is a hash of word, context and sweep: scores do not depend on how rows are dealt.
 
-Data flow: one pass over the texts gives the cells with their training counts, summed by (word, context)
-and stored; tables by context and by word are aggregated to stored DataFrames and joined to the cells
-(one row a key on that side, so AQE may split a hot context or word).  A second pass deals the tokens of
-each buffer of texts by hashes of their cells, the cells' probabilities are dealt alike, and the sums
-over the tokens of each text go back to its buffer.
+Data flow: tokens are dealt to buckets by their context, so that a bucket knows its contexts' totals
+itself.  A context of ``HOT`` tokens and more is dealt by cell instead.  A bucket is one packed row: its
+cells of several customers with their tables, and the sums of the others.  A sweep shuffles one number a
+bucket and word (or hot context) to where they are added, and the totals back; then every bucket draws.
+For the scores the texts' tokens are dealt once more by the same rule, and the sums over the tokens of
+each text go back to its buffer.
 
 Cases: null and empty texts are the end token alone; repeated rows are separate texts; a null
 doc_id counts as the empty id; with no training rows every token is unknown with probability one;
@@ -39,25 +41,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import ship, stored, text_or_empty
+from ferrule.llm.common import discard, ship, stored, text_or_empty
 from ferrule.llm.tables import draw_tables
 from ferrule.llm.words import Words, buffers, mix
 
 DISCOUNT, STRENGTH = 0.8, 1.0      # of the context restaurants
 ROOT_STRENGTH = 1.0                # of the parent; its discount is estimated from its customers
-SWEEPS, SAMPLES, MOVES = 4, 3, 8   # Gibbs sweeps, states averaged; customers a ``_moved`` reseats
+SWEEPS, SAMPLES = 4, 3            # Gibbs sweeps, states averaged
 BUFFER = 8 << 20                   # text bytes dealt out at a time
 TEXTS = 1 << 15                    # and texts at most
-PER_BUCKET = 12 << 20              # text bytes a bucket of cells stands for
-LEAST_BUCKETS = 64
-CELLS = 1 << 19                    # cells packed at a time
+PER_BUCKET = 12 << 20              # text bytes a bucket of contexts stands for
+LEAST_BUCKETS = 12
+HOT = 1 << 20                      # tokens of a context that is dealt by cell
+SHARES = 8                         # buckets whose words are added in one place
 END = np.uint64(0x5851F42D4C957F2D)
 BEGIN = 0
 _R = np.uint64(0x9E3779B97F4A7C15)
-
-BLOB = ("bucket int, base long, n_docs int, keys binary, counts binary, docs binary, score binary, base_score binary, "
-        "known binary, ids binary, null_ids binary, lengths binary")
-STATES = [f"t{s}" for s in range(SAMPLES)]
+_ONE = np.uint64(1)                # the lowest bit of a name: set for hot contexts, clear for words
+_HIGH = np.uint64(0xFFFFFFFF00000000)
+
+_DEALT = ("words", "contexts", "runs", "trained", "counts", "docs")
+_OWN = ("ids", "null_ids", "lengths")
+DEALT = "bucket int, base long, n_docs int, " + ", ".join(f"{c} binary" for c in (*_DEALT, *_OWN))
+SAMPLED = [f"t{s}" for s in range(SAMPLES)]
+#: A bucket's names with their cells of one customer; its cells of several: key, name of the word,
+#: context; its contexts: name if hot, cells of one customer; customers and tables of the cells.
+_STATE = {"names": np.uint64, "alone": np.int64, "cell": np.uint64, "word": np.int32, "context": np.int32, "hot": np.int32,
+          "alone_there": np.int64, "c": np.int64, "t": np.int64, **dict.fromkeys(SAMPLED, np.int64)}
+STATE = "bucket int, " + ", ".join(f"{c} binary" for c in _STATE)
+SENT = "share int, bucket int, names binary, sums binary"
+TOTALS = "bucket int, share int, totals binary, stats array<long>"
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,109 +113,120 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, context, training tokens) of the cells of each buffer."""
-    for part in parts:
-        for run in _runs(part):
-            h, doc, context = tokens([t.encode("utf-8") for t in run.column(1).to_pylist()])
-            train = run.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            key = _key(h, context)
-            order = np.argsort(key)
-            first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-            n = np.add.reduceat(train[doc[order]], first)
-            yield pa.RecordBatch.from_arrays([_signed(h[order[first]]), _signed(context[order[first]]), pa.array(n)],
-                                             names=["w", "g", "n"])
-
-
-def _deal(rows: DataFrame, buckets: int) -> DataFrame:
-    """Tokens by bucket: one row a bucket and buffer of texts; within it distinct cells, how often
-    each comes, and the text of every occurrence."""
+def _named(context: np.ndarray) -> np.ndarray:
+    return mix(context + _R) | _ONE
+
+
+def _is_in(some: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted ``some``."""
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x if len(some) else np.zeros(len(x), bool)
+
+
+def _hot(rows: DataFrame, size: int) -> np.ndarray:
+    """Sorted contexts of about ``HOT`` tokens and more: at most one for every HOT / 2 tokens.  What a
+    buffer has too few of to add up to HOT / 2 over all buffers is not counted."""
+    least = max(1, HOT * BUFFER // (2 * max(size, BUFFER)))
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 40
         for part in parts:
             for run in _runs(part):
-                yield _dealt(run, base, buckets)
-                base += run.num_rows
+                _, _, context = tokens([t.encode("utf-8") for t in run.column(1).to_pylist()])
+                g, n = np.unique(context, return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(g[n >= least]), pa.array(n[n >= least])], names=["g", "n"])
 
-    return rows.mapInArrow(batches, BLOB)
+    counted = rows.select("doc_id", "text").mapInArrow(batches, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= HOT // 2).select("g").toPandas()
+    return np.sort(found["g"].to_numpy(np.int64).view(np.uint64))
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    names = [c.split()[0] for c in BLOB.split(", ")]
-    kinds = {"bucket": pa.int32(), "base": pa.int64(), "n_docs": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds.get(c, pa.binary())) for c in names], names=names)
+def _packed(schema: str, rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    columns = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds[k]) for c, k in columns],
+                                      names=[c for c, _ in columns])
 
 
-def _dealt(part: pa.RecordBatch, base: int, buckets: int) -> pa.RecordBatch:
-    texts = [t.encode("utf-8") for t in part.column(1).to_pylist()]
-    h, doc, context = tokens(texts)
-    lengths = np.bincount(doc, minlength=len(texts)).astype(np.int64)
-    key = _key(h, context)
-    order = np.argsort(key)  # buckets are ranges of keys
-    key, doc = key[order], doc[order].astype(np.uint16)
-    del h, context, order
-    edge = np.concatenate([[0], np.cumsum(np.bincount(_bucket(key, buckets), minlength=buckets))])
-    ids = part.column(0)
+def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of every value of the first column (they come sorted by it)."""
+    key, held = None, []
+    for part in parts:
+        for i in range(part.num_rows):
+            r = part.slice(i, 1).to_pylist()[0]
+            k = r[part.schema.names[0]]
+            if held and k != key:
+                yield key, held
+                held = []
+            key = k
+            held.append(r)
+    if held:
+        yield key, held
+
+
+def _deal(rows: DataFrame, buckets: int, hot: np.ndarray, whole: bool) -> DataFrame:
+    """Cells by bucket: one row a bucket and buffer of texts, with words, contexts and training tokens;
+    if ``whole``, also how often each cell comes and the text of every occurrence."""
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 40
+        for part in parts:
+            for run in _runs(part):
+                yield _packed(DEALT, _dealt(run, base, buckets, hot, whole))
+                base += run.num_rows
+
+    return rows.mapInArrow(batches, DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket", "base")
+
+
+def _dealt(part: pa.RecordBatch, base: int, buckets: int, hot: np.ndarray, whole: bool) -> list[dict]:
+    h, doc, context = tokens([t.encode("utf-8") for t in part.column(1).to_pylist()])
+    lengths = np.bincount(doc, minlength=part.num_rows).astype(np.int64)
+    train = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+    cell = _key(h, context)
+    slot = mix(context + _R)
+    spread = _is_in(hot, context)
+    slot[spread] = cell[spread]
+    order = np.argsort((slot & _HIGH) | (cell >> np.uint64(32)))  # buckets are ranges of slots
+    cell, doc = cell[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    ends = np.append(first, len(cell))
+    trained = np.add.reduceat(train[doc], first).astype(np.uint32)
+    at = order[first]
+    h, context, counts, docs = h[at], context[at], np.diff(ends).astype(np.uint32), doc.astype(np.uint16)
+    edge = np.searchsorted(_bucket(slot[at], buckets), np.arange(buckets + 1))
     own = base // 7 % buckets  # the bucket that carries what is known of the texts themselves
     out = []
-    for p in range(buckets):
-        a, b = int(edge[p]), int(edge[p + 1])
-        if a == b and p != own:
+    for p, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+        if a == b and not (whole and p == own):
             continue
-        new = np.flatnonzero(np.concatenate([[True], key[a + 1:b] != key[a:b - 1]])) if b > a else np.zeros(0, np.int64)
-        out.append({"bucket": p, "base": base, "n_docs": len(texts), "keys": key[a:b][new].tobytes(),
-                    "counts": np.diff(np.append(new, b - a)).astype(np.uint32).tobytes(), "docs": doc[a:b].tobytes()})
-        if p == own:
-            out[-1] |= {"ids": ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), "lengths": lengths.tobytes(),
-                        "null_ids": np.asarray(ids.is_null()).astype(np.uint8).tobytes()}
-    return _batch(out)
-
-
-def _seated(c: np.ndarray, new: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Sequential seating of c customers a dish, in strides that grow with the restaurant: (dish,
-    customers) of every table, by dish."""
-    t, n = np.ones(len(c), np.int64), np.ones(len(c), np.int64)
-    while True:
-        left = c - n
-        live = np.flatnonzero(left > 0)
-        if not len(live):
-            break
-        step = np.minimum(left[live], np.maximum(n[live] // 8, 1))
-        chance = new[live] / (n[live] - DISCOUNT * t[live] + new[live])
-        t[live] += rng.binomial(step, np.clip(chance, 0, 1))
-        n[live] += step
-    dish = np.repeat(np.arange(len(c)), t)
-    size = np.ones(len(dish), np.int64)
-    size[np.cumsum(t) - t] = c - t + 1  # any seating will do to start from
-    return dish, size
-
-
-def _moved(seats: tuple[np.ndarray, np.ndarray], c: np.ndarray, new: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-    """MOVES Gibbs moves in every dish: one random customer leaves and is seated again."""
-    dish, size = seats
-    for _ in range(MOVES if len(c) else 0):
-        ends = np.cumsum(size)
-        begin = np.cumsum(c) - c
-        table = np.searchsorted(ends, begin + rng.integers(0, c), "right")
-        size = size.copy()
-        size[table] -= 1
-        weight = np.where(size > 0, size - DISCOUNT, 0)
-        sums = np.cumsum(weight)
-        first = np.searchsorted(dish, np.arange(len(c)))
-        low = sums[first] - weight[first]
-        last = np.append(first[1:], len(dish)) - 1
-        u = rng.random(len(c)) * (sums[last] - low + new)
-        opens = u >= sums[last] - low
-        joins = np.flatnonzero(~opens)
-        at = np.minimum(np.searchsorted(sums, low[joins] + u[joins], "right"), last[joins])
-        at = np.where(size[at] > 0, at, table[joins])  # rounding at the edge of an emptied table
-        size[at] += 1
-        opened = np.flatnonzero(opens)
-        keep = size > 0
-        dish, size = np.concatenate([dish[keep], opened]), np.concatenate([size[keep], np.ones(len(opened), np.int64)])
-        order = np.argsort(dish, kind="stable")
-        dish, size = dish[order], size[order]
-    return dish, size
+        run = np.flatnonzero(np.concatenate([[True], context[a + 1:b] != context[a:b - 1]])) if b > a else np.zeros(0, np.int64)
+        row = {"bucket": p, "base": base, "n_docs": len(lengths), "words": h[a:b].tobytes(), "contexts": context[a:b][run].tobytes(),
+               "runs": np.diff(np.append(run, b - a)).astype(np.uint32).tobytes(), "trained": trained[a:b].tobytes()}
+        if whole:
+            row |= {"counts": counts[a:b].tobytes(), "docs": docs[ends[a]:ends[b]].tobytes()}
+        if whole and p == own:
+            ids = part.column(0)
+            row |= {"ids": ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), "lengths": lengths.tobytes(),
+                    "null_ids": np.asarray(ids.is_null()).astype(np.uint8).tobytes()}
+        out.append(row)
+    return out
+
+
+class Cells:
+    """The cells of a bucket: key, word, context and customers, sorted by key; ``of`` numbers the cell
+    of every entry of the dealt rows."""
+
+    def __init__(self, rows: list[dict]):
+        w, g, n = (np.concatenate(x) for x in zip(*(
+            (np.frombuffer(r["words"], np.uint64),
+             np.repeat(np.frombuffer(r["contexts"], np.uint64), np.frombuffer(r["runs"], np.uint32)),
+             np.frombuffer(r["trained"], np.uint32)) for r in rows)))
+        key = _key(w, g)
+        order = np.argsort(key)
+        new = np.ones(len(key), bool)
+        new[1:] = np.diff(key[order]) != 0
+        first = np.flatnonzero(new)
+        self.of = np.empty(len(key), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.c = np.bincount(self.of, n, len(first)).astype(np.int64)
+        self.key, self.word, self.context = key[order[first]], w[order[first]] & ~_ONE, g[order[first]]
 
 
 def perplexity_scores(docs: DataFrame, train: str = "true", held: str = "false") -> DataFrame:
@@ -210,136 +234,173 @@ def perplexity_scores(docs: DataFrame, train: str = "true", held: str = "false")
     ``train`` and ``held`` are conditions in SQL on doc_id."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.withColumn("train", F.expr(train))
-    cells = rows.mapInArrow(_counted, "w long, g long, n long").groupBy("w", "g").agg(F.sum("n").alias("c"))
-    cells = stored(cells, "cells")
+    rows = rows.withColumn("train", F.coalesce(F.expr(train), F.lit(False)))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return _score(rows, cells, _seats(cells), int(max(LEAST_BUCKETS, -(-size // PER_BUCKET))), held)
-
-
-def _uniform(word: np.ndarray, context: np.ndarray, sweep: int) -> np.ndarray:
-    seed = np.uint64((sweep + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1)
-    return (mix(_key(word, context) ^ seed) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+    buckets = int(max(LEAST_BUCKETS, -(-size // PER_BUCKET)))
+    hot = _hot(rows, size)
+    state = stored(_deal(rows, buckets, hot, False).mapInArrow(_opened(hot), STATE), "restaurants")
+    for sweep in range(SWEEPS):
+        before, totals = state, stored(_totals(state, buckets, ["t"]), "totals")
+        state = stored(_swept(before, totals, buckets, sweep), "restaurants")
+        discard(before, totals)
+    return _score(_deal(rows, buckets, hot, True), state, buckets, hot, held)
 
 
-def _totals(by_word: DataFrame, of: str) -> tuple[float, float, float]:
-    """Customers of the parent, and its words with one and with two."""
-    r = by_word.agg(F.sum(of), F.count_if(F.col(of) == 1), F.count_if(F.col(of) == 2)).first()
-    return r[0] or 0, r[1], r[2]
+def _opened(hot: np.ndarray):
+    """The state of every bucket from its dealt rows: one table a cell."""
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _groups(parts):
+            x = Cells(rows)
+            is_hot = _is_in(hot, x.context)
+            names = np.unique(np.concatenate([x.word, _named(np.unique(x.context[is_hot]))]))
+            one, many = x.c == 1, x.c > 1
+            alone = np.concatenate([x.word[one], _named(x.context[one & is_hot])])
+            contexts, context = np.unique(x.context[many], return_inverse=True)
+            there = x.context[one & _is_in(contexts, x.context)]
+            tables = np.ones(many.sum(), np.int64)
+            s = {"names": names, "alone": np.bincount(np.searchsorted(names, alone), minlength=len(names)),
+                 "cell": x.key[many], "word": np.searchsorted(names, x.word[many]), "context": context,
+                 "hot": np.where(_is_in(hot, contexts), np.searchsorted(names, _named(contexts)), -1),
+                 "alone_there": np.bincount(np.searchsorted(contexts, there), minlength=len(contexts)),
+                 "c": x.c[many], "t": tables, **dict.fromkeys(SAMPLED, tables)}
+            yield _packed(STATE, [{"bucket": bucket, **{k: v.astype(_STATE[k]).tobytes() for k, v in s.items()}}])
+
+    return batches
+
+
+def _read(row: dict) -> dict[str, np.ndarray]:
+    return {k: np.frombuffer(row[k], kind) for k, kind in _STATE.items() if row.get(k) is not None}
+
+
+def _totals(state: DataFrame, buckets: int, of: list[str]) -> DataFrame:
+    """For every bucket the totals over all buckets of the columns ``of``, by its names in their order:
+    a row a bucket and share of the names.  One row a share has, column by column, what the parent
+    needs of the share's words: their sum, and how many have one, two, and any."""
+    shares = -(-buckets // SHARES)
+
+    def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _groups(parts):
+            s = _read(rows[0])
+            n, hot = len(s["names"]), s["hot"][s["context"]]
+            sums = np.stack([s["alone"] + np.bincount(s["word"], s[c], n) + np.bincount(hot[hot >= 0], s[c][hot >= 0], n)
+                             for c in of]).astype(np.int64)
+            edge = np.searchsorted(_bucket(s["names"], shares), np.arange(shares + 1)).tolist()
+            yield _packed(SENT, [{"share": q, "bucket": bucket, "names": s["names"][a:b].tobytes(), "sums": sums[:, a:b].tobytes()}
+                                 for q, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if a < b])
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for share, rows in _groups(parts):
+            length = [len(r["names"]) // 8 for r in rows]
+            names, at = np.unique(np.concatenate([np.frombuffer(r["names"], np.uint64) for r in rows]), return_inverse=True)
+            sums = np.concatenate([np.frombuffer(r["sums"], np.int64).reshape(len(of), -1) for r in rows], axis=1)
+            total = np.stack([np.bincount(at, x, len(names)) for x in sums]).astype(np.int64)
+            words = total[:, names & _ONE == 0]
+            stats = np.stack([words.sum(1), (words == 1).sum(1), (words == 2).sum(1), (words > 0).sum(1)], axis=1)
+            ends = np.cumsum(length)
+            for i, (r, a, b) in enumerate(zip(rows, (ends - length).tolist(), ends.tolist())):
+                yield _packed(TOTALS, [{"bucket": r["bucket"], "share": share, "totals": total[:, at[a:b]].tobytes(),
+                                        "stats": stats.ravel().tolist() if i == 0 else None}])
+
+    need = ["bucket", "names", "alone", "word", "context", "hot", *of]
+    sent = state.select(need).mapInArrow(send, SENT).repartition(shares, "share").sortWithinPartitions("share", "bucket")
+    return sent.mapInArrow(add, TOTALS)
+
+
+def _parent(totals: DataFrame, columns: int) -> list[tuple[int, int, float]]:
+    """Column by column: the parent's customers, its words, its discount."""
+    rows = totals.where("stats IS NOT NULL").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+    n = {r.pos: r.n for r in rows}  # four numbers a column
+    return [(n.get(4 * k, 0), n.get(4 * k + 3, 0), _discount(n.get(4 * k + 1, 0), n.get(4 * k + 2, 0))) for k in range(columns)]
 
 
 def _discount(once: float, twice: float) -> float:
     return float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
 
 
-def _seats(cells: DataFrame) -> DataFrame:
-    """(w, g, c, tables after each sampled sweep) of the cells with training tokens."""
-    single, several = cells.where("c = 1"), cells.where("c > 1")
-    by_word = stored(single.groupBy("w").agg(F.count(F.lit(1)).alias("n_w")), "single-words")
-    by_context = single.groupBy("g").agg(F.count(F.lit(1)).alias("n_g"))
-    of_single = _totals(by_word.join(several.select("w").distinct(), "w", "left_anti"), "n_w")
-    state = several.join(by_word, "w", "left").join(by_context, "g", "left").select(
-        "w", "g", "c", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_w", "n_g")],
-        *[F.lit(1).cast("long").alias(t) for t in ("t", *STATES)])
-    for sweep in range(SWEEPS):
-        state = stored(_swept(state, sweep, of_single), f"tables-{sweep}")
-    return state.select("w", "g", "c", *STATES).unionByName(
-        single.select("w", "g", "c", *[F.col("c").alias(t) for t in STATES]))
+def _by_bucket(buckets: int, first: DataFrame, *more: DataFrame) -> DataFrame:
+    for rows in more:
+        first = first.unionByName(rows, allowMissingColumns=True)
+    return first.repartition(buckets, "bucket").sortWithinPartitions("bucket", "share")
+
 
+def _met(rows: list[dict], columns: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """A bucket's state, and the totals of its names, column by column (rows sorted by share)."""
+    state = _read(next(r for r in rows if r["names"] is not None))
+    return state, np.concatenate([np.frombuffer(r["totals"], np.int64).reshape(columns, -1)
+                                  for r in rows if r["totals"] is not None], axis=1)
 
-def _swept(state: DataFrame, sweep: int, of_single: tuple[float, float, float]) -> DataFrame:
+
+def _uniform(cell: np.ndarray, sweep: int) -> np.ndarray:
+    seed = np.uint64((sweep + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1)
+    return (mix(cell ^ seed) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+
+
+def _swept(state: DataFrame, totals: DataFrame, buckets: int, sweep: int) -> DataFrame:
     """One Gibbs sweep over all cells of more than one customer."""
-    schema = state.schema
-    if sweep == 0:
-        state = stored(state, "tables")
-    by_word = stored(state.groupBy("w").agg((F.max("n_w") + F.sum("t")).alias("sent")), "sent")
-    by_context = state.groupBy("g").agg((F.max("n_g") + F.sum("t")).alias("others"))
-    root, once, twice = (a + b for a, b in zip(of_single, _totals(by_word, "sent")))
-    d1, kept = _discount(once, twice), f"t{sweep - SWEEPS + SAMPLES}"
+    (root, _, d1), = _parent(totals, 1)
+    kept = {"t", f"t{sweep - SWEEPS + SAMPLES}"}
 
     def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            x = {c: part.column(c).to_numpy() for c in part.schema.names}
-            own = x["t"]
-            t = pa.array(draw_tables(
-                x["c"], x["others"] - own, x["sent"] - own, root - own,
-                _uniform(x["w"].view(np.uint64), x["g"].view(np.uint64), sweep), DISCOUNT, STRENGTH, d1, ROOT_STRENGTH))
-            yield pa.RecordBatch.from_arrays([t if c in ("t", kept) else part.column(c) for c in schema.names], names=schema.names)
-
-    return state.join(by_context, "g").join(by_word, "w").mapInArrow(draw, schema)
-
-
-def _score(rows: DataFrame, cells: DataFrame, seats: DataFrame, buckets: int, held: str) -> DataFrame:
-    sums = [F.sum(t).alias(t) for t in STATES]
-    words = stored(seats.groupBy("w").agg(F.sum("c").alias("c"), *sums), "words")
-    contexts = stored(seats.groupBy("g").agg(F.sum("c").alias("c"), *sums), "contexts")
-    n = words.agg(F.count(F.lit(1)), F.sum("c")).first()
-    n_types, n_tokens = n[0], n[1] or 0
-    parent = [(root, _discount(once, twice)) for root, once, twice in (_totals(words, t) for t in STATES)]
-
-    def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Probabilities of the cells by bucket."""
-        def out() -> pa.RecordBatch:
-            x = [np.concatenate(c) for c in zip(*waiting)]
-            order = np.argsort(x[0])
-            x = [c[order] for c in x]
-            cut = np.concatenate([[0], np.cumsum(np.bincount(_bucket(x[0], buckets), minlength=buckets))])
-            return _batch([{"bucket": p, "base": -1, **{k: c[a:b].tobytes() for k, c in zip(("keys", "score", "base_score", "known"), x)}}
-                           for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b])
-
-        waiting, many = [], 0
-        for part in parts:
-            x = {c: part.column(c).fill_null(0).to_numpy() for c in part.schema.names}
-            prob = np.zeros(part.num_rows)
-            for (root, d1), t in zip(parent, STATES):
-                sent = x[f"w_{t}"]
-                up = np.where(sent > 0, sent - d1, ROOT_STRENGTH + d1 * n_types) / (ROOT_STRENGTH + root)
-                prob += (x["c"] - DISCOUNT * x[t] + (STRENGTH + DISCOUNT * x[f"g_{t}"]) * up) / (STRENGTH + x["g_c"])
-            base = np.log10((x["w_c"] + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
-            key = _key(x["w"].view(np.uint64), x["g"].view(np.uint64))
-            waiting.append((key, np.log10(prob / SAMPLES), base, (x["w_c"] > 0).astype(np.uint8)))
-            many += len(key)
-            if many >= CELLS:
-                yield out()
-                waiting, many = [], 0
-        if many:
-            yield out()
-
-    every = seats.unionByName(cells.where("c = 0").select("w", "g", "c", *[F.col("c").alias(t) for t in STATES]))
-    for side, k in ((contexts, "g"), (words, "w")):
-        every = every.join(side.select(k, *[F.col(c).alias(f"{k}_{c}") for c in ("c", *STATES)]), k, "left")
-    model = every.mapInArrow(packed, BLOB)
+        for bucket, rows in _groups(parts):
+            s, total = _met(rows, 1)
+            there = s["alone_there"] + np.bincount(s["context"], s["t"], len(s["hot"]))
+            there = np.where(s["hot"] >= 0, total[0][s["hot"]], there)
+            t = draw_tables(s["c"], there[s["context"]] - s["t"], total[0][s["word"]] - s["t"], root - s["t"],
+                            _uniform(s["cell"], sweep), DISCOUNT, STRENGTH, d1, ROOT_STRENGTH).astype(np.int64)
+            yield _packed(STATE, [{"bucket": bucket, **{k: (t if k in kept else v).tobytes() for k, v in s.items()}}])
+
+    return _by_bucket(buckets, state, totals.drop("stats")).mapInArrow(draw, STATE)
+
+
+def _score(dealt: DataFrame, state: DataFrame, buckets: int, hot: np.ndarray, held: str) -> DataFrame:
+    of = ["c", *SAMPLED]
+    totals = stored(_totals(state, buckets, of), "totals")
+    (n_tokens, n_types, _), *parent = _parent(totals, len(of))
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held_cells, cell = None, [], None
-        for part in parts:
-            for i in range(part.num_rows):  # sorted by bucket, its cells first
-                r = part.slice(i, 1).to_pylist()[0]
-                if r["bucket"] != bucket:
-                    bucket, held_cells, cell = r["bucket"], [], None
-                if r["base"] < 0:
-                    held_cells.append([np.frombuffer(r[k], kind) for k, kind in (
-                        ("keys", np.uint64), ("score", np.float64), ("base_score", np.float64), ("known", np.uint8))])
-                    continue
-                if cell is None and held_cells:
-                    cell = [np.concatenate(x) for x in zip(*held_cells)]
-                    order = np.argsort(cell[0])
-                    cell, held_cells = [x[order] for x in cell], []
+        for _, rows in _groups(parts):
+            if not any(r["words"] for r in rows):  # nothing but what is known of the texts themselves
+                yield _packed(SUMS, [{**{k: r[k] for k in ("base", "n_docs", *_OWN)}, **dict.fromkeys(
+                    ("docs", "known", "base_score", "score"), b"")} for r in rows])
+                continue
+            s, total = _met(rows, len(of))
+            rows = [r for r in rows if r["words"] is not None]
+            x = Cells(rows)
+            several = _is_in(s["cell"], x.key)
+            at = np.searchsorted(s["cell"], x.key[several])
+            word = total[:, np.searchsorted(s["names"], x.word)]
+            contexts, context = np.unique(x.context, return_inverse=True)
+            is_hot = _is_in(hot, contexts)
+            spread = total[:, np.searchsorted(s["names"], _named(contexts[is_hot]))]
+
+            def there(k: int, own: np.ndarray) -> np.ndarray:
+                out = np.bincount(context, own, len(contexts))
+                out[is_hot] = spread[k]
+                return out[context]
+
+            prob, customers = np.zeros(len(x.c)), there(0, x.c)
+            for k, (root, _, d1) in enumerate(parent, 1):
+                t = x.c.copy()
+                t[several] = s[of[k]][at]
+                up = np.where(word[k] > 0, word[k] - d1, ROOT_STRENGTH + d1 * n_types) / (ROOT_STRENGTH + root)
+                prob += (x.c - DISCOUNT * t + (STRENGTH + DISCOUNT * there(k, t)) * up) / (STRENGTH + customers)
+            values = (word[0] > 0, np.log10((word[0] + 0.1) / (n_tokens + 0.1 * (n_types + 1))), np.log10(prob / SAMPLES))
+            done = 0
+            for r in rows:
+                counts = np.frombuffer(r["counts"], np.uint32)
+                cell = np.repeat(x.of[done:done + len(counts)], counts)
+                done += len(counts)
                 doc = np.frombuffer(r["docs"], np.uint16)
-                values = 4 * [b""]
+                sums = {"docs": b"", "known": b"", "base_score": b"", "score": b""}
                 if len(doc):
-                    at = np.repeat(np.searchsorted(cell[0], np.frombuffer(r["keys"], np.uint64)), np.frombuffer(r["counts"], np.uint32))
-                    there = np.flatnonzero(np.bincount(doc, minlength=r["n_docs"]))
-                    values = [there.astype(np.uint16).tobytes(), *[
-                        np.bincount(doc, cell[k][at], r["n_docs"])[there].astype(kind).tobytes()
-                        for k, kind in ((3, np.uint32), (2, np.float64), (1, np.float64))]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x], kind) for x, kind in zip(
-                        [r["base"], r["n_docs"], *values, r["ids"], r["null_ids"], r["lengths"]],
-                        [pa.int64(), pa.int32()] + 7 * [pa.binary()])], names=SUMS.replace(",", "").split()[::2])
-
-    parts = _deal(rows, buckets).unionByName(model).repartition(buckets, "bucket").sortWithinPartitions("bucket", "base")
-    parts = parts.mapInArrow(score, SUMS)
+                    some = np.flatnonzero(np.bincount(doc, minlength=r["n_docs"]))
+                    sums = {"docs": some.astype(np.uint16).tobytes(), **{
+                        name: np.bincount(doc, v[cell], r["n_docs"])[some].astype(kind).tobytes()
+                        for name, v, kind in zip(("known", "base_score", "score"), values, (np.uint32, np.float64, np.float64))}}
+                yield _packed(SUMS, [{**{k: r[k] for k in ("base", "n_docs", *_OWN)}, **sums}])
+
+    need = state.select("bucket", "names", "cell", *SAMPLED)
+    parts = _by_bucket(buckets, dealt, need, totals.drop("stats")).mapInArrow(score, SUMS)
     parts = parts.repartition("base").sortWithinPartitions("base")  # a row a bucket and buffer of texts
     out = parts.mapInArrow(_added, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", F.expr(held).alias("held_out"), "n_tokens", "n_known",

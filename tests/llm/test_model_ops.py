@@ -160,16 +160,6 @@ def test_model_prefers_what_it_has_read(spark):
     assert got[5000] > got[5001] + 20
 
 
-def test_gibbs_moves_keep_customers():
-    rng = np.random.default_rng(0)
-    c = rng.integers(2, 60, 500)
-    new = rng.random(500) * 3
-    seats = pitman_yor._seated(c, new, rng)
-    for _ in range(5):
-        seats = pitman_yor._moved(seats, c, new, rng)
-        assert (np.bincount(seats[0], seats[1], 500) == c).all() and (seats[1] > 0).all()
-
-
 # ---- decontamination ----
 
 def test_every_planted_item_is_found(spark):

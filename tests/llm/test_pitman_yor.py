@@ -32,6 +32,8 @@ def test_scores_do_not_depend_on_dealing(spark, monkeypatch):
     rows = [(i, " ".join(rng.choice(["the", f"w{int(rng.paretovariate(0.7))}"]) for _ in range(40)), None) for i in range(300)]
     want = scores(documents(spark, rows), "doc_id % 10 > 0", "doc_id % 10 = 0")
     monkeypatch.setattr(pitman_yor, "LEAST_BUCKETS", 7)
+    monkeypatch.setattr(pitman_yor, "HOT", 200)  # contexts dealt by cell
+    assert len(pitman_yor._hot(documents(spark, rows).select("doc_id", "text"), 1)) > 2
     got = scores(documents(spark, rows).repartition(5), "doc_id % 10 > 0", "doc_id % 10 = 0")
     assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-9 for k in want)
 
@@ -64,3 +66,27 @@ def test_large_cells_are_drawn_over_all_their_customers():
     few = tables.draw_tables(np.full(50, 100_000), *x, u[::80], 0.8, 1.0, 0.7, 1.0)
     many = tables.draw_tables(np.full(50, 100_000), 10 * x[0], *x[1:], u[::80], 0.8, 1.0, 0.7, 1.0)
     assert many.mean() > 2 * few.mean() and len(np.unique(many)) > 20
+
+
+def test_score_is_that_of_the_states_by_hand(spark, monkeypatch):
+    """One table a cell (no draw moves it): the predictive probability written out."""
+    monkeypatch.setattr(pitman_yor, "draw_tables", lambda c, *rest: np.ones(len(c), np.int64))
+    rows = [(0, "a b a b c", None), (1, "a b", None), (2, "c a", None), (9, "a c x", None)]
+    got = scores(documents(spark, rows), "doc_id < 9", "doc_id >= 9")
+    cells = {}
+    for _, text, _ in rows[:3]:
+        words = [None, *text.split(), "end"]
+        for g, w in zip(words[:-1], words[1:]):
+            cells[g, w] = cells.get((g, w), 0) + 1
+    sent = {w: sum(v == w for _, v in cells) for _, w in cells}
+    once, twice = (sum(n == k for n in sent.values()) for k in (1, 2))
+    d, d1, root = 0.8, min(max(once / max(once + 2 * twice, 1), 0.1), 0.95), sum(sent.values())
+
+    def probability(g, w):
+        up = (sent[w] - d1 if w in sent else 1 + d1 * len(sent)) / (1 + root)
+        c, t = (sum(f(n) for (h, _), n in cells.items() if h == g) for f in (lambda n: n, lambda n: 1))
+        return (cells.get((g, w), 0) - d * ((g, w) in cells) + (1 + d * t) * up) / (1 + c)
+
+    words = [None, "a", "c", "x", "end"]
+    want = sum(np.log10(probability(g, w)) for g, w in zip(words[:-1], words[1:]))
+    assert abs(got[9] - want) < 1e-9

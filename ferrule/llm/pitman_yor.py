@@ -60,7 +60,7 @@ _R = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)                # the lowest bit of a name: set for hot contexts, clear for words
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
-_DEALT = ("words", "contexts", "runs", "trained", "counts", "docs")
+_DEALT = ("vocabulary", "words", "contexts", "runs", "trained", "counts", "docs")
 _OWN = ("ids", "null_ids", "lengths")
 DEALT = "bucket int, base long, n_docs int, " + ", ".join(f"{c} binary" for c in (*_DEALT, *_OWN))
 SAMPLED = [f"t{s}" for s in range(SAMPLES)]
@@ -68,6 +68,7 @@ SAMPLED = [f"t{s}" for s in range(SAMPLES)]
 #: context; its contexts: name if hot, cells of one customer; customers and tables of the cells.
 _STATE = {"names": np.uint64, "alone": np.int64, "cell": np.uint64, "word": np.int32, "context": np.int32, "hot": np.int32,
           "alone_there": np.int64, "c": np.int64, "t": np.int64, **dict.fromkeys(SAMPLED, np.int64)}
+ASCENDING = ("names", "cell")
 STATE = "bucket int, " + ", ".join(f"{c} binary" for c in _STATE)
 SENT = "share int, bucket int, names binary, sums binary"
 TOTALS = "bucket int, share int, totals binary, stats array<long>"
@@ -146,6 +147,19 @@ def _packed(schema: str, rows: list[dict]) -> pa.RecordBatch:
                                       names=[c for c, _ in columns])
 
 
+def _dense(x: np.ndarray, ascending: bool = False) -> bytes:
+    """An array byte plane by byte plane, compressed; ascending ones as differences."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if ascending else x
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _array(b: bytes, kind: type, ascending: bool = False) -> np.ndarray:
+    raw = pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True)
+    x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if ascending else x
+
+
 def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """The rows of every value of the first column (they come sorted by it)."""
     key, held = None, []
@@ -164,7 +178,8 @@ def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]
 
 def _deal(rows: DataFrame, buckets: int, hot: np.ndarray, whole: bool) -> DataFrame:
     """Cells by bucket: one row a bucket and buffer of texts, with words, contexts and training tokens;
-    if ``whole``, also how often each cell comes and the text of every occurrence."""
+    if ``whole``, also how often each cell comes and the text of every occurrence.  To be shuffled by
+    bucket."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         for part in parts:
@@ -172,7 +187,7 @@ def _deal(rows: DataFrame, buckets: int, hot: np.ndarray, whole: bool) -> DataFr
                 yield _packed(DEALT, _dealt(run, base, buckets, hot, whole))
                 base += run.num_rows
 
-    return rows.mapInArrow(batches, DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket", "base")
+    return rows.mapInArrow(batches, DEALT)
 
 
 def _dealt(part: pa.RecordBatch, base: int, buckets: int, hot: np.ndarray, whole: bool) -> list[dict]:
@@ -197,10 +212,12 @@ def _dealt(part: pa.RecordBatch, base: int, buckets: int, hot: np.ndarray, whole
         if a == b and not (whole and p == own):
             continue
         run = np.flatnonzero(np.concatenate([[True], context[a + 1:b] != context[a:b - 1]])) if b > a else np.zeros(0, np.int64)
-        row = {"bucket": p, "base": base, "n_docs": len(lengths), "words": h[a:b].tobytes(), "contexts": context[a:b][run].tobytes(),
-               "runs": np.diff(np.append(run, b - a)).astype(np.uint32).tobytes(), "trained": trained[a:b].tobytes()}
+        vocabulary, word = np.unique(h[a:b], return_inverse=True)
+        row = {"bucket": p, "base": base, "n_docs": len(lengths), "vocabulary": _dense(vocabulary, True),
+               "words": _dense(word.astype(np.uint32)), "contexts": context[a:b][run].tobytes(),
+               "runs": _dense(np.diff(np.append(run, b - a)).astype(np.uint32)), "trained": _dense(trained[a:b])}
         if whole:
-            row |= {"counts": counts[a:b].tobytes(), "docs": docs[ends[a]:ends[b]].tobytes()}
+            row |= {"counts": _dense(counts[a:b]), "docs": _dense(docs[ends[a]:ends[b]])}
         if whole and p == own:
             ids = part.column(0)
             row |= {"ids": ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), "lengths": lengths.tobytes(),
@@ -215,9 +232,9 @@ class Cells:
 
     def __init__(self, rows: list[dict]):
         w, g, n = (np.concatenate(x) for x in zip(*(
-            (np.frombuffer(r["words"], np.uint64),
-             np.repeat(np.frombuffer(r["contexts"], np.uint64), np.frombuffer(r["runs"], np.uint32)),
-             np.frombuffer(r["trained"], np.uint32)) for r in rows)))
+            (_array(r["vocabulary"], np.uint64, True)[_array(r["words"], np.uint32)],
+             np.repeat(np.frombuffer(r["contexts"], np.uint64), _array(r["runs"], np.uint32)),
+             _array(r["trained"], np.uint32)) for r in rows)))
         key = _key(w, g)
         order = np.argsort(key)
         new = np.ones(len(key), bool)
@@ -228,6 +245,10 @@ class Cells:
         self.c = np.bincount(self.of, n, len(first)).astype(np.int64)
         self.key, self.word, self.context = key[order[first]], w[order[first]] & ~_ONE, g[order[first]]
 
+    def names(self, hot: np.ndarray) -> np.ndarray:
+        """Names of the words and hot contexts, sorted."""
+        return np.unique(np.concatenate([self.word, _named(np.unique(self.context[_is_in(hot, self.context)]))]))
+
 
 def perplexity_scores(docs: DataFrame, train: str = "true", held: str = "false") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -238,7 +259,8 @@ def perplexity_scores(docs: DataFrame, train: str = "true", held: str = "false")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(LEAST_BUCKETS, -(-size // PER_BUCKET)))
     hot = _hot(rows, size)
-    state = stored(_deal(rows, buckets, hot, False).mapInArrow(_opened(hot), STATE), "restaurants")
+    dealt = _deal(rows, buckets, hot, False).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    state = stored(dealt.mapInArrow(_opened(hot), STATE), "restaurants")
     for sweep in range(SWEEPS):
         before, totals = state, stored(_totals(state, buckets, ["t"]), "totals")
         state = stored(_swept(before, totals, buckets, sweep), "restaurants")
@@ -252,7 +274,7 @@ def _opened(hot: np.ndarray):
         for bucket, rows in _groups(parts):
             x = Cells(rows)
             is_hot = _is_in(hot, x.context)
-            names = np.unique(np.concatenate([x.word, _named(np.unique(x.context[is_hot]))]))
+            names = x.names(hot)
             one, many = x.c == 1, x.c > 1
             alone = np.concatenate([x.word[one], _named(x.context[one & is_hot])])
             contexts, context = np.unique(x.context[many], return_inverse=True)
@@ -263,13 +285,17 @@ def _opened(hot: np.ndarray):
                  "hot": np.where(_is_in(hot, contexts), np.searchsorted(names, _named(contexts)), -1),
                  "alone_there": np.bincount(np.searchsorted(contexts, there), minlength=len(contexts)),
                  "c": x.c[many], "t": tables, **dict.fromkeys(SAMPLED, tables)}
-            yield _packed(STATE, [{"bucket": bucket, **{k: v.astype(_STATE[k]).tobytes() for k, v in s.items()}}])
+            yield _kept(bucket, s)
 
     return batches
 
 
+def _kept(bucket: int, state: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return _packed(STATE, [{"bucket": bucket, **{k: _dense(v.astype(_STATE[k]), k in ASCENDING) for k, v in state.items()}}])
+
+
 def _read(row: dict) -> dict[str, np.ndarray]:
-    return {k: np.frombuffer(row[k], kind) for k, kind in _STATE.items() if row.get(k) is not None}
+    return {k: _array(row[k], kind, k in ASCENDING) for k, kind in _STATE.items() if row.get(k) is not None}
 
 
 def _totals(state: DataFrame, buckets: int, of: list[str]) -> DataFrame:
@@ -285,20 +311,22 @@ def _totals(state: DataFrame, buckets: int, of: list[str]) -> DataFrame:
             sums = np.stack([s["alone"] + np.bincount(s["word"], s[c], n) + np.bincount(hot[hot >= 0], s[c][hot >= 0], n)
                              for c in of]).astype(np.int64)
             edge = np.searchsorted(_bucket(s["names"], shares), np.arange(shares + 1)).tolist()
-            yield _packed(SENT, [{"share": q, "bucket": bucket, "names": s["names"][a:b].tobytes(), "sums": sums[:, a:b].tobytes()}
+            yield _packed(SENT, [{"share": q, "bucket": bucket, "names": _dense(s["names"][a:b], True),
+                                  "sums": _dense(sums[:, a:b].ravel())}
                                  for q, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if a < b])
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for share, rows in _groups(parts):
-            length = [len(r["names"]) // 8 for r in rows]
-            names, at = np.unique(np.concatenate([np.frombuffer(r["names"], np.uint64) for r in rows]), return_inverse=True)
-            sums = np.concatenate([np.frombuffer(r["sums"], np.int64).reshape(len(of), -1) for r in rows], axis=1)
+            names = [_array(r["names"], np.uint64, True) for r in rows]
+            length = list(map(len, names))
+            names, at = np.unique(np.concatenate(names), return_inverse=True)
+            sums = np.concatenate([_array(r["sums"], np.int64).reshape(len(of), -1) for r in rows], axis=1)
             total = np.stack([np.bincount(at, x, len(names)) for x in sums]).astype(np.int64)
             words = total[:, names & _ONE == 0]
             stats = np.stack([words.sum(1), (words == 1).sum(1), (words == 2).sum(1), (words > 0).sum(1)], axis=1)
             ends = np.cumsum(length)
             for i, (r, a, b) in enumerate(zip(rows, (ends - length).tolist(), ends.tolist())):
-                yield _packed(TOTALS, [{"bucket": r["bucket"], "share": share, "totals": total[:, at[a:b]].tobytes(),
+                yield _packed(TOTALS, [{"bucket": r["bucket"], "share": share, "totals": _dense(total[:, at[a:b]].ravel()),
                                         "stats": stats.ravel().tolist() if i == 0 else None}])
 
     need = ["bucket", "names", "alone", "word", "context", "hot", *of]
@@ -325,8 +353,8 @@ def _by_bucket(buckets: int, first: DataFrame, *more: DataFrame) -> DataFrame:
 
 def _met(rows: list[dict], columns: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """A bucket's state, and the totals of its names, column by column (rows sorted by share)."""
-    state = _read(next(r for r in rows if r["names"] is not None))
-    return state, np.concatenate([np.frombuffer(r["totals"], np.int64).reshape(columns, -1)
+    state = _read(next(r for r in rows if r[SAMPLED[0]] is not None))
+    return state, np.concatenate([_array(r["totals"], np.int64).reshape(columns, -1)
                                   for r in rows if r["totals"] is not None], axis=1)
 
 
@@ -347,31 +375,31 @@ def _swept(state: DataFrame, totals: DataFrame, buckets: int, sweep: int) -> Dat
             there = np.where(s["hot"] >= 0, total[0][s["hot"]], there)
             t = draw_tables(s["c"], there[s["context"]] - s["t"], total[0][s["word"]] - s["t"], root - s["t"],
                             _uniform(s["cell"], sweep), DISCOUNT, STRENGTH, d1, ROOT_STRENGTH).astype(np.int64)
-            yield _packed(STATE, [{"bucket": bucket, **{k: (t if k in kept else v).tobytes() for k, v in s.items()}}])
+            yield _kept(bucket, {k: t if k in kept else v for k, v in s.items()})
 
     return _by_bucket(buckets, state, totals.drop("stats")).mapInArrow(draw, STATE)
 
 
 def _score(dealt: DataFrame, state: DataFrame, buckets: int, hot: np.ndarray, held: str) -> DataFrame:
     of = ["c", *SAMPLED]
-    totals = stored(_totals(state, buckets, of), "totals")
+    totals, samples = stored(_totals(state, buckets, of), "totals"), stored(state.select("bucket", *SAMPLED), "samples")
+    discard(state)
     (n_tokens, n_types, _), *parent = _parent(totals, len(of))
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(parts):
-            if not any(r["words"] for r in rows):  # nothing but what is known of the texts themselves
+            if all(r[SAMPLED[0]] is None for r in rows):  # nothing but what is known of the texts themselves
                 yield _packed(SUMS, [{**{k: r[k] for k in ("base", "n_docs", *_OWN)}, **dict.fromkeys(
                     ("docs", "known", "base_score", "score"), b"")} for r in rows])
                 continue
             s, total = _met(rows, len(of))
             rows = [r for r in rows if r["words"] is not None]
             x = Cells(rows)
-            several = _is_in(s["cell"], x.key)
-            at = np.searchsorted(s["cell"], x.key[several])
-            word = total[:, np.searchsorted(s["names"], x.word)]
+            names, several = x.names(hot), x.c > 1  # as they were when the restaurants opened
+            word = total[:, np.searchsorted(names, x.word)]
             contexts, context = np.unique(x.context, return_inverse=True)
             is_hot = _is_in(hot, contexts)
-            spread = total[:, np.searchsorted(s["names"], _named(contexts[is_hot]))]
+            spread = total[:, np.searchsorted(names, _named(contexts[is_hot]))]
 
             def there(k: int, own: np.ndarray) -> np.ndarray:
                 out = np.bincount(context, own, len(contexts))
@@ -381,16 +409,16 @@ def _score(dealt: DataFrame, state: DataFrame, buckets: int, hot: np.ndarray, he
             prob, customers = np.zeros(len(x.c)), there(0, x.c)
             for k, (root, _, d1) in enumerate(parent, 1):
                 t = x.c.copy()
-                t[several] = s[of[k]][at]
+                t[several] = s[of[k]]
                 up = np.where(word[k] > 0, word[k] - d1, ROOT_STRENGTH + d1 * n_types) / (ROOT_STRENGTH + root)
                 prob += (x.c - DISCOUNT * t + (STRENGTH + DISCOUNT * there(k, t)) * up) / (STRENGTH + customers)
             values = (word[0] > 0, np.log10((word[0] + 0.1) / (n_tokens + 0.1 * (n_types + 1))), np.log10(prob / SAMPLES))
             done = 0
             for r in rows:
-                counts = np.frombuffer(r["counts"], np.uint32)
+                counts = _array(r["counts"], np.uint32)
                 cell = np.repeat(x.of[done:done + len(counts)], counts)
                 done += len(counts)
-                doc = np.frombuffer(r["docs"], np.uint16)
+                doc = _array(r["docs"], np.uint16)
                 sums = {"docs": b"", "known": b"", "base_score": b"", "score": b""}
                 if len(doc):
                     some = np.flatnonzero(np.bincount(doc, minlength=r["n_docs"]))
@@ -399,8 +427,7 @@ def _score(dealt: DataFrame, state: DataFrame, buckets: int, hot: np.ndarray, he
                         for name, v, kind in zip(("known", "base_score", "score"), values, (np.uint32, np.float64, np.float64))}}
                 yield _packed(SUMS, [{**{k: r[k] for k in ("base", "n_docs", *_OWN)}, **sums}])
 
-    need = state.select("bucket", "names", "cell", *SAMPLED)
-    parts = _by_bucket(buckets, dealt, need, totals.drop("stats")).mapInArrow(score, SUMS)
+    parts = _by_bucket(buckets, dealt, samples, totals.drop("stats")).mapInArrow(score, SUMS)
     parts = parts.repartition("base").sortWithinPartitions("base")  # a row a bucket and buffer of texts
     out = parts.mapInArrow(_added, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", F.expr(held).alias("held_out"), "n_tokens", "n_known",

@@ -6,11 +6,13 @@ input, whatever their names, never meet the operator's own columns.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return to the system what this Python worker has freed: workers outlive tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError, TypeError):  # another C library
+        pass
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n`` (a null id counts as the empty text)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

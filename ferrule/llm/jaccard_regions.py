@@ -34,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import keep_once, ship, stored, text_or_empty
+from ferrule.llm.common import discard, give_back, keep_once, ship, stored, text_or_empty
 from ferrule.llm.words import Words, buffers, mix
 
 WORDS = 5
@@ -46,7 +47,9 @@ HINTS = 1 << 18          # at most so many shingles are moved (an order, never a
 LAST = np.int64(1 << 61)  # added to the key of a shingle that goes last
 SMALL = 24               # points compared one by one
 LARGE = 4096             # points of a region that one task joins
-PER_BUCKET = 8_000_000   # shingles that a bucket of the key space stands for
+PER_BUCKET = 1_000_000   # shingles that a bucket of the key space stands for
+SLICE = 4 << 20          # text bytes that a task handles at a time (a longer text is a slice)
+ROWS = 1500              # and rows
 LEAST_BUCKETS = 64
 
 
@@ -132,27 +135,38 @@ def _survey(rows: DataFrame, seed: int) -> DataFrame:
         batches, "doc_id long, size long, node long, other long, h long")
 
 
-def _slices(parts: Iterator[pa.RecordBatch], rows: int = 1500) -> Iterator[pa.RecordBatch]:
-    """Smaller batches: what a task holds at a time."""
+def _slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, by bytes of text and rows: what a task holds at a time."""
+    give_back()
     for part in parts:
-        for at in range(0, part.num_rows, rows):
-            yield part.slice(at, rows)
+        size = np.cumsum(np.maximum(pc.binary_length(part.column("text")).to_numpy(), SLICE // ROWS), dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(size // SLICE, prepend=-1)).tolist() if len(size) else []
+        for a, b in zip(cuts, [*cuts[1:], part.num_rows]):
+            yield part.slice(a, b - a)
+    give_back()
 
 
 def _packed(bucket: np.ndarray, buckets: int, keys: np.ndarray, values: np.ndarray, nodes: np.ndarray | None = None) -> pa.RecordBatch:
     """One row a bucket (``bucket`` ascending, keys ascending within it): the keys as differences, byte
     plane by byte plane, so that the shuffle's compression drops the planes of zeros; the values; and
-    the nodes that values number."""
+    the nodes that values number, those of the row alone."""
     edge = np.searchsorted(bucket, np.arange(buckets + 1))
     some = [p for p in range(buckets) if edge[p] < edge[p + 1]]
 
     def planes(k: np.ndarray) -> bytes:
         return np.ascontiguousarray(np.diff(k, prepend=0).view(np.uint8).reshape(-1, 8).T).tobytes()
 
+    parts = [values[edge[p]:edge[p + 1]] for p in some]
+    own = [None] * len(some)
+    if nodes is not None:
+        for i, v in enumerate(parts):
+            here = np.flatnonzero(np.bincount(v, minlength=len(nodes)))
+            place = np.zeros(len(nodes), np.uint16)
+            place[here] = np.arange(len(here))
+            parts[i], own[i] = place[v], nodes[here].tobytes()
     return pa.RecordBatch.from_arrays(
         [pa.array(np.array(some, np.int32)), pa.array([planes(keys[edge[p]:edge[p + 1]]) for p in some], pa.binary()),
-         pa.array([values[edge[p]:edge[p + 1]].tobytes() for p in some], pa.binary()),
-         pa.array([None if nodes is None else nodes.tobytes()] * len(some), pa.binary())],
+         pa.array([v.tobytes() for v in parts], pa.binary()), pa.array(own, pa.binary())],
         names=["bucket", "keys", "values", "nodes"])
 
 
@@ -168,7 +182,9 @@ def _unpacked(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             keys.append(np.cumsum(d))
             v = np.frombuffer(v, np.uint16)
             values.append(v if nodes is None else np.frombuffer(nodes, np.int64)[v])
+        del rows
         yield np.concatenate(keys), np.concatenate(values)
+        give_back()
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -557,6 +573,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = _frequent(rows, seed, buckets)
     cells = stored(_cells(rows, seed, last, buckets), "cells")
     members = stored(_members(cells, points), "regions")
+    discard(cells)
     sets = stored(_sets(rows, seed, _bits_of(members)).dropDuplicates(["node"]), "whole-sets")
     members, found = _star_rounds(members, sets)
     rest = _by_region(members.select("pivot", "node").join(sets, "node")).mapInArrow(_links, "x long, y long")

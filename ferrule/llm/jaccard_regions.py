@@ -359,7 +359,9 @@ def _members(cells: DataFrame, points: DataFrame) -> DataFrame:
     large = (held.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("r"), F.col("node"))).alias("p"),
                                      F.min("node").alias("l"), F.max("node").alias("h"))
              .where("l <> h").select("key", F.col("p.node").alias("pivot")))
-    members = (cells.where("kind = 0").select(F.col("a").alias("pivot"), "node").join(able.select("node"), "node", "left_semi")
+    # buckets have a pair several times; dealt by node once for both its distinct pairs and the join
+    pairs = cells.where("kind = 0").select(F.col("a").alias("pivot"), "node").repartition("node").distinct()
+    members = (pairs.join(able.select("node"), "node", "left_semi")
                .unionByName(held.join(large, "key").select("pivot", "node")).distinct())
     # sizes that differ by at most a third are in the same or in neighbouring classes
     sized = members.join(able, "node").withColumn("sizes", F.floor(F.log(F.col("size")) / float(np.log(1.34))).cast("int"))

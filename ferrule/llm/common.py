@@ -19,10 +19,15 @@ from pyspark.sql import functions as F
 from ferrule.session import checkpoint_dir
 
 
+BATCH = 4 << 20  # bytes of an Arrow batch
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors once per application, so that the functions of
-    Python operators can be imported there."""
+    Python operators can be imported there, and bound the batches that tasks exchange with Python
+    workers by bytes, so that long texts come fewer at a time."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     name = f"ferrule_{sc.applicationId.replace('-', '_')}.zip"
     if any(os.path.basename(p) == name for p in sc._python_includes):
         return

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import bounded_sample, fold, ship
+from ferrule.llm.common import bounded_sample, fold, give_back, ship
 
 ORDER = 3
 START = b"\n" * ORDER  # the context of a text's first bytes
@@ -177,6 +177,7 @@ def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
                 for i, b in zip(where, best):
                     lang[i] = model.languages[b]
             yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": lang, "score": score, "bits": bits})
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(batches, "doc_id long, lang_pred string, score double, bits double")
@@ -207,5 +208,6 @@ def keep_identified(docs: DataFrame, folds: int = 4, held: int = 2, per_language
             texts = [t.encode("utf-8") if t and letter(t) else b"" for t in part.column(at).to_pylist()]
             bits = sent.value.bits(texts).min(1)
             yield part.filter(pa.array(bits < 8 * np.array(list(map(len, texts)), np.int64)))
+        give_back()
 
     return docs.mapInArrow(batches, docs.schema)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import ship, text_or_empty
+from ferrule.llm.common import give_back, ship, text_or_empty
 from ferrule.llm.pieces import Chunks, Memo, ranks_of, splitter
 
 
@@ -53,7 +53,7 @@ class Vocabulary:
 
     def stand_side_by_side(self, left: int, right: int) -> bool:
         """``_border_stays``, remembered (bounded)."""
-        if len(self.pairs) >= 1_000_000:
+        if len(self.pairs) >= 250_000:
             self.pairs.clear()
         answer = self.pairs[left << 32 | right] = self._border_stays(left, right)
         return answer
@@ -146,8 +146,8 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.vocab = vocabulary(path)
         find = splitter(pattern)
-        piece = Memo(lambda piece: tuple(Prefixes(self.vocab, piece.encode("utf-8")).ids()), 600_000)
-        self.chunks = Chunks(lambda text: tuple(chain.from_iterable(map(piece.__getitem__, find(text)))))
+        piece = Memo(lambda piece: tuple(Prefixes(self.vocab, piece.encode("utf-8")).ids()), 200_000)
+        self.chunks = Chunks(lambda text: tuple(chain.from_iterable(map(piece.__getitem__, find(text)))), 200_000)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.chunks(text)))
@@ -168,6 +168,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c = codec(path, pattern)
         for part in parts:
             yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [c.encode(t) for t in part["text"]]})
+        give_back()
 
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -189,6 +190,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 rows.append((doc_id, len(ids), sha(" ".join(map(str, ids)).encode()).hexdigest(),
                              sha(decoded).hexdigest(), decoded == text.encode("utf-8")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "whole"])
+        give_back()
 
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))

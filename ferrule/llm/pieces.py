@@ -39,6 +39,27 @@ class Memo(dict):
         return value
 
 
+class Recent(dict):
+    """piece -> function(piece) for the pieces met of late: when ``most`` are held they become the
+    older half, and an older piece that is met again is new; so common pieces stay, and at most twice
+    ``most`` are held."""
+
+    def __init__(self, function, most: int = 200_000, longest: int = 64):
+        super().__init__()
+        self.function, self.most, self.longest, self.older = function, most, longest, {}
+
+    def __missing__(self, piece):
+        value = self.older.get(piece)
+        if value is None:
+            value = self.function(piece)
+        if len(piece) <= self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = value
+        return value
+
+
 class Chunks:
     """``function`` over the stretches of a text between single spaces, each with the space before
     it: with a pattern in which a single space between two other characters always begins a

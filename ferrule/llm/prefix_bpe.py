@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import give_back, ship, text_or_empty
-from ferrule.llm.pieces import Chunks, Memo, ranks_of, splitter
+from ferrule.llm.pieces import Recent, ranks_of, splitter
 
 
 class Vocabulary:
@@ -145,12 +145,11 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.vocab = vocabulary(path)
-        find = splitter(pattern)
-        piece = Memo(lambda piece: tuple(Prefixes(self.vocab, piece.encode("utf-8")).ids()), 200_000)
-        self.chunks = Chunks(lambda text: tuple(chain.from_iterable(map(piece.__getitem__, find(text)))), 200_000)
+        self.find = splitter(pattern)
+        self.pieces = Recent(lambda piece: tuple(Prefixes(self.vocab, piece.encode("utf-8")).ids()))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.chunks(text)))
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocab.bytes_of.__getitem__, ids))

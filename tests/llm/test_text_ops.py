@@ -168,6 +168,19 @@ def test_token_counts_and_codec_equal_the_libraries(spark, library):
     assert prefix_bpe.round_trip(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_common_pieces_outlast_a_stream_of_new_ones():
+    import public_tokenizers as P
+    from ferrule.llm.pieces import Recent
+    made = []
+    memo = Recent(lambda p: made.append(p) or (p,), 100)
+    for i in range(2000):
+        assert memo["the"] == ("the",) and memo[str(i)] == (str(i),)
+    assert made.count("the") == 1 and len(memo) + len(memo.older) <= 200
+    codec = prefix_bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    codec.encode(" ".join(f"the w{i}x" for i in range(50)))
+    assert " the" in codec.pieces and not any(" " in p[1:] for p in codec.pieces)
+
+
 def test_prefix_table_appends_cuts_and_edits():
     vocab = prefix_bpe.vocabulary(P.path("byte_bpe_50k.tiktoken"))
     rng = random.Random(2)

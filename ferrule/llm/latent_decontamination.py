@@ -12,9 +12,9 @@ side.  A candidate is a leak if it covers ``verbatim`` of the item's words and t
 Inside the closest stretch of one and a half times the item's length, ``verbatim`` is enough without the
 answer, and ``paraphrase`` with it: so long a stretch of other texts does not hold the words by chance.
 
-The latent space is fitted on the items and a bounded, documented sample of documents
-(``fit_docs``); document frequencies, the search and the checks cover every passage of every
-document.  The items are a stated query set, taken in blocks of ``block``, each with its own latent
+The latent space is fitted on the items and every passage of every document, as are document
+frequencies, the search and the checks: one pass adds up the products of the passages' terms, and
+the thin matrix is multiplied by those sums, tile by tile.  The items are a stated query set, taken in blocks of ``block``, each with its own latent
 space, so what a task holds is bounded by the benchmark and a block's work by its size.
 
 Cases: null and empty texts and items match nothing; items longer than ``PIECE`` words are searched
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import bounded_sample, give_back, ship, stored, text_or_empty
+from ferrule.llm.common import discard, give_back, ship, stored, text_or_empty
 from ferrule.llm.words import BLANKS, PUNCTUATION, Words, buffers, mix
 
 WINDOW, STRIDE = 64, 32   # words of a passage, and from one passage to the next
@@ -44,6 +44,8 @@ COMMON = 0.05             # terms in more documents than this share carry no wei
 RUN = 3                   # adjacent words by which a word is taken as part of an item's copy
 WITHIN = 0.45             # share of an item in a passage: ``paraphrase`` of it, a quarter of that in the next passage
 AROUND = 2                # the check reads so many times the item's words on either side of a passage
+TILE = 512                # terms a side of a tile of the terms' products
+HELD = 1 << 20            # products a task holds unmerged
 SENTENCES = re.compile(rb"[.!?\n]+")
 
 
@@ -194,29 +196,106 @@ def _item_entries(items: list[Item], terms: Terms, weight: np.ndarray):
     return vectors(at[ok], term[ok], weight)
 
 
-def svd_basis(sample: DataFrame, terms: Terms, weight: np.ndarray, items: list[Item], rank: int,
+def _products(passage: np.ndarray, term: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of every two terms (the smaller first) of a passage, numbered tile by tile."""
+    at = np.arange(len(passage))
+    many = np.searchsorted(passage, passage, "right") - at
+    left = np.repeat(at, many)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + left
+    (a, x), (b, y) = np.divmod(term[left], TILE), np.divmod(term[right], TILE)
+    return ((a << 24 | b) * TILE + x) * TILE + y, value[left] * value[right]
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One sum a number, in order."""
+    key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return key, np.bincount(at, np.concatenate([v for _, v in held]), len(key))
+
+
+def _tiles(key: np.ndarray, value: np.ndarray) -> pd.DataFrame:
+    """A row a tile: its number, the places in it and their values."""
+    tile, cut = np.unique(key // TILE ** 2, return_index=True)
+    at, value = (key % TILE ** 2).astype(np.int32), value.astype(np.float32)
+    return pd.DataFrame({"tile": tile, "at": [x.tobytes() for x in np.split(at, cut[1:])] if len(tile) else [],
+                         "value": [x.tobytes() for x in np.split(value, cut[1:])] if len(tile) else []})
+
+
+def term_products(docs: DataFrame, terms: Terms, weight: np.ndarray) -> DataFrame:
+    """A'A of all passages of ``docs`` as unit vectors, stored: the tiles (numbered ``a << 24 | b``) on
+    and above the diagonal that are not empty, as places and values."""
+    sent = docs.sparkSession.sparkContext.broadcast((terms, weight))  # bounded by the benchmark
+    schema = "tile long, at binary, value binary"
+
+    def multiply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t, w = sent.value
+        held, size = [], 0
+        for part in parts:
+            for _, run in buffers([x.encode("utf-8") for x in part["text"]]):
+                words = Words(run, BLANKS + PUNCTUATION)
+                passage, term, value = vectors(*passages(t.find(words.hashes()), words.first, w)[:2], w)
+                value = value / np.sqrt(np.bincount(passage, value.astype(np.float64) ** 2))[passage]
+                for s in range(0, len(passage), 1 << 15):  # a bounded number of entries at a time
+                    lo, hi = Finder._whole(passage, s), Finder._whole(passage, s + (1 << 15))
+                    held.append(_products(passage[lo:hi], term[lo:hi], value[lo:hi]))
+                    size += len(held[-1][0])
+                    if size >= HELD:
+                        held = [_added(held)]
+                        size = len(held[0][0])
+                        if size >= HELD // 2:
+                            yield _tiles(*held[0])
+                            held, size = [], 0
+        if held:
+            yield _tiles(*_added(held))
+        give_back()
+
+    def total(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for part in parts:
+            for tile, at, value in zip(part["tile"], part["at"], part["value"]):
+                if tile not in sums:
+                    sums[tile] = np.zeros(TILE ** 2)
+                sums[tile][np.frombuffer(at, np.int32)] += np.frombuffer(value, np.float32)
+        for tile, every in sums.items():
+            at = np.flatnonzero(every)
+            yield _tiles(at + tile * TILE ** 2, every[at])
+        give_back()
+
+    side = -(-len(terms.hashes) // TILE)
+    parts = docs.select(text_or_empty().alias("text")).mapInPandas(multiply, schema)
+    parts = parts.repartition(min(256, side * (side + 1) // 2), "tile")
+    return stored(parts.mapInPandas(total, schema), "latent-products")
+
+
+def svd_basis(products: DataFrame, terms: Terms, weight: np.ndarray, items: list[Item], rank: int,
               spare: int = 16, rounds: int = 2, tasks: int = 8) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the passages of ``sample`` and the items.
+    """Right singular vectors (terms x rank) of the passages whose ``term_products`` are given and the items.
 
-    Each round multiplies A'A with a thin matrix, passages being spread over ``tasks`` tasks that
+    Each round multiplies A'A with a thin matrix, tiles being spread over ``tasks`` tasks that
     send back one thin matrix each, and orthonormalises the product."""
     n, width = len(terms.hashes), rank + spare
-    spark = sample.sparkSession
+    spark = products.sparkSession
     rng = np.random.default_rng(0)
     thin = rng.standard_normal((n, width)).astype(np.float32)
-    rows = sample.select("text").repartition(tasks)
+    rows = products.coalesce(tasks)
 
     def product(thin: np.ndarray) -> np.ndarray:
-        sent = spark.sparkContext.broadcast((terms, weight, thin))
+        sent = spark.sparkContext.broadcast(thin)
 
         def multiply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            t, w, x = sent.value
+            x = sent.value
             out = np.zeros(x.shape, np.float32)
             for part in parts:
-                for _, run in buffers([s.encode("utf-8") for s in part["text"]]):
-                    words = Words(run, BLANKS + PUNCTUATION)
-                    entries = vectors(*passages(t.find(words.hashes()), words.first, w)[:2], w)
-                    _accumulate(out, *entries, x)
+                for tile, at, value in zip(part["tile"], part["at"], part["value"]):
+                    full = np.zeros(TILE ** 2, np.float32)
+                    full[np.frombuffer(at, np.int32)] = np.frombuffer(value, np.float32)
+                    full = full.reshape(TILE, TILE)
+                    a, b = (slice(k * TILE, min((k + 1) * TILE, len(x))) for k in (tile >> 24, tile & 0xFFFFFF))
+                    full = full[:a.stop - a.start, :b.stop - b.start]
+                    if a == b:
+                        full = full + np.triu(full, 1).T
+                    else:
+                        out[b] += full.T @ x[a]
+                    out[a] += full @ x[b]
             give_back()
             yield pd.DataFrame({"m": [out.tobytes()]})
 
@@ -361,7 +440,7 @@ class Finder:
                 best[key] = (cosine, common, answer)
 
 
-def build(docs: DataFrame, benchmark: DataFrame, fit_docs: int = 2000, block: int = 256, cosine: float = 0.35,
+def build(docs: DataFrame, benchmark: DataFrame, block: int = 256, cosine: float = 0.35,
           verbatim: float = 0.8, paraphrase: float = 0.6, answer: float = 0.6) -> Finder | None:
     """Statistics over all documents, the latent spaces, and the checks' thresholds."""
     ship(docs.sparkSession)
@@ -379,13 +458,12 @@ def build(docs: DataFrame, benchmark: DataFrame, fit_docs: int = 2000, block: in
         if rare[t].sum() < 4:
             rare[t[np.argsort(n[t])[:4]]] = True
     weight = np.where(rare, np.maximum(weight, 0.01), 0).astype(np.float32)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"),
-                       F.lit(True).alias("all"))
-    sample = stored(bounded_sample(rows, F.col("all"), fit_docs, {True: total}).select("text"), "latent-sample")
+    products = term_products(docs, terms, weight)
     bases = []
     for b in range(0, len(items), block):
         rank = min(block, len(items[b:b + block]) + 32, len(terms.hashes))
-        bases.append(svd_basis(sample, terms, weight, items[b:b + block], rank, min(16, len(terms.hashes) - rank)))
+        bases.append(svd_basis(products, terms, weight, items[b:b + block], rank, min(16, len(terms.hashes) - rank)))
+    discard(products)
     return Finder(items, terms, weight, bases, block, cosine, verbatim, paraphrase, answer, short)
 
 

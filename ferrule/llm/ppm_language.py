@@ -6,10 +6,10 @@ context that is one byte shorter, where the bytes already ruled out are excluded
 all 256 byte values are equally likely.  The statistics are frozen after training, so the code
 length of a text is an exact sum over its bytes, and the shortest code wins.
 
-Training reads a bounded sample of the labelled rows (``per_language`` whole texts of each
-language on average, chosen by a hash of the text).  The driver counts the sample and sends the
-finished cost tables to the tasks: their size follows the sample, not the input.  Scoring reads
-every byte of every text, vectorised over batches of texts.
+Training reads every byte of every labelled row that may be learnt from: tasks count their runs of
+four bytes by language, Spark adds them up, and the driver gets a row for each language and run (their
+number follows the alphabets, not the rows) and sends the finished cost tables to the tasks.  Scoring
+reads every byte of every text, vectorised over batches of texts.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; with no labelled rows all
 texts are; ties go to the language that sorts first; repeated rows are scored each; an empty table
@@ -27,14 +27,30 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import bounded_sample, fold, give_back, ship
+from ferrule.llm.common import fold, give_back, ship
 
 ORDER = 3
 START = b"\n" * ORDER  # the context of a text's first bytes
-BLOCK = 1 << 20        # bytes scored at a time
+BLOCK = 1 << 20        # bytes counted or scored at a time
+HELD = 1 << 21         # counts of runs a task holds unmerged
 letter = regex.compile(r"\p{L}").search
 
 
+def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of four bytes in ``texts`` between ``START``s, first byte highest, and their counts."""
+    d, held = np.frombuffer(START + START.join(texts) + START, np.uint8), []
+    for b in range(0, len(d) - ORDER, BLOCK):
+        x = d[b:b + BLOCK + ORDER].astype(np.uint32)
+        held.append(np.unique(x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:], return_counts=True))
+    return held[0] if len(held) == 1 else _added(held)
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One count a run."""
+    run, at = np.unique(np.concatenate([r for r, _ in held]), return_inverse=True)
+    return run, np.bincount(at, np.concatenate([n for _, n in held]), len(run)).astype(np.int64)
+
+
 class Trees:
     """Cost tables, in bits, of all languages.
 
@@ -45,29 +61,39 @@ class Trees:
     """
 
     def __init__(self, texts: dict[str, list[bytes]]):
-        self.languages = sorted(texts)
-        data = {k: np.frombuffer(START + START.join(v), np.uint8) for k, v in texts.items()}
+        self._grow({k: runs_of(v) for k, v in texts.items()})
+
+    @classmethod
+    def of_counts(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Trees:
+        """From each language's runs of four bytes and how often they come."""
+        trees = cls.__new__(cls)
+        trees._grow(counts)
+        return trees
+
+    def _grow(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.languages = sorted(counts)
         seen = np.zeros(256, bool)
-        for d in data.values():
-            seen[d] = True
+        seen[START[0]] = True
+        for run, _ in counts.values():
+            seen[run & 255] = True
         self.cls = np.zeros(256, np.int32)
         self.cls[seen] = np.arange(1, seen.sum() + 1)
         a = self.a = int(seen.sum()) + 1
         unseen = 256 - int(seen.sum())
         grams, low = [], []
         for k in self.languages:
-            c = self.cls[data[k]].astype(np.int64)
+            run, count = counts[k]
+            c = [self.cls[run >> 8 * j & 255].astype(np.int64) for j in range(ORDER + 1)]  # last byte first
             p = np.full(a, 1 / 256)  # order -1; a class-0 byte is one of ``unseen``
             mass = np.full(a, 1 / 256)
             mass[0] = unseen / 256
             for order in range(ORDER):
-                key = c[order:].copy()
-                for j in range(1, order + 1):
-                    key += c[order - j:len(c) - j] * a ** j
-                n = np.bincount(key, minlength=a ** (order + 1)).reshape((a,) * (order + 1))
+                key = sum(c[j] * a ** j for j in range(order + 1))
+                n = np.bincount(key, count, a ** (order + 1)).reshape((a,) * (order + 1))
+                n[(self.cls[START[0]],) * (order + 1)] += ORDER - order  # the first bytes, which end no run
                 p, mass = self._down(n, p, mass)
             low.append(-np.log2(p).astype(np.float32))
-            grams.append((c[3:] + a * (c[2:-1] + a * (c[1:-2] + a * c[:-3]))))
+            grams.append((sum(c[j] * a ** j for j in range(ORDER + 1)), count))
         self.low = np.stack(low, -1).reshape(-1, len(self.languages))
         self._top(grams)
 
@@ -83,9 +109,9 @@ class Trees:
             own = n / (total + kinds)
             return np.where(n > 0, own, p * escape), np.where(n > 0, own, mass * escape)
 
-    def _top(self, grams: list[np.ndarray]) -> None:
+    def _top(self, grams: list[tuple[np.ndarray, np.ndarray]]) -> None:
         a, width = self.a, len(self.languages)
-        every = np.unique(np.concatenate(grams))
+        every = np.unique(np.concatenate([kind for kind, _ in grams]))
         contexts = np.unique(every // a)
         self.node = np.full(a ** 3, -1, np.int32)
         self.node[contexts] = np.arange(len(contexts))
@@ -96,7 +122,7 @@ class Trees:
         self.escape = np.zeros((len(contexts), width), np.float32)
         self.cost = np.empty((len(every), width), np.float32)
         for j in range(width):
-            kind, count = np.unique(grams[j], return_counts=True)
+            kind, count = grams[j]
             n = np.zeros(len(every))
             n[np.searchsorted(every, kind)] = count
             total = np.bincount(at, n, len(contexts))
@@ -142,18 +168,42 @@ class Trees:
         np.add.at(out, [i for i, _, _ in held], sums)
 
 
-def train(docs: DataFrame, train_rows: Column, per_language: int = 400) -> Trees | None:
-    """Trees of a bounded sample of the rows that ``train_rows`` allows and that have a language."""
+def train(docs: DataFrame, train_rows: Column) -> Trees | None:
+    """Trees of all the rows that ``train_rows`` allows and that have a language."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col("lang").cast("string").alias("lang"), train_rows.alias("ok"))
     rows = rows.where(F.col("ok") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
-    if not counts:
-        return None
-    texts: dict[str, list[bytes]] = {}
-    for r in bounded_sample(rows, F.col("lang"), per_language, counts).select("lang", "text").toLocalIterator():
-        texts.setdefault(r.lang, []).append(r.text.encode("utf-8"))
-    return Trees({k: sorted(v) for k, v in texts.items() if any(v)}) if any(map(any, texts.values())) else None
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        some: dict[str, int] = {}
+        size = 0
+        for part in parts:
+            for lang, texts in part.groupby("lang")["text"]:
+                texts = [t.encode("utf-8") for t in texts]
+                some[lang] = some.get(lang, 0) + sum(map(bool, texts))
+                held.setdefault(lang, []).append(runs_of(texts))
+                size += len(held[lang][-1][0])
+            if size >= HELD:
+                held, size = {k: [_added(v)] for k, v in held.items()}, 0
+        for lang, v in held.items():
+            run, n = _added(v)
+            yield pd.DataFrame({"lang": lang, "run": np.append(run.astype(np.int64), -1), "n": np.append(n, some[lang])})
+        give_back()
+
+    runs = rows.select("lang", "text").mapInPandas(count, "lang string, run long, n long")
+    found = runs.groupBy("lang", "run").agg(F.sum("n").alias("n")).toArrow()  # run -1: texts that are not empty
+    lang = found["lang"].combine_chunks().dictionary_encode()
+    names = lang.dictionary.to_pylist()
+    code, run, n = (x.to_numpy(zero_copy_only=False) for x in (lang.indices, found["run"].combine_chunks(), found["n"].combine_chunks()))
+    counts = {}
+    for i, name in enumerate(names):
+        mine = np.flatnonzero(code == i)
+        mine = mine[np.argsort(run[mine])]
+        if n[mine[0]]:
+            counts[name] = run[mine[1:]].astype(np.uint32), n[mine[1:]]
+    return Trees.of_counts(counts) if counts else None
 
 
 def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
@@ -161,7 +211,7 @@ def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
     priors), bits (code length of the prediction)."""
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(trees)  # size follows the training sample
+    sent = spark.sparkContext.broadcast(trees)  # size follows the languages' runs of four bytes
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value
@@ -183,21 +233,21 @@ def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
     return rows.mapInPandas(batches, "doc_id long, lang_pred string, score double, bits double")
 
 
-def language_id(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = 400) -> DataFrame:
+def language_id(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, bits; the rows whose fold is
     ``held`` are not learnt from."""
-    trees = train(docs, fold("doc_id", folds) != held, per_language)
+    trees = train(docs, fold("doc_id", folds) != held)
     out = identify(docs, trees)
     return out.select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "lang_pred", "score", "bits")
 
 
-def keep_identified(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = 400) -> DataFrame:
+def keep_identified(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """The documents whose language is identified, with all their columns, in one pass over them.
     Rejected are texts without a letter, and texts that the best tree codes in no fewer bits than
     their bytes have: they are in none of the learnt languages."""
     spark = docs.sparkSession
     ship(spark)
-    trees = train(docs, fold("doc_id", folds) != held, per_language)
+    trees = train(docs, fold("doc_id", folds) != held)
     if trees is None:
         return docs.where(F.lit(False))
     sent = spark.sparkContext.broadcast(trees)

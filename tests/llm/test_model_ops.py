@@ -50,6 +50,20 @@ def test_code_lengths_are_of_a_distribution():
     assert np.isclose(trees.bits([long])[0, 0], trees.bits([long[:len(long) // 2]])[0, 0] * 2, rtol=1e-3)
 
 
+def test_language_trees_count_every_labelled_row(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["ab", "ba", "éx", "cad"]) for _ in range(rng.randint(0, 9))), ["en", "de"][i % 2]) for i in range(2400)]
+    rows += [(9000, "", "xx"), (9001, None, "yy"), (9002, "no language", None), (9003, "zz top", "held")]
+    got = ppm_language.train(documents(spark, rows).repartition(7), F.col("lang").isNull() | (F.col("lang") != "held"))
+    want = ppm_language.Trees({k: [t.encode() for _, t, la in rows if la == k] for k in ("en", "de")})
+    assert got.languages == want.languages == ["de", "en"]
+    texts = [b"ab ba", "éx cad".encode(), b"zz", b""]
+    assert np.array_equal(got.bits(texts), want.bits(texts))
+    long = [b"ab" * ppm_language.BLOCK, b"x"]
+    run, n = ppm_language.runs_of(long)
+    assert n.sum() == len(b"\n\n\n".join(long)) + 3 and len(run) == len(set(run.tolist()))
+
+
 def test_language_edges(spark):
     got = ppm_language.language_id(documents(spark, EDGE)).collect()
     assert len(got) == len(EDGE)
